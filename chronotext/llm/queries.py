@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronotext.llm import langid, simhash
+from chronotext.llm import langid, simhash, substrings
 from chronotext.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +21,28 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
 
+#: Words of a text; DuckDB splits at the same six characters.
+OP7_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM d, unnest(generate_series(1, len(w) - 49)) AS t(i) WHERE len(w) >= 50),
+src AS (SELECT h, min(doc_id) AS s FROM win GROUP BY h),
+dup AS (SELECT win.doc_id, win.i FROM win JOIN src USING (h) WHERE win.doc_id > src.s),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM dup, range(50) AS r(j)),
+cut AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(w) AS n, CASE WHEN ps IS NULL THEN w ELSE (SELECT coalesce(list(x ORDER BY k), []) FROM (SELECT unnest(w) AS x, unnest(generate_series(1, len(w))) AS k) WHERE NOT list_contains(ps, k)) END AS kw
+  FROM d LEFT JOIN cut USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kw) AS BIGINT) AS n_removed, sha256(array_to_string(kw, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_substring_dedup": OP7_SQL}
