@@ -181,7 +181,7 @@ def _leaves(long: DataFrame, path: str, leaf: int) -> DataFrame:
 
 
 def _encode_leaves(leaves: DataFrame, path: str) -> DataFrame:
-    schema = leaves.schema.add("ids", "binary")
+    schema = leaves.select("*").schema.add("ids", "binary")
 
     def make():
         c = codec(path)
