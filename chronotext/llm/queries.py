@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import bpe, decontaminate, langid, simhash, substrings
+from chronotext.llm import bpe, decontaminate, langid, sharding, simhash, substrings
 from chronotext.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
@@ -83,5 +87,18 @@ FROM cmp WHERE eq * 5 >= w * 4 GROUP BY doc_id, item_id
 """
 
 
+#: Thirty bits are enough for these tables: every depth's sums at once, then the least depth that fits.
+OP10_SQL = """
+WITH rows AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS h FROM documents),
+deep AS (SELECT doc_id, bytes, h, d, h >> (60 - d) AS p FROM rows, range(0, 31) AS r(d)),
+sums AS (SELECT d, p, sum(bytes) AS b, count(*) AS n FROM deep GROUP BY d, p),
+fit AS (SELECT d, p, b, n FROM sums WHERE b <= 2097152 OR n = 1),
+best AS (SELECT doc_id, bytes, h, min(d) AS depth FROM deep JOIN fit USING (d, p) GROUP BY doc_id, bytes, h)
+SELECT doc_id, bytes, 's' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), CAST(depth AS INTEGER), '0') END AS shard, CAST(depth AS INTEGER) AS depth,
+  CAST(fit.b AS BIGINT) AS shard_bytes, CAST(fit.n AS BIGINT) AS shard_rows
+FROM best JOIN fit ON fit.d = best.depth AND fit.p = best.h >> (60 - best.depth)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": OP7_SQL, "op9_decontamination": OP9_SQL}
+    return {"op7_substring_dedup": OP7_SQL, "op9_decontamination": OP9_SQL, "op10_sharding": OP10_SQL}
