@@ -172,8 +172,9 @@ def learn(labelled: DataFrame, per_language: int = 200, max_languages: int = 64)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score to the columns `keep` (default: doc_id). One narrow pass, no shuffle."""
-    keep = keep or ["doc_id"]
+    """Add lang_pred and score to the columns `keep` (default: doc_id); columns of these names are replaced. One narrow
+    pass, no shuffle."""
+    keep = [k for k in keep or ["doc_id"] if k not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [*dict.fromkeys([*keep, "text"])]
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
@@ -190,6 +191,21 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     return map_slices(docs.select(*names), "text", make, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents whose language the model can tell, columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        model = shared.value
+
+        def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+            return piece.filter(pa.array([model.predict(t)[0] != UND for t in piece["text"].to_pylist()], pa.bool_()))
+
+        return work
+
+    return map_slices(docs, "text", make, docs.schema)
+
+
 def held_out_mask(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 

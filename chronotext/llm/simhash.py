@@ -14,7 +14,7 @@ doc_id gets a component but never names one.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.llm.common import cut, map_slices
@@ -96,3 +96,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.join(roots, "root").select("fp", "component_id")
     return fps.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Of each component, the row with its smallest doc_id, columns unchanged. Of rows that share that doc_id, the one
+    with the least text hash stays. Rows without a doc_id stay only where no row of their component has one."""
+    found = near_duplicates(docs)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    w = Window.partitionBy("doc_id").orderBy(F.col("_fold"))
+    named = docs.join(first, docs["doc_id"] == F.col("_first"), "left_semi").withColumn("_fold", F.xxhash64("text"))
+    one = named.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").select(*docs.columns)
+    if found.where("doc_id is null and component_id is null").isEmpty():
+        return one
+    return one.unionByName(docs.where("doc_id is null"))
