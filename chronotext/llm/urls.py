@@ -47,6 +47,8 @@ ALLOWED_URLS = [
 HASH_BITS = 15
 SIZES = (3, 4, 5)
 PATH_VALUE = 0.3
+#: An allowed URL of the table weighs so much more than a blocked one: most URLs are fine.
+ALLOW_COST = 2.0
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -87,15 +89,16 @@ def split_url(url: str) -> tuple[str, str]:
 
 
 def fit(labelled: list[tuple[str, int]], steps: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-regularised logistic regression; label 1 is block. Both classes weigh the same."""
+    """Weights and bias of an L2-regularised logistic regression; label 1 is block."""
     x = np.zeros((len(labelled), 1 << HASH_BITS))
     for i, (url, _) in enumerate(labelled):
         np.add.at(x[i], *features(*split_url(url)))
     y = np.array([label for _, label in labelled], float)
     w, b = np.zeros(x.shape[1]), 0.0
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    cost = np.where(y == 1, 1.0, ALLOW_COST)
+    cost /= cost.sum()
     for _ in range(steps):
-        g = share * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        g = cost * (1 / (1 + np.exp(-(x @ w + b))) - y)
         w -= 0.2 * (x.T @ g + l2 * w)
         b -= 0.2 * float(g.sum())
     return w, b
