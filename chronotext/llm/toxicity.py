@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from chronotext.llm.common import lower_ascii, map_slices
 
-EXAMPLES, TERMS, LEAST_RATIO = 2000, 5000, 12.0
+EXAMPLES, TERMS, LEAST_RATIO = 2000, 5000, 18.0
 K, BLOCK = 15, 64
 _BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
