@@ -20,7 +20,7 @@ def resolve_notes(runs: DataFrame) -> DataFrame:
     beside = F.when(F.coalesce("coverage_json", F.lit("")) != "", F.when(folder == "", F.lit("notes.md")).otherwise(F.concat(folder, F.lit("/notes.md"))))
     inside = F.when(F.coalesce("output_dir", F.lit("")) != "", F.concat(F.regexp_replace("output_dir", "/$", ""), F.lit("/notes.md")))
     path = F.coalesce(F.nullif("notes_md", F.lit("")), inside, beside, F.lit(""))
-    return runs.withColumn("notes_path", path).withColumn("transcript_path", F.regexp_replace(path, r"[^/]*$", "transcript.md"))
+    return runs.withColumn("notes_path", path).withColumn("transcript_path", F.regexp_replace(path, r"(^|/)[^/]*$", "$1transcript.md"))
 
 
 def has_frame_png(runs: DataFrame, files: DataFrame) -> DataFrame:

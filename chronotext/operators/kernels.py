@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 
 def phash_of_coefficients(coefficients: Column) -> Column:
@@ -79,14 +80,14 @@ def histogram_correlation(a: np.ndarray, b: np.ndarray, bins: int = 8) -> float:
     return float((x * y).sum() / size) if size > 0 else 1.0
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def phash_pixels(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Hash of 1024 gray values (32 x 32, row by row)."""
     for s in rows:
         yield s.map(lambda v: None if v is None else phash_of_gray(np.asarray(v, float).reshape(32, 32))).astype("Int64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ssim_pixels(a: pd.Series, b: pd.Series, width: pd.Series) -> pd.Series:
     """SSIM of two gray images given as arrays and their width."""
     return pd.Series([None if x is None or y is None else ssim(np.asarray(x, float).reshape(-1, w), np.asarray(y, float).reshape(-1, w)) for x, y, w in zip(a, b, width, strict=True)], dtype="float64")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronotext.plans import timeline
+from chronotext.plans import media, notes, timeline
 
-MODULES = [timeline]
+MODULES = [timeline, media, notes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -134,11 +134,11 @@ SELECT seg.video_id, seg.seq, coalesce(l.i, f.i) AS section FROM seg ASOF LEFT J
 def asof_tolerance(spark: SparkSession, d: str) -> DataFrame:
     """The last frame up to each cue, 90 seconds old at most."""
     frames = V.event_frames(spark, d).withColumnRenamed("t", "frame_t")
-    return T.asof_backward(V.event_segments(spark, d), frames, ["video_id"], "t", "frame_t", ["event_id"], ["event_id"], tolerance=90_000).select("video_id", "seq", F.col("event_id").alias("frame_event"))
+    return T.asof_backward(V.event_segments(spark, d), frames, ["video_id"], "t", "frame_t", ["event_id"], ["event_id"], tolerance=90_000).select("video_id", "seq", F.coalesce("event_id", F.lit(-1).cast("bigint")).alias("frame_event"))
 
 
 SQL["asof_tolerance"] = f"""WITH {V.EVENTS_SQL}, f AS (SELECT video_id, t AS frame_t, max(event_id) AS event_id FROM frame GROUP BY video_id, t)
-SELECT seg.video_id, seg.seq, CASE WHEN seg.t - f.frame_t <= 90000 THEN f.event_id END AS frame_event FROM seg ASOF LEFT JOIN f ON seg.video_id = f.video_id AND seg.t >= f.frame_t"""
+SELECT seg.video_id, seg.seq, CASE WHEN seg.t - f.frame_t <= 90000 THEN f.event_id ELSE -1 END AS frame_event FROM seg ASOF LEFT JOIN f ON seg.video_id = f.video_id AND seg.t >= f.frame_t"""
 
 
 def citation_band(spark: SparkSession, d: str) -> DataFrame:
