@@ -51,9 +51,8 @@ def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def write_text(df: DataFrame, column: str, path: str, by: list[str] | None = None) -> None:
-    """Texts as they are, one a row; `by` gives each key a folder of its own."""
-    keep = df.select(*(by or []), column)
-    w = keep.write.option("lineSep", "")
+    """Texts, one a row, each ended by a line break; `by` gives each key a folder of its own."""
+    w = df.select(*(by or []), F.regexp_replace(column, r"\n$", "").alias(column)).write
     (w.partitionBy(*by) if by else w).text(path)
 
 
