@@ -37,7 +37,9 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    #: Weights of a term's examples of one block; row 0 is empty. `cell_of` has the row of each term and block.
+    cells: np.ndarray
+    cell_of: np.ndarray
     block_max: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
@@ -53,25 +55,33 @@ class Index:
         return weigh(counts, self.idf)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a cosine over 0, nearest first; `skip` is left out."""
+        """Numbers and cosines of the k nearest examples with a cosine over 0, nearest first; `skip` is left out.
+
+        Blocks are taken in the order of their bounds, some at a time, until no bound reaches the k-th best cosine."""
+        best_n, best_s = np.zeros(0, np.int64), np.zeros(0)
         if not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return best_n, best_s
         bound = weights @ self.block_max[terms]
         order = np.argsort(-bound, kind="stable")
-        best_n, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
+        cells, at, some = self.cell_of[terms], 0, 2
+        while at < len(order):
+            least = max(best_s[-1] - 1e-12, 0.0) if len(best_s) == k else 0.0
+            own = order[at : at + some]
+            own = own[(bound[own] >= least) & (bound[own] > 0)]
+            if not len(own):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                at, own = self.postings[t]
-                lo, hi = np.searchsorted(at, (b * BLOCK, (b + 1) * BLOCK))
-                score[at[lo:hi] - b * BLOCK] += w * own[lo:hi]
-            own = np.flatnonzero(score > 0) + b * BLOCK
-            own = own[own != skip]
-            n, s = np.concatenate([best_n, own]), np.concatenate([best_s, score[own - b * BLOCK]])
+            score = np.einsum("t,tbe->be", weights, self.cells[cells[:, own]])
+            row, place = np.nonzero(score > least)
+            n, s = own[row] * BLOCK + place, score[row, place]
+            if skip >= 0:
+                n, s = n[n != skip], s[n != skip]
+            n, s = np.concatenate([best_n, n]), np.concatenate([best_s, s])
+            if len(s) > k:
+                enough = s >= np.partition(s, len(s) - k)[len(s) - k]
+                n, s = n[enough], s[enough]
             top = np.lexsort((n, -s))[:k]
             best_n, best_s = n[top], s[top]
+            at, some = at + some, some * 2
         return best_n, best_s
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float | None:
@@ -82,6 +92,7 @@ class Index:
 
 
 def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = dict(sorted(counts.items()))
     terms = np.fromiter(counts, np.int64, len(counts))
     w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * idf[terms] if len(counts) else np.zeros(0)
     size = np.sqrt((w**2).sum())
@@ -94,16 +105,16 @@ def build_index(terms: dict[bytes, int], idf: np.ndarray, examples: list[tuple[i
     n, blocks = len(examples), max(1, -(-len(examples) // BLOCK))
     labels = np.array([e[1] for e in examples], float)
     vectors = [weigh(e[2], idf) for e in examples]
-    held: list[tuple[list[int], list[float]]] = [([], []) for _ in terms]
+    cell_of = np.zeros((len(terms), blocks), np.int64)
+    rows = [np.zeros(BLOCK)]
     for i, (t, w) in enumerate(vectors):
         for x, y in zip(t, w, strict=True):
-            held[x][0].append(i)
-            held[x][1].append(y)
-    postings = [(np.array(a, np.int64), np.array(b)) for a, b in held]
-    block_max = np.zeros((len(terms), blocks))
-    for t, (at, w) in enumerate(postings):
-        np.maximum.at(block_max[t], at // BLOCK, w)
-    index = Index(terms, idf, np.array([e[0] for e in examples], np.int64), labels, postings, block_max)
+            if not cell_of[x, i // BLOCK]:
+                cell_of[x, i // BLOCK] = len(rows)
+                rows.append(np.zeros(BLOCK))
+            rows[cell_of[x, i // BLOCK]][i % BLOCK] = y
+    cells = np.stack(rows)
+    index = Index(terms, idf, np.array([e[0] for e in examples], np.int64), labels, cells, cell_of, cells.max(axis=1)[cell_of])
     weight = np.array([shares[int(y)] for y in labels])
     votes = [index.vote(*index.nearest(*v, skip=i)) for i, v in enumerate(vectors)]
     none = np.array([v is None for v in votes], bool)
@@ -212,13 +223,20 @@ def score(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataF
 
     def make():
         index = shared.value
+        known: dict[tuple[bytes, bytes], tuple[float, list[int]]] = {}
 
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             scores, evidence = [], []
             for t in piece["text"].to_pylist():
-                near, cosine = index.nearest(*index.vector(t))
-                scores.append(index.chance(index.vote(near, cosine)))
-                evidence.append(index.ids[near[:5]].tolist())
+                terms, weights = index.vector(t)
+                key = (terms.tobytes(), weights.tobytes())
+                if key not in known:
+                    if len(known) >= 20_000:
+                        known.clear()
+                    near, cosine = index.nearest(terms, weights)
+                    known[key] = index.chance(index.vote(near, cosine)), index.ids[near[:5]].tolist()
+                scores.append(known[key][0])
+                evidence.append(known[key][1])
             cols = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
             return pa.record_batch([*[piece[k] for k in keep], *cols], [*keep, "score", "predicted", "evidence"])
 
