@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronotext import model
 from chronotext.functions import scalars as S
+from chronotext.functions.frames import union_all
 from chronotext.operators.temporal import uncited
 
 #: Patterns of cue anchors, deep links and slide images in notes.
@@ -80,7 +81,7 @@ def detail_problems(notes: DataFrame, contract: model.Contract = model.CONTRACT)
     )
     no_bullet = per.where(~F.col("bullet")).select("video_id", F.lit("slide_bullet").alias("rule"), F.col("no").cast("int").alias("ord"), F.col("heading").alias("detail"))
     no_image = per.where(F.col("has_frames") & ~F.col("intro") & ~F.col("image")).select("video_id", F.lit("slide_image").alias("rule"), F.col("no").cast("int").alias("ord"), F.col("heading").alias("detail"))
-    return no_bullet.unionByName(no_image)
+    return union_all(no_bullet, no_image)
 
 
 def citation_problems(notes: DataFrame, transcripts: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
@@ -89,12 +90,12 @@ def citation_problems(notes: DataFrame, transcripts: DataFrame, contract: model.
     block = section_block(F.col("notes"), contract.questions, contract)
     cited = F.filter(S.lines(block), lambda x: F.contains(x, F.lit("youtu.be/")))
     answers = notes.select("video_id", F.lit("question").alias("kind"), F.posexplode(cited).alias("ord", "line"))
-    every = concepts.unionByName(answers).withColumn("_sec", F.nullif(F.regexp_extract("line", DEEP_LINK, 1), F.lit("")).cast("bigint"))
+    every = union_all(concepts, answers).withColumn("_sec", F.nullif(F.regexp_extract("line", DEEP_LINK, 1), F.lit("")).cast("bigint"))
     row = lambda df, rule, detail: df.select("video_id", F.concat(F.col("kind"), F.lit(rule)).alias("rule"), "ord", detail.alias("detail"))
     missing = row(every.where("_sec is null"), "_link_missing", F.col("line"))
     far = row(uncited(every.where("_sec is not null").withColumn("sec", F.col("_sec")), cue_seconds(transcripts)), "_link_off", F.col("sec").cast("string"))
     few = _problems(notes, [(F.size(cited) < 3, "few_cited_questions", 0, F.size(cited))])
-    return missing.unionByName(far).unionByName(few)
+    return union_all(missing, far, few)
 
 
 def coverage_contract(notes: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
@@ -104,8 +105,4 @@ def coverage_contract(notes: DataFrame, contract: model.Contract = model.CONTRAC
 
 def gate_contract(notes: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
     """The second layer, for finished notes (video_id, notes, transcript, has_frames): all rules."""
-    parts = [structure_problems(notes, contract), citation_problems(notes, notes, contract), detail_problems(notes, contract), enrichment_problems(notes, contract)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_all(structure_problems(notes, contract), citation_problems(notes, notes, contract), detail_problems(notes, contract), enrichment_problems(notes, contract))

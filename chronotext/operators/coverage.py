@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext import model
+from chronotext.functions.frames import union_all
 from chronotext.operators.spans import cover_spans, max_gap
 
 
@@ -32,7 +33,7 @@ def choose_track(captions: DataFrame, stt: DataFrame, videos: DataFrame, force_s
     verdict = captions_usable(captions, videos).select("video_id", (F.lit(not force_stt) & F.col("usable")).alias("_use"), F.when(F.lit(force_stt), F.lit("force_stt requested")).otherwise(F.col("reason")).alias("fallback_reason"))
     columns = captions.columns
     pick = lambda df, use, source: df.join(verdict.where(F.col("_use") == use), "video_id").select(*columns, F.lit(source).alias("source"), "fallback_reason")
-    return pick(captions, True, "caption").unionByName(pick(stt, False, "stt"))
+    return union_all(pick(captions, True, "caption"), pick(stt, False, "stt"))
 
 
 def merge_metadata(videos: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -49,33 +50,31 @@ def slide_counts(slides: DataFrame, videos: DataFrame) -> DataFrame:
     return videos.select("video_id").distinct().join(counts, "video_id", "left").select("video_id", zero("slides_total"), zero("slides_with_text"))
 
 
-def speech_bins(speech: DataFrame, videos: DataFrame, bins: int = model.SCENE_BINS) -> DataFrame:
-    """(video_id, bin, b0, b1) of the bins that a span overlaps: a span is dealt to the bins of its own range, not to all."""
-    bins = max(bins, 1)
-    width = F.col("dur") / F.lit(float(bins))
-    rows = speech.select("video_id", "s", "e").join(videos.where("dur > 0").select("video_id", "dur"), "video_id")
-    edge = lambda t, off: F.least(F.greatest(F.floor(t / width).cast("int") + off, F.lit(0)), F.lit(bins - 1))
-    low, high = edge(F.col("s"), -1), edge(F.col("e"), 1)
-    each = rows.withColumn("bin", F.explode(F.when(low <= high, F.sequence(low, high))))
-    at = each.withColumn("b0", F.col("bin") * width).withColumn("b1", (F.col("bin") + 1) * width)
-    return at.where("s < b1 and e > b0").select("video_id", "bin", "b0", "b1").distinct()
-
-
 def covered_bins(speech: DataFrame, frames: DataFrame, videos: DataFrame, bins: int = model.SCENE_BINS, carry: float | int = model.FRAME_CARRY_MAX_SEC) -> DataFrame:
-    """(video_id, bin, covered): whether the last frame up to the bin's end is at most `carry` before its start.
+    """(video_id, bin, covered) of the bins that a speech span overlaps: covered where the last frame up to the bin's end is
+    at most `carry` before its start.
 
-    Frames are reduced to the last of each bin edge interval first, so the join is of bins with bins."""
-    spoken = speech_bins(speech, videos, bins)
+    Spans and frames are dealt to bins of their own range together, and aggregated to a row a bin; a running maximum
+    over a video's few bins carries the last frame on. No span meets a frame."""
     bins = max(bins, 1)
     width = F.col("dur") / F.lit(float(bins))
-    inside = frames.select("video_id", "t").join(videos.where("dur > 0").select("video_id", "dur"), "video_id").where("t >= 0 and t <= dur")
-    # A frame counts from the first bin whose end it doesn't pass; try the bin before, for rounding at the edge.
-    guess = F.least(F.greatest(F.ceil(F.col("t") / width).cast("int") - 2, F.lit(0)), F.lit(bins - 1))
-    first = F.when(F.col("t") <= (guess + 1) * width, guess).when(F.col("t") <= (guess + 2) * width, guess + 1).otherwise(guess + 2)
-    last = inside.select("video_id", F.least(first, F.lit(bins - 1)).alias("bin"), "t").groupBy("video_id", "bin").agg(F.max("t").alias("t"))
-    carried = last.select("video_id", F.explode(F.sequence(F.col("bin"), F.lit(bins - 1))).alias("bin"), "t").groupBy("video_id", "bin").agg(F.max("t").alias("t"))
-    near = F.coalesce(F.col("b0") - F.col("t") <= carry, F.lit(False))
-    return spoken.join(carried, ["video_id", "bin"], "left").select("video_id", "bin", near.alias("covered"))
+    kind = frames.schema["t"].dataType
+    spans = speech.select("video_id", "s", "e", F.lit(None).cast(kind).alias("t"))
+    points = frames.select("video_id", F.lit(None).cast(speech.schema["s"].dataType).alias("s"), F.lit(None).cast(speech.schema["e"].dataType).alias("e"), "t")
+    rows = union_all(spans, points).join(videos.where("dur > 0").select("video_id", "dur"), "video_id")
+    inside = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(bins - 1))
+    near = lambda t, off: inside(F.floor(t / width).cast("int") + off)
+    low, high = near(F.col("s"), -1), near(F.col("e"), 1)
+    # A frame counts from the first bin whose end it doesn't pass; the bins around the guess decide, for rounding at an edge.
+    guess = inside(F.ceil(F.col("t") / width).cast("int") - 2)
+    first = inside(F.when(F.col("t") <= (guess + 1) * width, guess).when(F.col("t") <= (guess + 2) * width, guess + 1).otherwise(guess + 2))
+    frame = (F.col("t") >= 0) & (F.col("t") <= F.col("dur"))
+    where = F.when(frame, F.array(first)).when(F.col("t").isNull() & (low <= high), F.sequence(low, high))
+    each = rows.withColumn("bin", F.explode(where)).withColumn("b0", F.col("bin") * width).withColumn("b1", (F.col("bin") + 1) * width)
+    per = each.where("t is not null or (s < b1 and e > b0)").groupBy("video_id", "bin").agg(F.bool_or(F.col("t").isNull()).alias("_spoken"), F.max("t").alias("_t"), F.first("b0").alias("b0"))
+    w = Window.partitionBy("video_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    held = per.withColumn("_last", F.max("_t").over(w)).where("_spoken")
+    return held.select("video_id", "bin", F.coalesce(F.col("b0") - F.col("_last") <= carry, F.lit(False)).alias("covered"))
 
 
 def scene_coverage(speech: DataFrame, frames: DataFrame, videos: DataFrame, slides: DataFrame | None = None, bins: int = model.SCENE_BINS, carry: float | int = model.FRAME_CARRY_MAX_SEC) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronotext.functions.frames import union_all
+
 
 def start_session(spark: SparkSession, urls: list[str]) -> DataFrame:
     """A fresh table of runs (index, url, status, ...), every URL pending."""
@@ -59,7 +61,7 @@ def run_problems(runs: DataFrame, coverage: DataFrame, notes_problems: DataFrame
     each = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), d.alias("detail"))) for c, r, d in found]))
     own = joined.select("index", F.explode(each).alias("p")).select("index", "p.rule", "p.detail")
     checked = joined.where(seen & ~no("has_notes") & ~no("has_transcript")).select("index")
-    return own.unionByName(notes_problems.select("index", "rule", "detail").join(checked, "index", "left_semi"))
+    return union_all(own, notes_problems.select("index", "rule", "detail").join(checked, "index", "left_semi"))
 
 
 def gate_report(runs: DataFrame, problems: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronotext import model
 from chronotext.functions import scalars as S
+from chronotext.functions.frames import union_all
 
 def drop_repeats(segments: DataFrame) -> DataFrame:
     """Drop each cue whose text equals the one before it."""
@@ -32,17 +33,22 @@ def section_hints(slides: DataFrame, videos: DataFrame, contract: model.Contract
 
     Speech before the first slide gets an intro section, a video without slides one section."""
     w = Window.partitionBy("video_id").orderBy("t", "idx")
-    rows = slides.select("video_id", "idx", "t", "frame", "ocr_text").join(videos.select("video_id", "duration_sec"), "video_id")
+    rows = videos.select("video_id", "duration_sec").join(slides.select("video_id", "idx", "t", "frame", "ocr_text"), "video_id", "left")
     seen = rows.select(
-        "video_id", "t", "frame", "ocr_text", F.row_number().over(w).alias("_n"), F.first("t").over(w).alias("_first"), F.coalesce(F.lead("t").over(w), F.col("duration_sec")).alias("t_end")
+        "video_id", "duration_sec", "t", "frame", "ocr_text", F.row_number().over(w).alias("_n"), F.first("t").over(w).alias("_first"), F.coalesce(F.lead("t").over(w), F.col("duration_sec")).alias("t_end")
     )
-    title = S.first_line(F.col("ocr_text"), F.concat(F.lit(f"{contract.slide_title} "), F.col("_n").cast("string")))
+    named = S.first_line(F.col("ocr_text"), F.concat(F.lit(f"{contract.slide_title} "), F.col("_n").cast("string")))
     shift = F.when(F.col("_first") > 0, 1).otherwise(0)
-    body = seen.select("video_id", (F.col("_n") - 1 + shift).alias("index"), "t", F.col("t").alias("win_start"), "t_end", title.alias("title"), "frame")
-    start = lambda df, end, title: df.select("video_id", F.lit(0).alias("index"), F.lit(0.0).alias("t"), F.lit(0.0).alias("win_start"), F.col(end).alias("t_end"), F.lit(title).alias("title"), F.lit(None).cast("string").alias("frame"))
-    intro = start(seen.where("_n = 1 and t > 0"), "t", contract.intro_title)
-    whole = start(videos.join(slides.select("video_id").distinct(), "video_id", "left_anti"), "duration_sec", contract.whole_title)
-    return body.unionByName(intro).unionByName(whole)
+
+    def section(index, t, end, title, frame):
+        return F.struct(index.cast("int").alias("index"), t.alias("t"), t.alias("win_start"), end.cast("double").alias("t_end"), title.alias("title"), frame.cast("string").alias("frame"))
+
+    zero, none = F.lit(0.0), F.lit(None)
+    own = section(F.col("_n") - 1 + shift, F.col("t").cast("double"), F.col("t_end"), named, F.col("frame"))
+    intro = section(F.lit(0), zero, F.col("t"), F.lit(contract.intro_title), none)
+    whole = section(F.lit(0), zero, F.col("duration_sec"), F.lit(contract.whole_title), none)
+    here = F.when(F.col("t").isNull(), F.array(whole)).when((F.col("_n") == 1) & (F.col("t") > 0), F.array(intro, own)).otherwise(F.array(own))
+    return seen.select("video_id", F.explode(here).alias("_s")).select("video_id", "_s.*")
 
 
 def renderable_sections(sections: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -130,7 +136,7 @@ def dedupe_frames(frames: DataFrame) -> DataFrame:
 def select_by_pair_metrics(pairs: DataFrame, hist_same: float = model.HIST_SAME, ssim_same: float = model.SSIM_SAME) -> DataFrame:
     """(video_id, idx) kept: frame 0, and frame i + 1 where pair i (video_id, i, hist, ssim) isn't the same slide."""
     changed = pairs.where(~S.is_same_slide(F.col("hist"), F.col("ssim"), hist_same, ssim_same)).select("video_id", (F.col("i") + 1).alias("idx"))
-    return changed.unionByName(pairs.select("video_id").distinct().select("video_id", F.lit(0).cast(changed.schema["idx"].dataType).alias("idx")))
+    return union_all(changed, pairs.select("video_id").distinct().select("video_id", F.lit(0).cast(changed.schema["idx"].dataType).alias("idx")))
 
 
 def slide_places(texts: Column, min_growth: float = model.MIN_GROWTH) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext import model
+from chronotext.functions.frames import union_all
 
 KEY = ["video_id"]
 
@@ -38,7 +39,7 @@ def complement_spans(spans: DataFrame, bounds: DataFrame, key: list[str] = KEY)
     ends = bounds.where("hi > lo")
     edge = lambda c: ends.select(*key, F.col(c).alias("s"), F.col(c).alias("e"))
     w = Window.partitionBy(*key).orderBy("s", "e")
-    every = merged.unionByName(edge("lo")).unionByName(edge("hi"))
+    every = union_all(merged, edge("lo"), edge("hi"))
     return every.select(*key, F.col("e").alias("s"), F.lead("s").over(w).alias("e")).where("e > s")
 
 
@@ -52,16 +53,12 @@ def subtract_spans(base: DataFrame, cut: DataFrame, key: list[str] = KEY) -> Dat
     for side, kind in ((merge_spans(base, key), "b"), (merge_spans(cut, key), "c")):
         both = side.select(*key, F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("p"))
         own = both.select(*key, F.col("p.t").alias("t"), *[(F.col("p.d") if k == kind else F.lit(0)).alias(k) for k in "bc"])
-        points = own if points is None else points.unionByName(own)
+        points = own if points is None else union_all(points, own)
     at = points.groupBy(*key, "t").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
     w = Window.partitionBy(*key).orderBy("t")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     state = at.select(*key, F.col("t").alias("s"), F.lead("t").over(w).alias("e"), F.sum("b").over(run).alias("_b"), F.sum("c").over(run).alias("_c"))
-    return state.where("_b > 0 and _c = 0 and e > s").select(*key, "s", "e").transform(_rejoin, key)
-
-
-def _rejoin(pieces: DataFrame, key: list[str]) -> DataFrame:
-    return merge_spans(pieces, key)
+    return merge_spans(state.where("_b > 0 and _c = 0 and e > s"), key)
 
 
 def cover_spans(cues: DataFrame, bounds: DataFrame, key: list[str] = KEY, cap: float | int = model.CUE_MAX_COVER_SEC) -> DataFrame:

@@ -9,17 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronotext.functions.frames import union_all
+
+
+def _interleaved(left: DataFrame, right: DataFrame, key: list[str], left_t: str, right_t: str, right_order: list[str], take: list[str]) -> DataFrame:
+    """Rows of both sides in one order: by time, right before left at equal times, right rows among themselves by
+    `right_order`. Columns: key, _t, _side (1 is left), _left, _right, _o."""
+    payload = F.struct(F.col(right_t).alias("_at"), *take)
+    kind = lambda df, c: df.select(c.alias("_x")).schema["_x"].dataType
+    whole, order = F.struct(*left.columns), F.struct(*right_order)
+    l = left.select(*key, F.col(left_t).alias("_t"), F.lit(1).alias("_side"), whole.alias("_left"), F.lit(None).cast(kind(right, payload)).alias("_right"), F.lit(None).cast(kind(right, order)).alias("_o"))  # noqa: E741
+    r = right.select(*key, F.col(right_t).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(kind(left, whole)).alias("_left"), payload.alias("_right"), order.alias("_o"))
+    return union_all(l, r)
+
 
 def asof_backward(left: DataFrame, right: DataFrame, key: list[str], left_t: str, right_t: str, right_order: list[str], take: list[str], tolerance: float | None = None) -> DataFrame:
     """Each left row with `take` of the last right row at or before its time; ties go to the last in `right_order`.
 
     No left row is dropped: without a match, or beyond the tolerance, the taken columns are null.
     """
-    payload = F.struct(F.col(right_t).alias("_at"), *take)
-    l = left.select(*key, F.col(left_t).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(payload).schema[0].dataType).alias("_right"), F.lit(None).cast(right.select(F.struct(*right_order)).schema[0].dataType).alias("_o"))  # noqa: E741
-    r = right.select(*key, F.col(right_t).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), payload.alias("_right"), F.struct(*right_order).alias("_o"))
     w = Window.partitionBy(*key).orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    met = l.unionByName(r).withColumn("_got", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    met = _interleaved(left, right, key, left_t, right_t, right_order, take).withColumn("_got", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
     near = F.lit(True) if tolerance is None else F.col("_t") - F.col("_got._at") <= tolerance
     return met.select("_left.*", *[F.when(near, F.col(f"_got.{c}")).alias(c) for c in take])
 
@@ -28,11 +38,13 @@ def assign_to_sections(segments: DataFrame, sections: DataFrame) -> DataFrame:
     """Each segment with `section`, the index of the last section that starts at or before it.
 
     A segment before the first section belongs to it; of sections with one start the last owns. Videos without sections
-    give null. Nothing is dropped.
+    give null. Nothing is dropped. Both directions are frames of one window, so there is one exchange.
     """
-    got = asof_backward(segments, sections, ["video_id"], "t", "win_start", ["index"], ["index"]).withColumnRenamed("index", "_own")
-    first = sections.groupBy("video_id").agg(F.min_by("index", F.struct("win_start", "index")).alias("_first"))
-    return got.join(first, "video_id", "left").select(*segments.columns, F.coalesce("_own", "_first").alias("section"))
+    w = Window.partitionBy("video_id").orderBy("_t", "_side", "_o")
+    before = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    both = _interleaved(segments, sections, ["video_id"], "t", "win_start", ["index"], ["index"])
+    return both.withColumn("_own", F.coalesce(before, after)).where("_side = 1").select("_left.*", F.col("_own.index").alias("section"))
 
 
 def uncited(links: DataFrame, cues: DataFrame, within: int = 1) -> DataFrame:
