@@ -112,7 +112,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     s = F.col("source")
     bits = _filter_of(classes.join(branches, "minimizer").select(F.col("d1").bitwiseXOR(F.shiftleft(s, 17)).bitwiseXOR(s).alias("key")))
     edges = table(_edges(docs, bits, window))
-    first = edges.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("w1", "w2", "source")
+    first = table(edges.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("w1", "w2", "source"))
     single = edges.join(first, ["w1", "w2"]).where("doc_id > source")
     place, tag = F.shiftrightunsigned("at", 32), F.col("at").bitwiseAND(F.lit(_TAG)).alias("tag")
     size = F.shiftrightunsigned("at", 24).bitwiseAND(F.lit(255))
