@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import cut, map_slices
+from chronotext.llm.common import cut, map_slices, table
 from chronotext.llm.components import components
 
 SEED = 42
@@ -94,7 +94,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = components(links(each.select("fp")))
     named = each.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.join(roots, "root").select("fp", "component_id")
+    # Written, so that the last join has an exchange on either side and Spark can split a fingerprint with very many rows.
+    linked = table(named.join(roots, "root").select("fp", "component_id"))
     return fps.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
