@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotext.functions.frames import union_all
 from chronotext.llm.common import map_slices
 
 #: Fixed value: the published split pattern of byte-level BPE vocabularies.
@@ -243,4 +244,4 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
         first = t["doc_id"].slice(0, 1).combine_chunks()
         return pa.table([pa.concat_arrays([first] * copies), pa.array([whole.tobytes()] * copies, pa.binary()), pa.array([c.decode(whole.tolist())] * copies, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return short.unionByName(encoded.groupBy("doc_id", "own").applyInArrow(merge, schema))
+    return union_all(short, encoded.groupBy("doc_id", "own").applyInArrow(merge, schema))

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python workers hold one slice of a batch as objects at a time, so that memory follows this and not Arrow's batch size.
@@ -54,6 +54,17 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """All columns of a row as the struct `row`, beside the given columns: no name of the input can clash with an operator's."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *columns)
+
+
+def unpacked(rows: DataFrame, changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of `row` again, some of them changed."""
+    changed = changed or {}
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in rows.schema["row"].dataType.names])
+
+
 def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

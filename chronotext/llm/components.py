@@ -9,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotext.functions.frames import union_all
 from chronotext.llm.common import cut
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Link neighbours to the least node near them: larger ones (large star), or those not larger (small star)."""
-    both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges if small else union_all(edges, edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     near = both.join(least, "u")
     if small:
-        out = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = union_all(near.select(F.col("v").alias("u"), F.col("m").alias("v")), least.select("u", F.col("m").alias("v")))
     else:
         out = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where(F.col("u") != F.col("v")).distinct()

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronotext.functions.frames import union_all
 from chronotext.llm.common import lower_ascii
 
 MASKS = ("110111", "1011011")
@@ -73,11 +74,8 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFra
     of equal tokens, and the first and last token (from 0) of all such windows."""
     seeds = _benchmark_seeds(items, window)
     blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
-    found = None
-    for b in range(blocks):
-        own = seeds if blocks == 1 else seeds.where(F.pmod(F.xxhash64("seed", "item_id", "base"), F.lit(blocks)) == b)
-        part = _overlaps_with(docs, own, window)
-        found = part if found is None else found.unionByName(part)
+    block = F.pmod(F.xxhash64("seed", "item_id", "base"), F.lit(blocks))
+    found = union_all(*(_overlaps_with(docs, seeds if blocks == 1 else seeds.where(block == b), window) for b in range(blocks)))
     return found.groupBy("doc_id", "item_id").agg(
         F.max(F.col("equal") / F.col("w")).alias("similarity"), F.min("first").cast("long").alias("first_word"), F.max(F.col("first") + F.col("w") - 1).cast("long").alias("last_word")
     )
@@ -86,4 +84,4 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFra
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without an overlap, all columns kept. A null doc_id can't be named by an overlap and stays."""
     leaked = overlaps(docs, items, window).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"] == F.col("_leaked"), "left_anti")
+    return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")

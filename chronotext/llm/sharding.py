@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronotext.functions.frames import union_all
 from chronotext.llm.common import table
 
 BITS = 60
@@ -77,10 +78,7 @@ def _assign(rows: DataFrame, limit: int, chain: bool) -> DataFrame:
             done.append(over.select(*columns, F.concat_ws(".", F.lpad(F.bin("_key"), BITS, "0"), "bits").alias("bits"), (F.col("depth") + BITS).alias("depth"), "shard_bytes", "shard_rows"))
             break
         known, bits = bits + 1, min(bits + 8, BITS)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_all(*done)
 
 
 def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
@@ -93,6 +91,9 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
     """Write the documents as one folder a shard; rows of a key in an overflow chain are dealt by key and stay together only
     as far as their shard allows, so `key` must be unique here."""
-    shards = assign_shards(docs, key, text, limit).select(F.col(key).alias("_key"), F.col("shard").alias("_shard"))
-    joined = docs.join(shards, docs[key].eqNullSafe(F.col("_key"))).drop("_key")
-    joined.repartition("_shard").write.partitionBy("_shard").parquet(path)
+    name = "_shard"
+    while name in docs.columns:
+        name = f"_{name}"
+    shards = assign_shards(docs, key, text, limit).select(F.col(key).alias("_key"), F.col("shard").alias(name))
+    joined = docs.join(shards, docs[key].eqNullSafe(shards["_key"])).select(*[docs[c] for c in docs.columns], shards[name])
+    joined.repartition(name).write.partitionBy(name).parquet(path)

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import cut, map_slices, table
+from chronotext.functions.frames import union_all
+from chronotext.llm.common import cut, map_slices, packed, table, unpacked
 from chronotext.llm.components import components
 
 SEED = 42
@@ -104,9 +105,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     with the least text hash stays. Rows without a doc_id stay only where no row of their component has one."""
     found = near_duplicates(docs)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    w = Window.partitionBy("doc_id").orderBy(F.col("_fold"))
-    named = docs.join(first, docs["doc_id"] == F.col("_first"), "left_semi").withColumn("_fold", F.xxhash64("text"))
-    one = named.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").select(*docs.columns)
+    w = Window.partitionBy("own").orderBy("fold")
+    rows = packed(docs, docs["doc_id"].alias("own"), F.xxhash64(docs["text"]).alias("fold"))
+    named = rows.join(first, rows["own"] == first["_first"], "left_semi")
+    one = unpacked(named.withColumn("nth", F.row_number().over(w)).where("nth = 1"))
     if found.where("doc_id is null and component_id is null").isEmpty():
         return one
-    return one.unionByName(docs.where("doc_id is null"))
+    return union_all(one, docs.where("doc_id is null"))

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import cut, map_slices, table
+from chronotext.functions.frames import union_all
+from chronotext.llm.common import cut, map_slices, packed, table
 from chronotext.llm.superwindows import Pieces, WordHashes
 
 WINDOW, MINIMIZER = 50, 16
@@ -108,7 +109,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kept = table(found.join(shared, "minimizer"))
     classes = table(kept.groupBy("minimizer", "d1", "d2").agg(F.min("doc_id").alias("source")))
     whole = kept.join(classes.select("d1", "d2", "source"), ["d1", "d2"]).where("doc_id > source")
-    branches = classes.groupBy("minimizer").count().where("count > 1").select("minimizer")
+    branches = table(classes.groupBy("minimizer").count().where("count > 1").select("minimizer"))
     s = F.col("source")
     bits = _filter_of(classes.join(branches, "minimizer").select(F.col("d1").bitwiseXOR(F.shiftleft(s, 17)).bitwiseXOR(s).alias("key")))
     edges = table(_edges(docs, bits, window))
@@ -116,21 +117,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     single = edges.join(first, ["w1", "w2"]).where("doc_id > source")
     place, tag = F.shiftrightunsigned("at", 32), F.col("at").bitwiseAND(F.lit(_TAG)).alias("tag")
     size = F.shiftrightunsigned("at", 24).bitwiseAND(F.lit(255))
-    return whole.select("doc_id", tag, place.alias("first"), (size + window - 1).alias("size")).unionByName(single.select("doc_id", tag, place.alias("first"), F.lit(window).cast("long").alias("size")))
+    wholes = whole.select("doc_id", tag, place.alias("first"), (size + window - 1).alias("size"))
+    return union_all(wholes, single.select("doc_id", tag, place.alias("first"), F.lit(window).cast("long").alias("size")))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default doc_id) with n_words, n_removed, and kept_text: the words left, joined by one space."""
-    keep = keep or ["doc_id"]
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Each row's columns as the struct `row`, with n_words, n_removed and kept_text: the words left, joined by one space."""
     spans = cut(
         repeated_spans(docs, window)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
-        .agg(F.collect_set(F.shiftleft("first", 32).bitwiseOR(F.col("size"))).alias("_spans"))
+        .groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("id_tag"))
+        .agg(F.collect_set(F.shiftleft("first", 32).bitwiseOR(F.col("size"))).alias("spans"))
     )
-    names = [*dict.fromkeys([*keep, "doc_id", "text"])]
-    rows = docs.select(*names, F.col("doc_id").cast("long").alias("_own"), _tag(F.col("text")).alias("_own_tag"))
-    joined = rows.join(spans, (F.col("_own") == F.col("_id")) & (F.col("_own_tag") == F.col("_tag")), "left").select(*names, "_spans")
-    schema = docs.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    rows = packed(docs, docs["text"].alias("text"), docs["doc_id"].cast("long").alias("own"), _tag(docs["text"]).alias("own_tag"))
+    joined = rows.join(spans, (F.col("own") == F.col("id")) & (F.col("own_tag") == F.col("id_tag")), "left").select("row", "text", "spans")
+    schema = joined.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def make():
         def one(text: str | None, spans: list[int] | None) -> tuple[int, int, str]:
@@ -147,10 +147,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None
             return n, n - len(kept), b" ".join(kept).decode()
 
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-            got = [one(t, s) for t, s in zip(piece["text"].to_pylist(), piece["_spans"].to_pylist(), strict=True)]
+            got = [one(t, s) for t, s in zip(piece["text"].to_pylist(), piece["spans"].to_pylist(), strict=True)]
             more = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
-            return pa.record_batch([*[piece[k] for k in keep], *more], [*keep, "n_words", "n_removed", "kept_text"])
+            return pa.record_batch([piece["row"], *more], ["row", "n_words", "n_removed", "kept_text"])
 
         return work
 
     return map_slices(joined, "text", make, schema)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) of every row."""
+    return cut_repeats(docs.select("doc_id", "text"), window).select("row.doc_id", "n_words", "n_removed", "kept_text")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.llm import bpe, decontaminate, langid, simhash, substrings
-from chronotext.llm.common import read, table
+from chronotext.llm.common import read, table, unpacked
 from chronotext.llm.queries import tokenizer_file
 
 #: The tokens' identity can't be had in SQL; tests/llm compares the stages with brute force.
@@ -29,10 +29,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; documents of which nothing is left go."""
-    out = substrings.remove_repeats(docs, keep=docs.columns).where("n_words = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return out.withColumns(changed).select(*docs.columns)
+    out = substrings.cut_repeats(docs).where("n_words = 0 or n_removed < n_words")
+    cut, row = F.col("n_removed") > 0, F.col("row")
+    changed = {"text": F.when(cut, F.col("kept_text")).otherwise(row.getField("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(row.getField("n_chars"))
+    return unpacked(out, changed)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,11 @@ import random
 
 import pytest
 
+#: Names that operators use for themselves.
+CLASHING = (
+    "score lang_pred labels shard depth bytes fp fold nth tag spans seed at h u v key kept first row own own_tag id id_tag n_words n_removed kept_text ids decoded place total special piece "
+    "_n _first _leaked _h _id _shard _key text_ predicted evidence covered_words similarity item_id"
+).split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -16,7 +21,7 @@ def odd(spark):
         (6, long_text, "en", "hot", len(long_text)), (7, "x" * 300_000, None, "hot", 300_000), (None, "a text without an id, in plain words", "en", "hot", 36), (8, "word", "fr", "b", 4),
         (5, "another text under the same id", "de", "b", 30), (9, "漢字 and émojis 😀 <|endoftext|> end", None, "b", 30),
     ]
-    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("score", "labels", "shard", "depth", "fp", "tag", "seed", "key", "kept", "first", "_n")})
+    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in CLASHING})
 
 
 @pytest.fixture(scope="session")

@@ -243,6 +243,21 @@ def test_shards_are_written(spark, tmp_path, corpus):
     assert back.groupBy("_shard").agg(F.sum(F.octet_length("text")).alias("b")).where("b > 20000").count() == 0
 
 
+@pytest.mark.parametrize("table", ["odd", "none"])
+def test_pipeline_stages_on_odd_rows(request, spark, tmp_path, table):
+    docs = request.getfixturevalue(table)
+    spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    count = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "tokens" or out.columns == docs.columns
+        rows = out.collect()
+        assert (len(rows) > 0) == (count > 0)
+        if name == "decontamination":
+            assert len(rows) == count
+        assert all(r[c] == "clash" for r in rows for c in docs.columns if c in r and isinstance(r[c], str) and c in ("row", "own", "fold", "kept_text", "_leaked", "spans"))
+
+
 def test_pipeline_stages(spark, tmp_path, corpus):
     items = corpus.where("doc_id = 17 or doc_id = 27").select(F.col("doc_id").alias("item_id"), "text")
     blank = spark.createDataFrame([(900, None, None, None, None), (901, "12 !!", None, "s", 5)], corpus.schema)
