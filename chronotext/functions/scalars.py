@@ -86,9 +86,18 @@ def slide_lines(text: Column) -> Column:
 
 def slide_transition(prev: Column, cur: Column, min_growth: float = model.MIN_GROWTH) -> Column:
     """`duplicate`, `incremental` or `new`: how a slide's text follows on another."""
-    p, c = collapse(prev), collapse(cur)
-    before = slide_lines(prev)
-    superset = (F.size(before) > 0) & (F.size(F.array_except(before, slide_lines(cur))) == 0)
+    return transition_of(slide_form(prev), slide_form(cur), min_growth)
+
+
+def slide_form(text: Column) -> Column:
+    """What transitions are judged by: a slide's collapsed text and its lines."""
+    return F.struct(collapse(text).alias("text"), slide_lines(text).alias("lines"))
+
+
+def transition_of(prev: Column, cur: Column, min_growth: float = model.MIN_GROWTH) -> Column:
+    """`slide_transition` of two slide forms."""
+    p, c, before = prev["text"], cur["text"], prev["lines"]
+    superset = (F.size(before) > 0) & (F.size(F.array_except(before, cur["lines"])) == 0)
     growth = (F.length(c) - F.length(p)) / F.greatest(F.length(c), F.lit(1))
     return (
         F.when((c == "") & (p == ""), "duplicate")

@@ -126,18 +126,19 @@ def otsu_threshold(histogram: Column) -> Column:
     total = F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
     weighted = F.aggregate(F.transform(h, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
 
-    def state(level, count, weight, best, at) -> Column:
-        return F.struct(level.alias("level"), count.alias("count"), weight.alias("weight"), best.alias("best"), at.alias("at"))
+    # The sums ride along in the state: a lambda that names them would take them anew at every level.
+    def state(level, count, weight, best, at, total, weighted) -> Column:
+        return F.struct(level.alias("level"), count.alias("count"), weight.alias("weight"), best.alias("best"), at.alias("at"), total.alias("total"), weighted.alias("weighted"))
 
-    start = state(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(-1.0), F.lit(127))
+    start = state(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(-1.0), F.lit(127), total, weighted)
 
     def step(acc: Column, x: Column) -> Column:
         n, w = acc["count"] + x, acc["weight"] + acc["level"] * x
-        rest = total - n
-        apart = F.try_divide(w, n) - F.try_divide(weighted - w, rest)
+        rest = acc["total"] - n
+        apart = F.try_divide(w, n) - F.try_divide(acc["weighted"] - w, rest)
         score = F.when((n > 0) & (rest > 0), n * rest * apart * apart)
         better = F.coalesce(score > acc["best"], F.lit(False))
-        return state(acc["level"] + 1, n, w, F.when(better, score).otherwise(acc["best"]), F.when(better, acc["level"]).otherwise(acc["at"]))
+        return state(acc["level"] + 1, n, w, F.when(better, score).otherwise(acc["best"]), F.when(better, acc["level"]).otherwise(acc["at"]), acc["total"], acc["weighted"])
 
     level = F.when(total > 0, F.aggregate(h, start, step, lambda acc: acc["at"])).otherwise(127)
     return F.when(F.size(histogram) == 256, level).otherwise(F.raise_error(F.lit("a gray histogram has 256 counts")))

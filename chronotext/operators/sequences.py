@@ -141,14 +141,15 @@ def select_by_pair_metrics(pairs: DataFrame, hist_same: float = model.HIST_SAME,
 
 def slide_places(texts: Column, min_growth: float = model.MIN_GROWTH) -> Column:
     """Places (from 0) of the texts to keep: the first, then each that isn't a duplicate of the last one kept."""
-    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<int>").alias("kept"), F.lit("").alias("prev"))
+    empty = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("lines"))
+    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<int>").alias("kept"), empty.alias("prev"))
 
-    def step(acc: Column, text: Column) -> Column:
-        t = F.coalesce(text, F.lit(""))
-        keep = (acc["i"] == 0) | (S.slide_transition(acc["prev"], t, min_growth) != "duplicate")
-        return F.struct((acc["i"] + 1).alias("i"), F.when(keep, F.concat(acc["kept"], F.array(acc["i"]))).otherwise(acc["kept"]).alias("kept"), F.when(keep, t).otherwise(acc["prev"]).alias("prev"))
+    def step(acc: Column, form: Column) -> Column:
+        keep = (acc["i"] == 0) | (S.transition_of(acc["prev"], form, min_growth) != "duplicate")
+        return F.struct((acc["i"] + 1).alias("i"), F.when(keep, F.concat(acc["kept"], F.array(acc["i"]))).otherwise(acc["kept"]).alias("kept"), F.when(keep, form).otherwise(acc["prev"]).alias("prev"))
 
-    return F.aggregate(texts, start, step, lambda acc: acc["kept"])
+    # Forms are taken once a text, before the fold.
+    return F.aggregate(F.transform(texts, S.slide_form), start, step, lambda acc: acc["kept"])
 
 
 def dedupe_slides(slides: DataFrame, min_growth: float = model.MIN_GROWTH) -> DataFrame:
