@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronotext import model
 from chronotext.functions.frames import union_all
+from chronotext.functions.scalars import overall_status
 
 
 def start_session(spark: SparkSession, urls: list[str]) -> DataFrame:
     """A fresh table of runs (index, url, status, ...), every URL pending."""
     rows = [(i, u, "pending", None, None, None, None, None) for i, u in enumerate(urls)]
-    from chronotext.model import RUNS
-
-    return spark.createDataFrame(rows, RUNS)
+    return spark.createDataFrame(rows, model.RUNS)
 
 
 def resolve_notes(runs: DataFrame) -> DataFrame:
@@ -90,3 +90,11 @@ def stage_summary(samples: DataFrame) -> DataFrame:
     return samples.groupBy("stage").agg(
         F.count("*").alias("n"), one(F.avg("cpu")).alias("cpu_avg"), one(F.max("cpu")).alias("cpu_peak"), one(F.avg("rss") / 1e6).alias("rss_mb_avg"), one(F.max("rss") / 1e6).alias("rss_mb_peak")
     )
+
+
+def report_lines(items: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., report) of check items (by..., ord, name, status, detail, hint): a line for each, in order, then the overall status."""
+    hint = F.when((F.col("status") != "ok") & (F.coalesce("hint", F.lit("")) != ""), F.concat(F.lit(" -> "), F.col("hint"))).otherwise("")
+    line = F.concat(F.lit("["), F.col("status"), F.lit("] "), F.col("name"), F.lit(": "), F.coalesce("detail", F.lit("")), hint)
+    lines = items.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("_text"))
+    return lines.join(status_exit_code(items, by), by).select(*by, F.concat(F.col("_text"), F.lit("\n"), overall_status(F.col("exit_code"))).alias("report"))

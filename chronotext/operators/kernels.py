@@ -164,3 +164,42 @@ def otsu_by_window(counts: DataFrame, key: list[str]) -> DataFrame:
     scored = rows.select(*key, "level", F.when((F.col("_n") > 0) & (rest > 0), F.col("_n") * rest * apart * apart).alias("_v"))
     best = F.max(F.struct(F.col("_v"), (-F.col("level")).alias("l")))
     return scored.groupBy(*key).agg(best.alias("_b")).select(*key, F.when(F.col("_b._v").isNull(), 127).otherwise(-F.col("_b.l")).cast("int").alias("threshold"))
+
+
+def otsu_of_gray(gray: np.ndarray) -> int:
+    """Otsu's level of an image: the first that separates the classes best; 127 for an image without pixels."""
+    n = np.bincount(gray.astype(np.int64).ravel(), minlength=256).astype(np.float64)
+    below, weight = np.cumsum(n), np.cumsum(n * np.arange(256))
+    rest = below[-1] - below
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = weight / below - (weight[-1] - weight) / rest
+        score = np.where((below > 0) & (rest > 0), below * rest * apart**2, -1.0)
+    return int(score.argmax()) if score.max() >= 0 else 127
+
+
+def linear_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Linear interpolation between pixel centres, for enlarging."""
+
+    def weights(old: int, new: int) -> np.ndarray:
+        at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+        low = np.minimum(at.astype(int), max(old - 2, 0))
+        w = np.zeros((new, old))
+        w[np.arange(new), low] = 1 - (at - low)
+        w[np.arange(new), np.minimum(low + 1, old - 1)] += at - low
+        return w
+
+    return weights(image.shape[0], height) @ image.astype(np.float64) @ weights(image.shape[1], width).T
+
+
+def prepare_for_ocr(gray: np.ndarray, margin: float = 0.035, keep: float = 0.80, scale: float = 2.0, most: int = 3200) -> np.ndarray:
+    """A frame's inner region, enlarged and made black and white by its own Otsu level."""
+    height, width = gray.shape
+    m = max(0.0, min(margin, (1.0 - keep) / 2.0))
+    top, left = round(height * m), round(width * m)
+    region = gray[top : height - top, left : width - left] if height > 2 * top and width > 2 * left else gray
+    h, w = region.shape
+    factor = max(scale, 1.0)
+    if max(h, w) * factor > most:
+        factor = max(most / max(h, w), 1.0)
+    large = np.rint(linear_resize(region, max(1, round(h * factor)), max(1, round(w * factor))))
+    return np.where(large > otsu_of_gray(large), 255, 0).astype(np.uint8)

@@ -150,6 +150,18 @@ def test_phash(spark):
     assert kernels.area_resize(np.ones((64, 48)), 32, 32) == pytest.approx(np.ones((32, 32)))
 
 
+def test_preparation_for_ocr():
+    page = np.full((100, 200), 240.0)
+    page[40:60, 60:140] = 10
+    out = kernels.prepare_for_ocr(page)
+    assert out.shape == (184, 372) and set(np.unique(out)) == {0, 255}
+    assert out[92, 186] == 0 and out[5, 5] == 255
+    h = np.zeros((1, 110))
+    h[0, :50], h[0, 50:] = 10, 200
+    assert kernels.otsu_of_gray(h) == 10 and kernels.otsu_of_gray(np.full((3, 3), 7)) == 127
+    assert kernels.linear_resize(np.arange(4.0)[None, :], 2, 4).tolist() == [[0, 1, 2, 3]] * 2
+
+
 def test_histograms(spark):
     px = spark.createDataFrame([("a", 3), ("a", 3), ("a", 255)], "k string, level int")
     h = kernels.gray_histogram(px, ["k"]).first()["histogram"]

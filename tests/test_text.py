@@ -193,6 +193,12 @@ def test_status_codes(spark, statuses, code):
     assert gate.status_exit_code(spark.createDataFrame([(s,) for s in statuses], "status string")).first()["exit_code"] == code
 
 
+def test_report(spark):
+    rows = [("h", 0, "python", "ok", "3.13", ""), ("h", 1, "ffmpeg", "missing", None, "install it")]
+    out = gate.report_lines(spark.createDataFrame(rows, "host string, ord int, name string, status string, detail string, hint string"), ["host"])
+    assert out.first()["report"] == "[ok] python: 3.13\n[missing] ffmpeg:  -> install it\nuser-action"
+
+
 def test_stage_summary(spark):
     df = spark.createDataFrame([("ocr", 100.0, 500e6), ("ocr", 300.0, 900e6)], "stage string, cpu double, rss double")
     assert tuple(gate.stage_summary(df).first()) == ("ocr", 2, 200.0, 300.0, 700.0, 900.0)
