@@ -76,10 +76,11 @@ SELECT video_id, i + 1 AS idx FROM p WHERE NOT (hist >= CAST(0.90 AS DOUBLE) AND
 
 
 def incremental_slides(spark: SparkSession, d: str) -> DataFrame:
-    """The first k lines of each document, for k up to twelve, as slides that build up."""
-    lines = F.split("text", "\n", -1)
-    k = F.explode(F.sequence(F.lit(1), F.least(F.size(lines), F.lit(12))))
-    slides = V.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "text", k.alias("idx")).withColumn("ocr_text", F.array_join(F.slice(lines, F.lit(1), F.col("idx")), "\n"))
+    """All lines of each document as slides that build up over four lines, then begin anew."""
+    rows = V.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.split("text", "\n", -1).alias("lines"))
+    each = rows.select("video_id", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("idx"))
+    begin = F.col("idx") - (F.col("idx") - 1) % 4
+    slides = each.select("video_id", "idx", F.array_join(F.slice("lines", begin, F.col("idx") - begin + 1), "\n").alias("ocr_text"))
     return Q.dedupe_slides(slides).select(F.col("video_id").alias("doc_id"), F.col("idx").alias("k"))
 
 
@@ -92,9 +93,12 @@ def _norm(column: str) -> str:
 
 
 SQL["incremental_slides"] = f"""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-s AS (SELECT doc_id, k, length({_norm("array_to_string(ls[1:k], chr(10))")}) AS n FROM l, range(1, 13) AS r(k) WHERE k <= len(ls)),
-walk AS (SELECT doc_id, k, n AS held, true AS kept FROM s WHERE k = 1
-  UNION ALL SELECT w.doc_id, s.k, CASE WHEN s.n > w.held AND (w.held = 0 OR (s.n - w.held) / s.n >= CAST(0.15 AS DOUBLE)) THEN s.n ELSE w.held END, s.n > w.held AND (w.held = 0 OR (s.n - w.held) / s.n >= CAST(0.15 AS DOUBLE)) FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.k = w.k + 1)
+e AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM l),
+s AS (SELECT doc_id, k, {_norm("array_to_string(ls[k - (k - 1) % 4:k], chr(10))")} AS c, list_filter(list_transform(ls[k - (k - 1) % 4:k], lambda x: {_norm("x")}), lambda x: x <> '') AS cl FROM e),
+walk AS (SELECT doc_id, k, c AS p, cl AS pl, true AS kept FROM s WHERE k = 1
+  UNION ALL SELECT doc_id, k, CASE WHEN new THEN c ELSE p END, CASE WHEN new THEN cl ELSE pl END, new FROM (
+    SELECT s.doc_id, s.k, c, cl, p, pl, CASE WHEN c = p THEN false WHEN c = '' OR p = '' THEN true WHEN (len(pl) > 0 AND list_has_all(cl, pl)) OR starts_with(c, p) THEN (length(c) - length(p)) / length(c) >= CAST(0.15 AS DOUBLE) ELSE true END AS new
+    FROM walk w JOIN s ON s.doc_id = w.doc_id AND s.k = w.k + 1))
 SELECT doc_id, CAST(k AS INTEGER) AS k FROM walk WHERE kept"""
 
 
@@ -113,10 +117,10 @@ SELECT video_id, seq, CASE WHEN c = '' AND p = '' THEN 'duplicate' WHEN c = '' O
 
 
 def slide_filter(spark: SparkSession, d: str) -> DataFrame:
-    return V.read(spark, d, "documents").select("doc_id", S.is_slide(F.substring("text", 1, 20)).alias("is_slide"), F.length(S.collapse(F.col("text"))).alias("n"))
+    return V.read(spark, d, "documents").select("doc_id", S.is_slide(F.col("text"), 900).alias("is_slide"), F.length(S.collapse(F.col("text"))).alias("n"))
 
 
-SQL["slide_filter"] = f"SELECT doc_id, length(replace({_norm('substring(text, 1, 20)')}, ' ', '')) >= 12 AS is_slide, CAST(length({_norm('text')}) AS INTEGER) AS n FROM documents"
+SQL["slide_filter"] = f"SELECT doc_id, length(replace({_norm('text')}, ' ', '')) >= 900 AS is_slide, CAST(length({_norm('text')}) AS INTEGER) AS n FROM documents"
 
 
 def frame_times(spark: SparkSession, d: str) -> DataFrame:

@@ -20,13 +20,13 @@ SQL: dict[str, str] = {}
 
 
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    title = F.when(F.col("doc_id") % 11 == 0, F.lit(" / : ")).otherwise(F.substring("text", 1, 110))
-    return V.read(spark, d, "documents").select("doc_id", S.output_dir("out", title).alias("folder"), S.safe_title(F.concat(F.lit("[a|b] "), F.substring("text", 1, 50))).alias("safe"), S.first_line(F.col("text"), F.lit("none")).alias("first"))
+    title = F.when(F.col("doc_id") % 11 == 0, F.lit(" / : ")).otherwise(F.get(F.split("text", "\n", -1), F.lit(0)))
+    return V.read(spark, d, "documents").select("doc_id", S.output_dir("out", title).alias("folder"), S.safe_title(F.concat(F.lit("[a|b] "), "text")).alias("safe"), S.first_line(F.col("text"), F.lit("none")).alias("first"))
 
 
-SQL["slugs"] = r"""WITH x AS (SELECT doc_id, text, CASE WHEN doc_id % 11 = 0 THEN ' / : ' ELSE substring(text, 1, 110) END AS title FROM documents),
+SQL["slugs"] = r"""WITH x AS (SELECT doc_id, text, CASE WHEN doc_id % 11 = 0 THEN ' / : ' ELSE string_split(text, chr(10))[1] END AS title FROM documents),
 y AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(trim(title, E' \t\n\r'), '[^\p{L}\p{M}\p{N}_-]+', '-', 'g'), '^-+|-+$', '', 'g'), '-{2,}', '-', 'g') AS s FROM x)
-SELECT doc_id, 'out/' || substring(CASE WHEN s = '' THEN 'video' ELSE s END, 1, 80) AS folder, translate(trim(regexp_replace('[a|b] ' || substring(text, 1, 50), '\s+', ' ', 'g')), '[]|', '()/') AS safe,
+SELECT doc_id, 'out/' || substring(CASE WHEN s = '' THEN 'video' ELSE s END, 1, 80) AS folder, translate(trim(regexp_replace('[a|b] ' || text, '\s+', ' ', 'g')), '[]|', '()/') AS safe,
 coalesce((SELECT substring(v, 1, 80) FROM (SELECT unnest(list_transform(string_split(text, chr(10)), lambda z: trim(z, E' \t\r'))) AS v, unnest(range(len(string_split(text, chr(10))))) AS k) WHERE v <> '' ORDER BY k LIMIT 1), 'none') AS first FROM y"""
 
 
@@ -77,11 +77,11 @@ SQL["synthesis"] = f"""WITH {V.TALKS_SQL}, {L._HINTS} SELECT video_id, 1 AS sche
 
 
 def slide_counts(spark: SparkSession, d: str) -> DataFrame:
-    slides = V.conversation_slides(spark, d).withColumn("ocr_text", F.when(F.col("idx") == 0, F.lit(" \n")).otherwise(F.col("ocr_text")))
+    slides = V.conversation_slides(spark, d).withColumn("ocr_text", F.when(F.col("idx") == 1, F.lit(" \n")).otherwise(F.col("ocr_text")))
     return A.slide_counts(slides, V.conversation_videos(spark, d))
 
 
-SQL["slide_counts"] = f"WITH {V.TALKS_SQL} SELECT talk.video_id, count(slide.idx) AS slides_total, count(slide.idx) FILTER (WHERE slide.idx <> 0 AND trim(slide.ocr_text) <> '') AS slides_with_text FROM talk LEFT JOIN slide USING (video_id) GROUP BY talk.video_id"
+SQL["slide_counts"] = f"WITH {V.TALKS_SQL} SELECT talk.video_id, count(slide.idx) AS slides_total, count(slide.idx) FILTER (WHERE slide.idx <> 1 AND trim(slide.ocr_text) <> '') AS slides_with_text FROM talk LEFT JOIN slide USING (video_id) GROUP BY talk.video_id"
 
 
 def _written(spark: SparkSession, d: str) -> DataFrame:

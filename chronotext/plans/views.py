@@ -82,10 +82,10 @@ def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third turn of the conversations whose number isn't a multiple of ten shows a slide."""
-    rows = read(spark, sf_dir, "conversations").where("turn % 3 = 0 and conv_id % 10 <> 0")
-    t = F.when(F.col("conv_id") % 4 == 0, F.col("turn") * F.lit(45.0)).otherwise(F.col("turn") * F.lit(45.0) + 5.0)
-    frame = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("frames/frame_"), F.col("turn").cast("string"), F.lit(".png")))
+    """Every answer shows a slide; a talk without one has none."""
+    rows = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    t = F.when(F.col("conv_id") % 4 == 0, (F.col("turn") - 1) * F.lit(45.0)).otherwise(F.col("turn") * F.lit(45.0) + 5.0)
+    frame = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("frames/frame_"), F.col("turn").cast("string"), F.lit(".png")))
     return rows.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("idx"), t.alias("t"), frame.alias("frame"), F.col("text").alias("ocr_text"))
 
 
@@ -93,8 +93,8 @@ TALKS_SQL = r"""
 talk AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, 'Talk [no. ' || conv_id || '] | ' || (conv_id % 9) AS title, (max(turn) + 1) * CAST(45 AS DOUBLE) AS duration_sec,
   CASE WHEN conv_id % 2 = 0 THEN 'caption' ELSE 'stt' END AS source FROM conversations GROUP BY conv_id),
 line AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, turn AS seq, CAST(turn * 45 + conv_id % 7 AS DOUBLE) AS t, text FROM conversations),
-slide AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, turn AS idx, CAST(CASE WHEN conv_id % 4 = 0 THEN turn * 45 ELSE turn * 45 + 5 END AS DOUBLE) AS t,
-  CASE WHEN turn % 2 = 0 THEN 'frames/frame_' || turn || '.png' END AS frame, text AS ocr_text FROM conversations WHERE turn % 3 = 0 AND conv_id % 10 <> 0)"""
+slide AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, turn AS idx, CAST(CASE WHEN conv_id % 4 = 0 THEN (turn - 1) * 45 ELSE turn * 45 + 5 END AS DOUBLE) AS t,
+  CASE WHEN conv_id % 3 <> 0 THEN 'frames/frame_' || turn || '.png' END AS frame, text AS ocr_text FROM conversations WHERE role = 'assistant')"""
 
 
 def stamp_sql(t: str) -> str:
