@@ -23,8 +23,8 @@ def strip_tags(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their separators; a separator at the end opens no further line."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"\R", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    some = F.nullif(text, F.lit(""))
+    return F.coalesce(F.split(F.regexp_replace(some, r"\R\z", ""), r"\R", -1), F.array().cast("array<string>"))
 
 
 def round_ms(t: Column) -> Column:
