@@ -90,9 +90,11 @@ def split_url(url: str) -> tuple[str, str]:
 
 def fit(labelled: list[tuple[str, int]], steps: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised logistic regression; label 1 is block."""
-    x = np.zeros((len(labelled), 1 << HASH_BITS))
-    for i, (url, _) in enumerate(labelled):
-        np.add.at(x[i], *features(*split_url(url)))
+    rows = [features(*split_url(url)) for url, _ in labelled]
+    seen = np.unique(np.concatenate([f for f, _ in rows]))
+    x = np.zeros((len(labelled), len(seen)))
+    for i, (f, v) in enumerate(rows):
+        np.add.at(x[i], np.searchsorted(seen, f), v)
     y = np.array([label for _, label in labelled], float)
     w, b = np.zeros(x.shape[1]), 0.0
     cost = np.where(y == 1, 1.0, ALLOW_COST)
@@ -101,7 +103,9 @@ def fit(labelled: list[tuple[str, int]], steps: int = 400, l2: float = 1e-3) ->
         g = cost * (1 / (1 + np.exp(-(x @ w + b))) - y)
         w -= 0.2 * (x.T @ g + l2 * w)
         b -= 0.2 * float(g.sum())
-    return w, b
+    every = np.zeros(1 << HASH_BITS)
+    every[seen] = w
+    return every, b
 
 
 def judge(pages: DataFrame, labelled: list[tuple[str, int]] | None = None, rules=None) -> DataFrame:
