@@ -128,8 +128,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("id_tag"))
         .agg(F.collect_set(F.shiftleft("first", 32).bitwiseOR(F.col("size"))).alias("spans"))
     )
-    rows = packed(docs, docs["text"].alias("text"), docs["doc_id"].cast("long").alias("own"), _tag(docs["text"]).alias("own_tag"))
-    joined = rows.join(spans, (F.col("own") == F.col("id")) & (F.col("own_tag") == F.col("id_tag")), "left").select("row", "text", "spans")
+    rows = packed(docs, docs["doc_id"].cast("long").alias("own"), _tag(docs["text"]).alias("own_tag"))
+    joined = rows.join(spans, (F.col("own") == F.col("id")) & (F.col("own_tag") == F.col("id_tag")), "left").select("row", F.col("row").getField("text").alias("text"), "spans")
     schema = joined.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def make():
