@@ -1,21 +1,28 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-1. Labelled rows are sampled up to EXAMPLES a class. From their words, the terms whose use differs between the classes
-   (likelihood ratio over LEAST_RATIO, the TERMS largest) make the vector space.
-2. The inverse document frequency of these terms is counted over all documents.
-3. The index holds each term's examples in blocks, with the largest weight of each block. For a text, the terms' block
-   maxima bound the cosine of every block's examples; blocks are scored exactly from the largest bound on, until the
-   bound falls below the K-th best cosine found. What is found is exact; a tie goes to the smaller example number.
-4. The K nearest vote with their squared cosine. Platt scaling, fitted on the examples' own votes without themselves and
-   weighted back to the classes' real shares, turns a vote into a chance. The neighbours are returned as evidence.
-
-Defined cases: a null or empty text, or one without a term of the space, has no neighbour and takes the vote of examples
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index.
+
+1. Labelled rows are sampled up to EXAMPLES a class. All their words make the vector space; the inverse document frequency
+   of each is counted over all documents.
+2. The index holds the DENSE most frequent words of the examples as rows of a matrix, and the others as postings. One
+   product of a block of texts with the matrix and the postings gives every example's cosine in single precision; those
+   that reach the K-th best within the rounding error are scored again in double precision. What is found is exact; a tie
+   goes to the smaller example number. (Block maxima don't help here: with all words, 98 % of blocks of 64 can hold one of
+   the K nearest.)
+3. Of the words, those whose use differs between the classes (likelihood ratio over LEAST_RATIO) make a second, smaller
+   space, searched in the same way for a second vote. No word is dropped from the first for it.
+4. The K nearest of each space vote with their squared cosine. A logistic scale, fitted on the examples' own votes without
+   themselves and weighted back to the classes' real shares, turns both votes into a chance. The nearest neighbours over
+   all words are returned as evidence.
+
+Defined cases: a null or empty text, or one without a word of any example, has no neighbour and takes the vote of examples
 without one. Without labels every score is 0. Repeated rows are scored one by one; whole texts count.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,136 +30,207 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotext.llm.common import lower_ascii, map_slices
+from chronotext.llm.common import map_slices, slices
 
-EXAMPLES, TERMS, LEAST_RATIO = 2000, 5000, 18.0
-K, BLOCK = 15, 64
-_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+EXAMPLES, LEAST_RATIO = 2000, 18.0
+#: Texts in one product, and words as rows of the matrix; neither changes what is found.
+K, BLOCK, DENSE = 15, 128, 1024
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1 ... of each range, one range after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
 
 @dataclass
 class Index:
-    terms: dict[bytes, int]
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    #: Weights of a term's examples of one block; row 0 is empty. `cell_of` has the row of each term and block.
-    cells: np.ndarray
-    cell_of: np.ndarray
-    block_max: np.ndarray
-    slope: float = 1.0
-    offset: float = 0.0
-    nothing: float = 0.0
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit-length TF-IDF weights of a text."""
-        counts: dict[int, int] = {}
-        get = self.terms.get
-        for w in (text or "").encode("utf-8", "replace").translate(_FOLD).split():
-            if (t := get(w)) is not None:
-                counts[t] = counts.get(t, 0) + 1
-        return weigh(counts, self.idf)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a cosine over 0, nearest first; `skip` is left out.
-
-        Blocks are taken in the order of their bounds, some at a time, until no bound reaches the k-th best cosine."""
-        best_n, best_s = np.zeros(0, np.int64), np.zeros(0)
-        if not len(terms):
-            return best_n, best_s
-        bound = weights @ self.block_max[terms]
-        order = np.argsort(-bound, kind="stable")
-        cells, at, some = self.cell_of[terms], 0, 2
-        while at < len(order):
-            least = max(best_s[-1] - 1e-12, 0.0) if len(best_s) == k else 0.0
-            own = order[at : at + some]
-            own = own[(bound[own] >= least) & (bound[own] > 0)]
-            if not len(own):
-                break
-            score = np.einsum("t,tbe->be", weights, self.cells[cells[:, own]])
-            row, place = np.nonzero(score > least)
-            n, s = own[row] * BLOCK + place, score[row, place]
-            if skip >= 0:
-                n, s = n[n != skip], s[n != skip]
-            n, s = np.concatenate([best_n, n]), np.concatenate([best_s, s])
-            if len(s) > k:
-                enough = s >= np.partition(s, len(s) - k)[len(s) - k]
-                n, s = n[enough], s[enough]
-            top = np.lexsort((n, -s))[:k]
-            best_n, best_s = n[top], s[top]
-            at, some = at + some, some * 2
-        return best_n, best_s
+    #: Row of a term in `dense`, or -1; the postings of the others start at `post_at`.
+    row_of: np.ndarray
+    dense: np.ndarray
+    post_at: np.ndarray
+    post_n: np.ndarray
+    post_w: np.ndarray
+    #: The examples' own vectors, one after the other.
+    own_at: np.ndarray
+    own_terms: np.ndarray
+    own_w: np.ndarray
+
+    def own(self, n: int) -> Vector:
+        at = slice(self.own_at[n], self.own_at[n + 1])
+        return self.own_terms[at], self.own_w[at]
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1, k: int = K) -> Vector:
+        """Numbers and cosines of the k nearest examples with a cosine over 0, nearest first; `skip` is left out."""
+        return self.nearest_of([(terms, weights)], [skip], k)[0]
+
+    def nearest_of(self, vectors: list[Vector], skip: list[int] | None = None, k: int = K) -> list[Vector]:
+        out, full = [], np.zeros(len(self.idf))
+        for i in range(0, len(vectors), BLOCK):
+            block = vectors[i : i + BLOCK]
+            q = np.zeros((len(block), len(self.dense)), np.float32)
+            for row, (t, w) in zip(q, block, strict=True):
+                at = self.row_of[t]
+                row[at[at >= 0]] = w[at >= 0]
+            for j, (score, v) in enumerate(zip(q @ self.dense, block, strict=True)):
+                out.append(self._best(score, *v, skip[i + j] if skip else -1, k, full))
+        return out
+
+    def _best(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, skip: int, k: int, full: np.ndarray) -> Vector:
+        """`full` is all zeros, with a place for each term, before and after."""
+        rare = self.row_of[terms] < 0
+        starts, sizes = self.post_at[terms[rare]], self.post_at[terms[rare] + 1] - self.post_at[terms[rare]]
+        if sizes.sum():
+            at = _spread(starts, sizes)
+            score = score + np.bincount(self.post_n[at], self.post_w[at] * np.repeat(weights[rare], sizes), len(score))
+        if skip >= 0:
+            score[skip] = 0
+        least = 0.0
+        if len(score) > k:
+            # Every summand is 0 or more, so that the error of a sum is a share of it that grows with their number.
+            least = np.partition(score, len(score) - k)[len(score) - k] * (1 - (len(terms) + 8) * 2.0**-22)
+        n = np.flatnonzero((score > 0) & (score >= least))
+        sizes = self.own_at[n + 1] - self.own_at[n]
+        at = _spread(self.own_at[n], sizes)
+        full[terms] = weights
+        exact = np.bincount(np.repeat(np.arange(len(n)), sizes), full[self.own_terms[at]] * self.own_w[at], len(n))
+        full[terms] = 0
+        top = np.lexsort((n, -exact))[:k]
+        return n[top], exact[top]
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float | None:
         return float((cosine**2) @ self.labels[near] / (cosine**2).sum()) if len(near) else None
 
-    def chance(self, vote: float | None) -> float:
-        return self.nothing if vote is None else float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -40, 40))))
 
+@dataclass
+class Model:
+    terms: dict[bytes, int]
+    words: Index
+    #: Number of a term in the second space, or -1.
+    mark_of: np.ndarray
+    marks: Index
+    scale: np.ndarray
+    nothing: float = 0.0
+
+    def counts(self, text: str | None) -> np.ndarray:
+        """(term, times) of a text's words, by term."""
+        return count_terms(Counter(_words(text)), self.terms)
+
+    def vectors(self, counts: np.ndarray) -> tuple[Vector, Vector]:
+        return weigh(counts, self.words.idf), weigh(_marked(counts, self.mark_of), self.marks.idf)
+
+    def chance(self, words: float | None, marks: float | None) -> float:
+        return self.nothing if words is None else float(1 / (1 + np.exp(-np.clip(self.scale @ _features(words, marks), -40, 40))))
+
+
+def _features(words: float, marks: float | None) -> np.ndarray:
+    return np.array([words, marks or 0.0, marks is not None, 1.0])
+
+
+def _marked(counts: np.ndarray, mark_of: np.ndarray) -> np.ndarray:
+    marks = mark_of[counts[:, 0]]
+    return np.stack([marks, counts[:, 1]], axis=1)[marks >= 0]
+
+
+def count_terms(counts: dict[bytes, int], terms: dict[bytes, int]) -> np.ndarray:
+    at = np.fromiter(map(terms.get, counts, repeat(-1)), np.int64, len(counts))
+    out = np.stack([at, np.fromiter(counts.values(), np.int64, len(counts))], axis=1)[at >= 0]
+    return out[np.argsort(out[:, 0])]
 
-def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    counts = dict(sorted(counts.items()))
-    terms = np.fromiter(counts, np.int64, len(counts))
-    w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * idf[terms] if len(counts) else np.zeros(0)
+
+def weigh(counts: dict[int, int] | np.ndarray, idf: np.ndarray) -> Vector:
+    """Terms and unit-length TF-IDF weights of (term, times); a term that is in all documents weighs nothing."""
+    if isinstance(counts, dict):
+        counts = np.array(sorted(counts.items()), np.int64).reshape(-1, 2)
+    terms = counts[:, 0].astype(np.int64)
+    w = (1 + np.log(counts[:, 1])) * idf[terms]
     size = np.sqrt((w**2).sum())
     return (terms, w / size) if size > 0 else (terms[:0], w[:0])
 
 
-def build_index(terms: dict[bytes, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], shares: dict[int, float]) -> Index:
+def build_index(terms: dict[bytes, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int] | np.ndarray]], shares: dict[int, float]) -> Index:
     """examples: (doc_id, label, term counts). shares: how many real rows an example of each label stands for."""
     examples = sorted(examples, key=lambda x: (x[1], x[0]))
-    n, blocks = len(examples), max(1, -(-len(examples) // BLOCK))
-    labels = np.array([e[1] for e in examples], float)
     vectors = [weigh(e[2], idf) for e in examples]
-    cell_of = np.zeros((len(terms), blocks), np.int64)
-    rows = [np.zeros(BLOCK)]
-    for i, (t, w) in enumerate(vectors):
-        for x, y in zip(t, w, strict=True):
-            if not cell_of[x, i // BLOCK]:
-                cell_of[x, i // BLOCK] = len(rows)
-                rows.append(np.zeros(BLOCK))
-            rows[cell_of[x, i // BLOCK]][i % BLOCK] = y
-    cells = np.stack(rows)
-    index = Index(terms, idf, np.array([e[0] for e in examples], np.int64), labels, cells, cell_of, cells.max(axis=1)[cell_of])
-    weight = np.array([shares[int(y)] for y in labels])
-    votes = [index.vote(*index.nearest(*v, skip=i)) for i, v in enumerate(vectors)]
-    none = np.array([v is None for v in votes], bool)
-    index.nothing = float((weight[none] * labels[none]).sum() / weight[none].sum()) if none.any() else float((weight * labels).sum() / weight.sum()) if n else 0.0
+    own_at = np.cumsum([0, *(len(t) for t, _ in vectors)])
+    own_terms, own_w = (np.concatenate([v[i] for v in vectors]) if vectors else np.zeros(0, kind) for i, kind in ((0, np.int64), (1, np.float64)))
+    number, seen = np.repeat(np.arange(len(vectors)), np.diff(own_at)), np.bincount(own_terms, minlength=len(idf))
+    row_of = np.full(len(idf), -1)
+    often = np.argsort(-seen, kind="stable")[:DENSE]
+    row_of[often] = np.arange(len(often))
+    dense = np.zeros((len(often), len(vectors)), np.float32)
+    row = row_of[own_terms]
+    dense[row[row >= 0], number[row >= 0]] = own_w[row >= 0]
+    rare = np.flatnonzero(row < 0)
+    rare = rare[np.argsort(own_terms[rare], kind="stable")]
+    post_at = np.searchsorted(own_terms[rare], np.arange(len(idf) + 1))
+    labels = np.array([e[1] for e in examples], float)
+    return Index(idf, np.array([e[0] for e in examples], np.int64), labels, row_of, dense, post_at, number[rare], own_w[rare], own_at, own_terms, own_w)
+
+
+def build_model(terms: dict[bytes, int], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray]], shares: dict[int, float]) -> Model:
+    examples = sorted(examples, key=lambda x: (x[1], x[0]))
+    mark_of = contrast(len(terms), examples)
+    marked = [(i, y, _marked(c, mark_of)) for i, y, c in examples]
+    words, marks = build_index(terms, idf, examples, shares), build_index({}, idf[mark_of >= 0], marked, shares)
+    model, numbers = Model(terms, words, mark_of, marks, np.zeros(4)), list(range(len(examples)))
+    votes = [[x.vote(*near) for near in x.nearest_of([x.own(n) for n in numbers], numbers)] for x in (words, marks)]
+    labels, weight = words.labels, np.array([shares[int(y)] for y in words.labels])
+    none = np.array([v is None for v in votes[0]], bool)
+    model.nothing = float((weight[none] * labels[none]).sum() / weight[none].sum()) if none.any() else float((weight * labels).sum() / weight.sum()) if numbers else 0.0
     if (~none).any():
-        x, y, w = np.array([v for v in votes if v is not None]), labels[~none], weight[~none] / weight[~none].sum()
-        # Platt's targets, so that separable votes don't run to infinity; Newton's steps on two numbers.
+        x = np.stack([_features(v, m) for v, m in zip(*votes, strict=True) if v is not None])
+        y, w = labels[~none], weight[~none] / weight[~none].sum()
+        # Platt's targets, so that separable votes don't run to infinity; Newton's steps.
         high, low = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
-        target, a, b = np.where(y == 1, high, low), 1.0, -0.5
+        target, scale = np.where(y == 1, high, low), np.array([1.0, 1.0, 0.0, -1.0])
         for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-            g, h = w * (p - target), w * p * (1 - p)
-            m = np.array([[(h * x * x).sum() + 1e-4, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-4]])
-            step = np.linalg.solve(m, np.array([(g * x).sum() + 1e-4 * a, g.sum() + 1e-4 * b]))
-            a, b = a - float(np.clip(step[0], -5, 5)), b - float(np.clip(step[1], -5, 5))
-        index.slope, index.offset = a, b
-    return index
+            p = 1 / (1 + np.exp(-np.clip(x @ scale, -40, 40)))
+            step = np.linalg.solve((x.T * (w * p * (1 - p))) @ x + 1e-4 * np.eye(4), x.T @ (w * (p - target)) + 1e-4 * scale)
+            scale = scale - np.clip(step, -5, 5)
+        model.scale = scale
+    return model
+
+
+def contrast(terms: int, examples: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    """A number for each term whose use differs between the classes by a likelihood ratio over LEAST_RATIO, -1 for others."""
+    sizes = [sum(y == c for _, y, _ in examples) for c in (0, 1)]
+    seen = [np.bincount(np.concatenate([x[:, 0] for _, y, x in examples if y == c] or [np.zeros(0, np.int64)]), minlength=terms) for c in (0, 1)]
+    n, both = sum(sizes), seen[0] + seen[1]
+    ratio = np.zeros(terms)
+    for size, own in zip(sizes, seen, strict=True):
+        for there, expected in ((own, both * size / max(n, 1)), (size - own, (n - both) * size / max(n, 1))):
+            ratio += 2 * there * np.log(np.where(there > 0, there, 1) / np.where(there > 0, expected, 1))
+    chosen = (ratio > LEAST_RATIO) & (min(sizes) > 0)
+    return np.where(chosen, np.cumsum(chosen) - 1, -1)
 
 
 def _count_terms(rows: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """(term, n): in how many texts each term stands, over whole texts; one row a term and slice, then summed."""
+    """(term, n): in how many texts each term stands, over whole texts; one row a term and task, then summed."""
     shared = rows.sparkSession.sparkContext.broadcast(terms)
 
-    def make():
+    def run(batches):
         terms = shared.value
+        counts = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                for t in piece["text"].to_pylist():
+                    own = set(_words(t))
+                    at = np.fromiter(map(terms.get, own, repeat(-1)), np.int64, len(own))
+                    counts[at[at >= 0]] += 1
+        at = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(at), pa.array(counts[at])], ["term", "n"])
 
-        def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-            counts = np.zeros(len(terms), np.int64)
-            for t in piece["text"].to_pylist():
-                if t:
-                    own = [terms[w] for w in set(t.encode("utf-8", "replace").translate(_FOLD).split()) if w in terms]
-                    counts[own] += 1
-            at = np.flatnonzero(counts)
-            return pa.record_batch([pa.array(at), pa.array(counts[at])], ["term", "n"])
-
-        return work
-
-    return map_slices(rows.select("text"), "text", make, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def sample_labels(labels: DataFrame, examples: int) -> tuple[DataFrame, dict[int, float]]:
@@ -168,75 +246,52 @@ def sample_labels(labels: DataFrame, examples: int) -> tuple[DataFrame, dict[int
     return out, {k: max(1.0, n / examples) for k, n in counts.items()} | {k: 1.0 for k in (0, 1) if k not in counts}
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
-    """Fit on documents that have a label. Bounds: `examples` rows a class and TERMS terms; the sample of ids is what is
-    broadcast to find their texts."""
+def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+    """Fit on documents that have a label. Bound: `examples` rows a class, whose words are gathered; the sample of ids is
+    what is broadcast to find their texts."""
     chosen, shares = sample_labels(labels, examples)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").dropDuplicates(["doc_id", "toxic"]).persist()
-    words = texts.select("toxic", F.explode(F.array_distinct(F.array_remove(F.split(lower_ascii(F.col("text")), _BREAK), ""))).alias("word"))
-    sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    a, b = F.col("a"), F.col("b")
-    both, n = a + b, n1 + n0
-    cells = [(a, both * n1 / max(n, 1)), (b, both * n0 / max(n, 1)), (n1 - a, (n - both) * n1 / max(n, 1)), (n0 - b, (n - both) * n0 / max(n, 1))]
-    ratio = 2 * sum((part(s.cast("double"), e) for s, e in cells), F.lit(0.0))
-    counted = words.groupBy("word").agg(F.sum(F.col("toxic").cast("long")).alias("a"), F.sum(1 - F.col("toxic").cast("long")).alias("b"))
-    top = counted.withColumn("ratio", ratio).where(F.col("ratio") > LEAST_RATIO).orderBy(F.desc("ratio"), "word").limit(TERMS).collect() if n1 and n0 else []
-    terms = {r["word"].encode("utf-8", "replace"): i for i, r in enumerate(top)}
-    seen = np.zeros(len(terms), np.int64)
-    total = 0
-    if terms:
-        total = docs.count()
-        for r in _count_terms(docs, terms).collect():
-            seen[r["term"]] = r["n"]
-    idf = np.log((1 + total) / (1 + seen)) if terms else np.zeros(0)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").dropDuplicates(["doc_id", "toxic"])
 
     def make():
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for t in piece["text"].to_pylist():
-                counts: dict[int, int] = {}
-                for w in t.encode("utf-8", "replace").translate(_FOLD).split():
-                    if w in terms:
-                        counts[terms[w]] = counts.get(terms[w], 0) + 1
-                out.append(list(counts.items()))
-            packed = [np.array(c, "<i4").tobytes() for c in out]
-            return pa.record_batch([pa.array(piece["doc_id"]).cast(pa.int64()), pa.array(piece["toxic"]).cast(pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "toxic", "counts"])
+            own = [Counter(_words(t)) for t in piece["text"].to_pylist()]
+            cols = [pa.array([b" ".join(c) for c in own], pa.binary()), pa.array([np.array(list(c.values()), "<i4").tobytes() for c in own], pa.binary())]
+            return pa.record_batch([pa.array(piece["doc_id"]).cast(pa.int64()), pa.array(piece["toxic"]).cast(pa.int64()), *cols], ["doc_id", "toxic", "words", "counts"])
 
         return work
 
-    got = map_slices(texts, "text", make, "doc_id long, toxic long, counts binary").collect()
-    texts.unpersist()
-    rows = [(r["doc_id"], r["toxic"], dict(np.frombuffer(bytes(r["counts"]), "<i4").reshape(-1, 2).tolist())) for r in got]
-    return build_index(terms, idf, rows, shares)
+    got = map_slices(texts, "text", make, "doc_id long, toxic long, words binary, counts binary").collect()
+    terms = {w: i for i, w in enumerate(sorted({w for r in got for w in bytes(r["words"]).split()}))}
+    rows = [(r["doc_id"], r["toxic"], count_terms(dict(zip(bytes(r["words"]).split(), np.frombuffer(bytes(r["counts"]), "<i4").tolist(), strict=True)), terms)) for r in got]
+    seen = np.zeros(len(terms), np.int64)
+    total = 0
+    if terms:
+        total = docs.count()
+        found = _count_terms(docs, terms).toArrow()
+        seen[found["term"].to_numpy()] = found["n"].to_numpy()
+    return build_model(terms, np.log((1 + total) / (1 + seen)), rows, shares)
 
 
-def score(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default doc_id) with score, predicted and evidence (doc_ids of the nearest examples)."""
     keep = [k for k in keep or ["doc_id"] if k not in ("score", "predicted", "evidence")]
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer").add("evidence", T.ArrayType(T.LongType()))
 
     def make():
-        index = shared.value
-        known: dict[tuple[bytes, bytes], tuple[float, list[int]]] = {}
+        model = shared.value
+        known: dict[bytes, tuple[float, list[int]]] = {}
 
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-            scores, evidence = [], []
-            for t in piece["text"].to_pylist():
-                terms, weights = index.vector(t)
-                key = (terms.tobytes(), weights.tobytes())
-                if key not in known:
-                    if len(known) >= 20_000:
-                        known.clear()
-                    near, cosine = index.nearest(terms, weights)
-                    known[key] = index.chance(index.vote(near, cosine)), index.ids[near[:5]].tolist()
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
+            if len(known) >= 20_000:
+                known.clear()
+            counts = [model.counts(t) for t in piece["text"].to_pylist()]
+            keys = [hashlib.sha256(c.tobytes()).digest() for c in counts]
+            new = {k: model.vectors(c) for k, c in zip(keys, counts, strict=True) if k not in known}
+            near, marks = (x.nearest_of([v[i] for v in new.values()]) for i, x in enumerate((model.words, model.marks)))
+            for k, n, m in zip(new, near, marks, strict=True):
+                known[k] = model.chance(model.words.vote(*n), model.marks.vote(*m)), model.words.ids[n[0][:5]].tolist()
+            scores, evidence = [known[k][0] for k in keys], [known[k][1] for k in keys]
             cols = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
             return pa.record_batch([*[piece[k] for k in keep], *cols], [*keep, "score", "predicted", "evidence"])
 
@@ -251,5 +306,5 @@ def held_out_mask(doc_id: Column) -> Column:
 
 def toxicity_of_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """Learn from labels that aren't held out, score all: (doc_id, held_out, score, predicted, evidence)."""
-    index = learn(docs, labels.where(~held_out_mask(F.col("doc_id"))), examples)
-    return score(docs, index).select("doc_id", held_out_mask(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+    model = learn(docs, labels.where(~held_out_mask(F.col("doc_id"))), examples)
+    return score(docs, model).select("doc_id", held_out_mask(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")

@@ -1,8 +1,10 @@
 """Operators that judge each text on its own."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -250,6 +252,27 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.toxicity_of_documents(docs, marks.limit(0)).where("score <> 0").count() == 0
 
 
+def test_toxicity_searches_all_words(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(30))) for i in range(200)]
+    rows += [(1000 + i, rows[i][1]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["evidence"] for x in toxicity.score(docs, toxicity.learn(docs, marks)).collect()}
+    counts = [Counter(t.split()) for _, t in rows]
+    idf = {w: math.log(401 / (1 + sum(w in c for c in counts))) for w in words}
+    vectors = []
+    for c in counts:
+        v = np.array([(1 + math.log(c[w])) * idf[w] if w in c else 0.0 for w in words])
+        vectors.append(v / np.sqrt(v @ v))
+    cosine = np.array(vectors) @ np.array(vectors[:200]).T
+    for (doc_id, _), own in zip(rows, cosine, strict=True):
+        near = got[doc_id]
+        assert near[0] == doc_id % 1000 and len(set(near)) == 5
+        assert np.allclose(own[near], np.sort(own)[::-1][:5])
+
+
 def test_digest_columns(spark, tmp_path, odd):
     odd.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     out = queries.op2_bpe(spark, str(tmp_path))
