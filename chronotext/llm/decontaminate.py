@@ -2,6 +2,9 @@
 
 A mask names the positions of a short run of tokens that are hashed; the others may differ. MASKS are chosen so that any
 WINDOW tokens of which at most a fifth are substituted keep one mask intact (all placements were tried for 15 tokens).
+In shorter items the masks can miss a placement; for the lengths where they do (6, 7, 10, 11 and 12, found by trying all),
+the item is cut into one run of tokens more than substitutions are permitted, so that one run stays intact. Documents get
+seeds of runs only of the lengths that the benchmark at hand needs.
 Documents' seeds meet the benchmark's in a join on the hash; around each hit, the aligned windows of WINDOW
 tokens that contain the seed are compared token by token, and one with SIMILARITY or more equal tokens is an overlap.
 
@@ -15,6 +18,8 @@ compared as a whole. Rows that share a doc_id, or an item_id, are reported toget
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,36 +34,63 @@ BLOCK_SEEDS = 200_000
 _BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
+def _runs(w: int) -> list[tuple[int, int]]:
+    """(offset, tokens) of the runs of a window of w tokens; none where the masks catch every permitted placement."""
+    num, den = SIMILARITY
+    lost = w - -(-w * num // den)
+    places = [{s + i for i, bit in enumerate(m) if bit == "1"} for m in MASKS for s in range(w - len(m) + 1)]
+    if w < SPAN or all(any(p.isdisjoint(c) for p in places) for c in combinations(range(w), lost)):
+        return []
+    cuts = [w * k // (lost + 1) for k in range(lost + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+RUNS = {w: r for w in range(SPAN, WINDOW) if (r := _runs(w))}
+
+
 def token_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(lower_ascii(text), _BREAK), ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame) -> DataFrame:
-    """Each position of the token array `h`, with its seeds: columns at, mask, seed are added."""
-    placed = rows.withColumn("at", F.explode(F.expr(f"case when size(h) >= {SPAN} then sequence(0, size(h) - {SPAN}) end")))
+def _run_seed(at: Column, n: int) -> Column:
+    parts = [F.get("h", at + i) for i in range(n)]
+    return F.when(parts[-1].isNotNull(), F.xxhash64(F.lit(len(MASKS) + n), *parts))
+
+
+def _seeds(rows: DataFrame, runs: list[int] | None = None) -> DataFrame:
+    """Each position of the token array `h`, with its seeds, also of the given lengths of runs: columns at, seed are added."""
+    least = min([SPAN, *(runs or [])])
+    placed = rows.withColumn("at", F.explode(F.expr(f"case when size(h) >= {SPAN} then sequence(0, size(h) - {least}) end")))
 
     def seed(n: int, mask: str) -> Column:
         parts = [F.get("h", F.col("at") + i) for i, bit in enumerate(mask) if bit == "1"]
         return F.when(parts[-1].isNotNull(), F.xxhash64(F.lit(n), *parts))
 
-    return placed.withColumn("seed", F.explode(F.array(*[seed(n, m) for n, m in enumerate(MASKS)])))
+    return placed.withColumn("seed", F.explode(F.array(*[seed(n, m) for n, m in enumerate(MASKS)], *[_run_seed(F.col("at"), n) for n in runs or []])))
 
 
-def _benchmark_seeds(items: DataFrame, window: int) -> DataFrame:
+def _benchmark_seeds(items: DataFrame, window: int) -> tuple[DataFrame, list[int]]:
     """(seed, item_id, item_at, w, base, around): `around` are the tokens of all windows that contain the seed, `base` how
-    many of them precede it, `w` the window's size. Bounded by two windows a seed."""
-    rows = items.where("text is not null").select("item_id", token_hashes(F.col("text")).alias("h"))
-    w = F.least(F.lit(window), F.size("h"))
+    many of them precede it, `w` the window's size. Bounded by two windows a seed. Also the lengths of runs among the seeds."""
+    rows = items.where("text is not null").select("item_id", token_hashes(F.col("text")).alias("h")).withColumn("w", F.least(F.lit(window), F.size("h")))
     # The least span of a mask is used for all: a wider mask is contained in one more window at most.
-    low = F.greatest(F.lit(0), F.col("at") + SPAN - F.col("w"))
+    parts = [_seeds(rows).where("seed is not null").withColumn("n", F.lit(SPAN))]
+    found = sorted(r["w"] for r in rows.where(F.col("w").isin(*RUNS)).select("w").distinct().collect())
+    for w in found:
+        starts = rows.where(F.col("w") == w).withColumn("start", F.explode(F.sequence(F.lit(0), F.size("h") - w)))
+        for offset, n in RUNS[w]:
+            at = F.col("start") + offset
+            parts.append(starts.select("item_id", "h", "w", at.alias("at"), _run_seed(at, n).alias("seed"), F.lit(n).alias("n")))
+    low = F.greatest(F.lit(0), F.col("at") + F.col("n") - F.col("w"))
     high = F.least(F.col("at"), F.size("h") - F.col("w"))
-    seeds = _seeds(rows).where("seed is not null").withColumn("w", w).withColumn("low", low).withColumn("high", high)
-    return seeds.select("seed", "item_id", "w", (F.col("at") - F.col("low")).alias("base"), F.slice("h", F.col("low") + 1, F.col("high") + F.col("w") - F.col("low")).alias("around"))
+    seeds = union_all(*(p.select("item_id", "h", "w", "at", "seed", "n") for p in parts)).withColumn("low", low).withColumn("high", high)
+    out = seeds.select("seed", "item_id", "w", (F.col("at") - F.col("low")).alias("base"), F.slice("h", F.col("low") + 1, F.col("high") + F.col("w") - F.col("low")).alias("around"))
+    return out, sorted({n for w in found for _, n in RUNS[w]})
 
 
-def _overlaps_with(docs: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
+def _overlaps_with(docs: DataFrame, seeds: DataFrame, window: int, runs: list[int]) -> DataFrame:
     rows = docs.select("doc_id", token_hashes(F.col("text")).alias("h"))
-    hits = _seeds(rows).join(F.broadcast(seeds), "seed")
+    hits = _seeds(rows, runs).join(F.broadcast(seeds), "seed")
     # `first` is the document position of the window's first token.
     each = hits.withColumn("t", F.explode(F.sequence(F.lit(0), F.size("around") - F.col("w")))).withColumn("first", F.col("at") - F.col("base") + F.col("t"))
     equal = sum(
@@ -72,10 +104,10 @@ def _overlaps_with(docs: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
 def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, last_word): documents with a passage of an item, the best window's share
     of equal tokens, and the first and last token (from 0) of all such windows."""
-    seeds = _benchmark_seeds(items, window)
+    seeds, runs = _benchmark_seeds(items, window)
     blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
     block = F.pmod(F.xxhash64("seed", "item_id", "base"), F.lit(blocks))
-    found = union_all(*(_overlaps_with(docs, seeds if blocks == 1 else seeds.where(block == b), window) for b in range(blocks)))
+    found = union_all(*(_overlaps_with(docs, seeds if blocks == 1 else seeds.where(block == b), window, runs) for b in range(blocks)))
     return found.groupBy("doc_id", "item_id").agg(
         F.max(F.col("equal") / F.col("w")).alias("similarity"), F.min("first").cast("long").alias("first_word"), F.max(F.col("first") + F.col("w") - 1).cast("long").alias("last_word")
     )

@@ -199,6 +199,20 @@ def test_masks_catch_every_placement():
         assert any(not any(s + i in lost for i in on) for m, on in zip(decontaminate.MASKS, masks, strict=True) for s in range(15 - len(m) + 1))
 
 
+def test_short_items_with_every_placement(spark):
+    from itertools import combinations
+
+    items = [(w, " ".join(f"i{w}t{j}" for j in range(w))) for w in range(6, 15)]
+    docs = []
+    for w, t in items:
+        for lost in combinations(range(w), w - -(-w * 4 // 5)):
+            docs.append((len(docs), " ".join(["a", "b", "c", *("other" if j in lost else x for j, x in enumerate(t.split())), "d"])))
+    docs.append((len(docs), "i7t1 i7t2 i7t3 i7t4 i7t5 i7t6"))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["similarity"], r["first_word"], r["last_word"]) for r in decontaminate.overlaps(a, b).collect()), key=str)
+    assert got == brute_overlaps(docs, items) and {x[0] for x in got} == {d for d, _ in docs}
+
+
 def test_no_python_on_the_decontamination_path(corpus):
     items = corpus.limit(5).select(F.col("doc_id").alias("item_id"), "text")
     plan = decontaminate.overlaps(corpus, items)._jdf.queryExecution().executedPlan().toString()
