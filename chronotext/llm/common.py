@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,18 +23,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a local one only where none is named (tests)."""
+    """Use the cluster's shared checkpoint folder. Only where Spark runs in one process, as in tests, a folder of its own will
+    do; on a cluster without a named one this is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or "/tmp/chronotext-checkpoints")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and cut the lineage."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="chronotext-")
+        _left[named] = spark
+    sc.setCheckpointDir(named)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -43,15 +46,35 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_folder_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_left: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in _left.items():
+        _remove(spark, path)
+
+
 def table(df: DataFrame) -> DataFrame:
-    """Write the rows as Parquet in the shared checkpoint folder and read them back: columns are compressed and pruned,
-    which a checkpoint's rows aren't. The files go when the session's process ends."""
+    """Write the rows as Parquet in the shared checkpoint folder and read them back: the lineage is cut, columns are
+    compressed and pruned. The files go with `free`, or when the session's process ends."""
     spark = df.sparkSession
     checkpoint_ready(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _left[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folder_of[out] = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of `table` whose consumers are all written."""
+    for df in tables:
+        path = _folder_of.pop(df, None)
+        if path:
+            _remove(_left.pop(path), path)
 
 
 def packed(docs: DataFrame, *columns: Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Every step is an aggregation and a join over (u, v) rows; nothing is gathered on the driver but three numbers a
-round, and each round ends in a checkpoint that survives lost executors.
+round, and each round ends in a written table that survives lost executors.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.functions.frames import union_all
-from chronotext.llm.common import cut
+from chronotext.llm.common import free, table
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -25,16 +25,18 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(u, v) links to (u, v) stars: v is the least node of u's component, for every u that isn't itself the least.
 
-    Links may repeat and may point to themselves; an empty table gives an empty table.
+    Links may repeat and may point to themselves; an empty table gives an empty table. Rounds go on until the stars
+    settle, which takes about the square of the logarithm of the number of nodes at most.
     """
-    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = table(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     was = None
-    for _ in range(max_rounds):
+    while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
         if now == was or now[0] == 0:
             return edges
-        was, edges = now, cut(_star(_star(edges, small=False), small=True))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        then = table(_star(_star(edges, small=False), small=True))
+        free(edges)
+        was, edges = now, then

@@ -114,6 +114,8 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without an overlap, all columns kept. A null doc_id can't be named by an overlap and stays."""
-    leaked = overlaps(docs, items, window).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")
+    """The documents without an overlap, all columns kept. Each row is judged by its own text, whatever its doc_id is and
+    whichever rows share it: texts are named by a 128-bit digest here."""
+    own = F.md5(F.coalesce(docs["text"], F.lit("")))
+    leaked = overlaps(docs.select(own.alias("doc_id"), "text"), items, window).select(F.col("doc_id").alias("_leaked")).distinct()
+    return docs.join(leaked, own == leaked["_leaked"], "left_anti")

@@ -29,10 +29,15 @@ FAMILIES = {
 UND = "und"
 HASH_BITS = 12
 WIDTH = 256 + 2 * (1 << HASH_BITS)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; numbers such as ½ or Ⅷ, which the pattern alone lets through, are none."""
+    return any(m[0].isalpha() for m in _LETTER_OR_NUMBER.finditer(text))
+
+
 def _positions(text: str) -> np.ndarray:
     """Feature numbers of all n-grams of a text."""
     folded = b" " + b" ".join(text.encode("utf-8", "replace").translate(_FOLD).split()) + b" "
@@ -62,7 +67,7 @@ class Model:
     family_of: dict[str, str] = field(default_factory=dict)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not has_letter(text):
             return UND, 0.0
         z = self.weights[_positions(text)].mean(axis=0, dtype=np.float64) + self.bias
         n = len(self.families)
@@ -143,27 +148,26 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
     return Model(languages, families, pairs, (np.stack(cols, 1) * scale[:, None]).astype(np.float32), np.array(bias), family_of)
 
 
-def bounded_sample(rows: DataFrame, per_language: int, max_languages: int) -> DataFrame:
-    """At most `per_language` rows of each of the `max_languages` commonest languages, chosen by hash of doc_id."""
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
-        return rows.limit(0)
-    grain = 1 << 20
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, 2 * per_language / r["count"]) * grain) + 1)])
-    near = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < share[F.col("lang")])
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_language).drop("_n")
+def bounded_sample(rows: DataFrame, per_language: int) -> DataFrame:
+    """At most `per_language` texts of each language, chosen by hash of doc_id and text; equal rows count once."""
+    rows = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
+    w = Window.partitionBy("lang").orderBy("_h")
+    # The rank is taken over hashes alone; texts are read again only up to the hash of the last one chosen.
+    chosen = rows.select("lang", "_h").withColumn("_n", F.dense_rank().over(w)).where(F.col("_n") <= per_language)
+    last = chosen.groupBy(F.col("lang").alias("_lang")).agg(F.max("_h").alias("_last"))
+    near = rows.join(last, (F.col("lang") == F.col("_lang")) & (F.col("_h") <= F.col("_last"))).drop("_lang", "_last")
+    return near.dropDuplicates(["lang", "_h"]).drop("_h")
 
 
-def learn(labelled: DataFrame, per_language: int = 200, max_languages: int = 64) -> Model:
-    """Fit on a bounded sample of rows (doc_id, text, lang). The bound is `per_language` rows for each of at most
-    `max_languages` languages; their whole texts are turned into frequencies on the executors."""
+def learn(labelled: DataFrame, per_language: int = 200) -> Model:
+    """Fit on a bounded sample of rows (doc_id, text, lang). The bound is `per_language` rows for each language that occurs;
+    their whole texts are turned into frequencies on the executors."""
     rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    sample = bounded_sample(rows, per_language, max_languages)
+    sample = bounded_sample(rows, per_language)
 
     def make():
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-            keep = [(lang, frequencies(t).tobytes()) for lang, t in zip(piece["lang"].to_pylist(), piece["text"].to_pylist(), strict=True) if _LETTER.search(t)]
+            keep = [(lang, frequencies(t).tobytes()) for lang, t in zip(piece["lang"].to_pylist(), piece["text"].to_pylist(), strict=True) if has_letter(t)]
             return pa.record_batch([pa.array([k for k, _ in keep], pa.string()), pa.array([v for _, v in keep], pa.binary())], ["lang", "v"])
 
         return work

@@ -81,19 +81,25 @@ def _assign(rows: DataFrame, limit: int, chain: bool) -> DataFrame:
     return union_all(*done)
 
 
+def _sized(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """Written, so that a row's number stays the same when a task runs again."""
+    size = F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("bytes")
+    return table(docs.select(*more, size, key_hash(docs[key]).alias("_h"), F.monotonically_increasing_id().alias("_id")))
+
+
 def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
     """(key, bytes, shard, depth, shard_bytes, shard_rows) of every row; shard is `s` and the bucket's hash prefix in bits."""
-    rows = table(docs.select(F.col(key), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes"), key_hash(F.col(key)).alias("_h"), F.monotonically_increasing_id().alias("_id")))
-    out = _assign(rows, limit, chain=False)
+    out = _assign(_sized(docs, key, text, docs[key]), limit, chain=False)
     return out.select(key, "bytes", F.concat(F.lit("s"), "bits").alias("shard"), F.col("depth").cast("int").alias("depth"), F.col("shard_bytes").cast("long").alias("shard_bytes"), F.col("shard_rows").cast("long").alias("shard_rows"))
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write the documents as one folder a shard; rows of a key in an overflow chain are dealt by key and stay together only
-    as far as their shard allows, so `key` must be unique here."""
+    """Write the documents as one folder a shard. Each row carries its own columns through the directory, so that it is
+    written once, whichever rows share its key."""
     name = "_shard"
     while name in docs.columns:
         name = f"_{name}"
-    shards = assign_shards(docs, key, text, limit).select(F.col(key).alias("_key"), F.col("shard").alias(name))
-    joined = docs.join(shards, docs[key].eqNullSafe(shards["_key"])).select(*[docs[c] for c in docs.columns], shards[name])
-    joined.repartition(name).write.partitionBy(name).parquet(path)
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    out = _assign(_sized(docs, key, text, whole), limit, chain=False).select("row", F.concat(F.lit("s"), "bits").alias("shard"))
+    rows = out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("shard").alias(name))
+    rows.repartition(name).write.partitionBy(name).parquet(path)

@@ -8,25 +8,25 @@ before the full Hamming distance is taken.
 
 Defined cases: a null or empty text has no word and fingerprint zero, and links like any other; texts of one or two
 words are one shingle. Exact copies share a fingerprint and are one node. Repeated rows keep their count. A null
-doc_id gets a component but never names one.
+doc_id gets a component but never names one. Of each component `keep_first` keeps exactly one row.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.functions.frames import union_all
-from chronotext.llm.common import cut, map_slices, packed, table, unpacked
+from chronotext.llm.common import free, map_slices, packed, table, unpacked
 from chronotext.llm.components import components
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS, BUDGET = 4, 16, 3
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, fp): the majority vote of the bits of all 3-word shingles' XXH64."""
+def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (default doc_id) with fp: the majority vote of the bits of all 3-word shingles' XXH64."""
+    keep = keep or ["doc_id"]
 
     def make():
         import numpy as np
@@ -53,12 +53,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             return int(np.packbits(votes * 2 > n).view(">i8")[0])
 
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch([piece["doc_id"], pa.array([one(t) for t in piece["text"].to_pylist()], pa.int64())], ["doc_id", "fp"])
+            return pa.record_batch([*[piece[k] for k in keep], pa.array([one(t) for t in piece["text"].to_pylist()], pa.int64())], [*keep, "fp"])
 
         return work
 
-    rows = docs.select("doc_id", "text")
-    return map_slices(rows, "text", make, rows.select("doc_id").schema.add("fp", "long"))
+    return map_slices(docs.select(*keep, "text"), "text", make, docs.select(*keep).schema.add("fp", "long"))
 
 
 def _segment(fp, i: int):
@@ -88,27 +87,34 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return index.join(probe, "key").where((F.col("u") < F.col("v")) & (three <= 2) & (F.bit_count(d) <= BUDGET)).select("u", "v").distinct()
 
 
+def _rooted(fps: DataFrame, first: Column) -> DataFrame:
+    """(fp, root, first) of each fingerprint: `root` names its component, `first` is an aggregate over its rows."""
+    each = table(fps.groupBy("fp").agg(first.alias("first")))
+    stars = components(links(each.select("fp")))
+    return each.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: component_id is the smallest doc_id reachable over links."""
-    fps = cut(fingerprints(docs))
-    each = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    stars = components(links(each.select("fp")))
-    named = each.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    fps = table(fingerprints(docs))
+    named = _rooted(fps, F.min("doc_id"))
+    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
     # Written, so that the last join has an exchange on either side and Spark can split a fingerprint with very many rows.
     linked = table(named.join(roots, "root").select("fp", "component_id"))
     return fps.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Of each component, the row with its smallest doc_id, columns unchanged. Of rows that share that doc_id, the one
-    with the least text hash stays. Rows without a doc_id stay only where no row of their component has one."""
-    found = near_duplicates(docs)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    """Exactly one row of each component, columns unchanged: the one with its smallest doc_id; rows without a doc_id come
+    last. Of several texts under that doc_id the one with the least digest stays, and of rows that are equal in both, the
+    one with the least hash over all columns."""
+    own = F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.concat(F.lit("="), docs["text"]), F.lit(""))))
+    fps = table(fingerprints(docs.select("doc_id", own.alias("_own"), "text"), ["doc_id", "_own"]))
+    named = _rooted(fps, F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_own")))
+    first = table(named.groupBy("root").agg(F.min("first").getField("_own").alias("_first")).select("_first"))
+    free(fps)
+    # Equal rows are thinned in each task before they are shuffled, so that one with very many copies makes no large task.
+    plain = [docs[f.name] for f in docs.schema if "map" not in f.dataType.simpleString()]
     w = Window.partitionBy("own").orderBy("fold")
-    rows = packed(docs, docs["doc_id"].alias("own"), F.xxhash64(docs["text"]).alias("fold"))
-    named = rows.join(first, rows["own"] == first["_first"], "left_semi")
-    one = unpacked(named.withColumn("nth", F.row_number().over(w)).where("nth = 1"))
-    if found.where("doc_id is null and component_id is null").isEmpty():
-        return one
-    return union_all(one, docs.where("doc_id is null"))
+    rows = packed(docs, own.alias("own"), F.xxhash64(*plain).alias("fold")).withColumn("nth", F.row_number().over(w)).where("nth = 1")
+    return unpacked(rows.join(first, rows["own"] == first["_first"], "left_semi"))

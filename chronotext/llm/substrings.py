@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.functions.frames import union_all
-from chronotext.llm.common import cut, map_slices, packed, table
+from chronotext.llm.common import free, map_slices, packed, table
 from chronotext.llm.superwindows import Pieces, WordHashes
 
 WINDOW, MINIMIZER = 50, 16
@@ -123,7 +123,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Each row's columns as the struct `row`, with n_words, n_removed and kept_text: the words left, joined by one space."""
-    spans = cut(
+    spans = table(
         repeated_spans(docs, window)
         .groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("id_tag"))
         .agg(F.collect_set(F.shiftleft("first", 32).bitwiseOR(F.col("size"))).alias("spans"))

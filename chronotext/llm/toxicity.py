@@ -14,7 +14,8 @@
    all words are returned as evidence.
 
 Defined cases: a null or empty text, or one without a word of any example, has no neighbour and takes the vote of examples
-without one. Without labels every score is 0. Repeated rows are scored one by one; whole texts count.
+without one. Without labels every score is 0. Repeated rows are scored one by one; whole texts count. Of several texts under
+one labelled doc_id the one with the least hash is the example; a doc_id labelled both ways is an example of either class.
 """
 
 from __future__ import annotations
@@ -250,7 +251,8 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model
     """Fit on documents that have a label. Bound: `examples` rows a class, whose words are gathered; the sample of ids is
     what is broadcast to find their texts."""
     chosen, shares = sample_labels(labels, examples)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").dropDuplicates(["doc_id", "toxic"])
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    texts = own.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).getField("text").alias("text"))
 
     def make():
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:

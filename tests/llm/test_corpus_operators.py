@@ -29,7 +29,8 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(rows):
+def brute_groups(rows):
+    """A number for each row's component."""
     prints = [brute_fingerprint(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -42,10 +43,14 @@ def brute_components(rows):
         for j in range(i):
             if (prints[i] ^ prints[j]).bit_count() <= 3:
                 root[find(i)] = find(j)
-    least = defaultdict(list)
-    for i, (d, _) in enumerate(rows):
-        least[find(i)] += [d] if d is not None else []
-    return sorted(((d, f"{prints[i]:016x}", min(least[find(i)], default=None)) for i, (d, _) in enumerate(rows)), key=str)
+    return [find(i) for i in range(len(rows))]
+
+
+def brute_components(rows):
+    groups, least = brute_groups(rows), defaultdict(list)
+    for (d, _), g in zip(rows, groups, strict=True):
+        least[g] += [d] if d is not None else []
+    return sorted(((d, f"{brute_fingerprint(t):016x}", min(least[g], default=None)) for (d, t), g in zip(rows, groups, strict=True)), key=str)
 
 
 @pytest.mark.parametrize("table", ["corpus", "odd", "none"])
@@ -84,11 +89,33 @@ def test_components_of_a_long_chain(spark):
     assert components(links.limit(0)).count() == 0
 
 
-def test_keep_first_keeps_one_of_each_group(corpus, odd):
-    kept = simhash.keep_first(corpus)
-    assert kept.columns == corpus.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows_of(corpus))})
-    assert sorted(r["doc_id"] for r in simhash.keep_first(odd).collect() if r["doc_id"] is not None) == sorted({c for _, _, c in brute_components(rows_of(odd)) if c is not None})
+def brute_first(rows):
+    """(doc_id, text) of the row that stays, a component each."""
+    named = list(zip(rows, brute_groups(rows), strict=True))
+    out = []
+    for g in set(brute_groups(rows)):
+        mine = [r for r, own in named if own == g]
+        ids = [d for d, _ in mine if d is not None]
+        out.append((min(ids, default=None), {t for d, t in mine if d == min(ids, default=None)}))
+    return out
+
+
+@pytest.mark.parametrize("table", ["corpus", "odd", "none"])
+def test_keep_first_keeps_one_of_each_group(request, table):
+    docs = request.getfixturevalue(table)
+    kept, rows = simhash.keep_first(docs), rows_of(docs)
+    assert kept.columns == docs.columns
+    got, want = rows_of(kept), brute_first(rows)
+    assert len(got) == len(want)
+    for d, texts in want:
+        assert sum(d == x and t in texts for x, t in got) >= 1
+    assert all(any(d == x and t in texts for x, texts in want) for d, t in got)
+
+
+def test_keep_first_of_shared_and_missing_ids(spark):
+    rows = [(5, "alpha"), (5, "beta"), (None, "alpha"), (7, "alpha"), (None, "gamma"), (None, "gamma"), (None, None), (3, ""), (9, "delta"), (9, "delta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id_", F.lit(None).cast("string"))
+    assert sorted(rows_of(simhash.keep_first(docs)), key=str) == sorted([(5, "alpha"), (5, "beta"), (None, "gamma"), (3, ""), (9, "delta")], key=str)
 
 
 def brute_removed(rows, window):
@@ -178,6 +205,11 @@ def test_overlaps_equal_brute_force(spark):
     got = sorted(((r["doc_id"], r["item_id"], r["similarity"], r["first_word"], r["last_word"]) for r in decontaminate.overlaps(a, b).collect()), key=str)
     assert got == brute_overlaps(docs, items) and len(got) > 10
     assert {r["doc_id"] for r in decontaminate.clean(a, b).collect()} == {d for d, _ in docs} - {x[0] for x in got}
+    # One id for all rows, or none: each row is still judged by its own text.
+    leaked = {x[0] for x in got}
+    for own in (F.lit(1).cast("long"), F.lit(None).cast("long")):
+        left = decontaminate.clean(a.withColumn("doc_id", own), b)
+        assert sorted(str(r["text"]) for r in left.collect()) == sorted(str(t) for d, t in docs if d not in leaked)
 
 
 def test_overlaps_in_blocks(spark, monkeypatch, corpus, odd, none):
@@ -250,6 +282,15 @@ def test_shards_split_a_hot_key(spark, odd, none):
     assert sharding.assign_shards(none).count() == 0
 
 
+def test_rows_that_share_a_key_are_written_once(spark, tmp_path, odd):
+    rows = [(1, "a" * 40), (1, "a" * 40), (1, "b" * 90), (None, "c" * 30), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sharding.write_shards(docs, f"{tmp_path}/few", limit=50)
+    assert sorted(rows_of(spark.read.parquet(f"{tmp_path}/few")), key=str) == sorted(rows, key=str)
+    sharding.write_shards(odd, f"{tmp_path}/odd", limit=1000)
+    assert sorted(rows_of(spark.read.parquet(f"{tmp_path}/odd")), key=str) == sorted(rows_of(odd), key=str)
+
+
 def test_shards_are_written(spark, tmp_path, corpus):
     sharding.write_shards(corpus, f"{tmp_path}/shards", limit=20_000)
     back = spark.read.parquet(f"{tmp_path}/shards")

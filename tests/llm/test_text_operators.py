@@ -47,8 +47,16 @@ def test_language_defined_cases(odd, none):
 
 def test_language_sample_is_bounded(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in langid.bounded_sample(rows, 100, 9).groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in langid.bounded_sample(rows.unionAll(rows), 100).groupBy("lang").count().collect()}
     assert counts == {"a": 100, "b": 100}
+    many = rows.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 200))
+    assert langid.bounded_sample(many, 3).groupBy("lang").count().where("count = 3").count() == 200
+
+
+def test_numbers_are_no_letters(spark):
+    model = langid.fit([("en", langid.frequencies("the thing").tobytes()), ("de", langid.frequencies("der schein").tobytes())])
+    docs = spark.createDataFrame([(1, "½ 12"), (2, "²Ⅷ①"), (3, "½ a"), (4, "漢")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in langid.identify(docs, model).collect()} == {1: True, 2: True, 3: False, 4: False}
 
 
 # BPE
