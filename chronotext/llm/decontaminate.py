@@ -8,8 +8,10 @@ seeds of runs only of the lengths that the benchmark at hand needs.
 Documents' seeds meet the benchmark's in a join on the hash; around each hit, the aligned windows of WINDOW
 tokens that contain the seed are compared token by token, and one with SIMILARITY or more equal tokens is an overlap.
 
-The benchmark is the stated query set. Its seeds are broadcast in blocks of at most BLOCK_SEEDS (counted first), one
-pass over the documents for each block, so that what is broadcast is bounded whatever the benchmark's size.
+The benchmark is the stated query set. Its seeds, a row of bounded size each, are counted first: up to BROADCAST_SEEDS
+are broadcast, so that the documents are read once and nothing of them is shuffled. More are met in shuffled joins: places
+of documents meet the distinct seeds (one row a key, so that Spark can split a hot seed's places), those that are left go back
+to their texts for the tokens around them, and only then meet the benchmark's tokens.
 
 Defined cases: tokens are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Null or empty texts
 and those under six tokens have no seeds and no overlap; so have benchmark items that short. An item under WINDOW tokens is
@@ -30,7 +32,7 @@ MASKS = ("110111", "1011011")
 SPAN = min(map(len, MASKS))
 WINDOW = 15
 SIMILARITY = (4, 5)  # 0.8, as whole numbers
-BLOCK_SEEDS = 200_000
+BROADCAST_SEEDS = 200_000
 _BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -88,27 +90,43 @@ def _benchmark_seeds(items: DataFrame, window: int) -> tuple[DataFrame, list[int
     return out, sorted({n for w in found for _, n in RUNS[w]})
 
 
-def _overlaps_with(docs: DataFrame, seeds: DataFrame, window: int, runs: list[int]) -> DataFrame:
-    rows = docs.select("doc_id", token_hashes(F.col("text")).alias("h"))
-    hits = _seeds(rows, runs).join(F.broadcast(seeds), "seed")
-    # `first` is the document position of the window's first token.
+def _near(rows: DataFrame, seeds: DataFrame, runs: list[int], window: int) -> DataFrame:
+    """Hits by shuffled joins: the columns of `seeds`, doc_id, and the tokens `h` around place `at` of a document, without its
+    first `skipped` tokens."""
+    named = rows.withColumn("own", F.md5(F.concat_ws(" ", F.transform("h", lambda x: x.cast("string")))))
+    places = _seeds(named.select("own", "h"), runs).where("seed is not null").select("own", "at", "seed")
+    met = places.join(seeds.select("seed").distinct(), "seed", "left_semi")
+    # Rows of equal tokens share their places; a text has no more than a fixed number for each of its tokens.
+    each = met.groupBy("own").agg(F.collect_set(F.struct("at", "seed")).alias("places"))
+    skipped = F.greatest(F.lit(0), F.col("place.at") - window)
+    cut = named.join(each, "own").withColumn("place", F.explode("places")).withColumn("skipped", skipped)
+    around = cut.select("doc_id", F.slice("h", F.col("skipped") + 1, 3 * window).alias("h"), (F.col("place.at") - F.col("skipped")).alias("at"), "skipped", F.col("place.seed").alias("seed"))
+    return around.join(seeds, "seed")
+
+
+def _windows(hits: DataFrame, window: int) -> DataFrame:
+    """The aligned windows around hits that are overlaps."""
+    # `first` is the position of the window's first token in `h`.
     each = hits.withColumn("t", F.explode(F.sequence(F.lit(0), F.size("around") - F.col("w")))).withColumn("first", F.col("at") - F.col("base") + F.col("t"))
     equal = sum(
         (F.when((F.lit(j) < F.col("w")) & (F.get("h", F.col("first") + j) == F.get("around", F.col("t") + j)), 1).otherwise(0) for j in range(window)),
         F.lit(0),
     )
     num, den = SIMILARITY
-    return each.select("doc_id", "item_id", "first", "w", equal.alias("equal")).where(F.col("equal") * den >= F.col("w") * num)
+    found = each.select("doc_id", "item_id", (F.col("first") + F.col("skipped")).alias("first"), "w", equal.alias("equal"))
+    return found.where(F.col("equal") * den >= F.col("w") * num)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, last_word): documents with a passage of an item, the best window's share
     of equal tokens, and the first and last token (from 0) of all such windows."""
     seeds, runs = _benchmark_seeds(items, window)
-    blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
-    block = F.pmod(F.xxhash64("seed", "item_id", "base"), F.lit(blocks))
-    found = union_all(*(_overlaps_with(docs, seeds if blocks == 1 else seeds.where(block == b), window, runs) for b in range(blocks)))
-    return found.groupBy("doc_id", "item_id").agg(
+    rows = docs.select("doc_id", token_hashes(F.col("text")).alias("h"))
+    if seeds.count() <= BROADCAST_SEEDS:
+        hits = _seeds(rows, runs).withColumn("skipped", F.lit(0)).join(F.broadcast(seeds), "seed")
+    else:
+        hits = _near(rows, seeds, runs, window)
+    return _windows(hits, window).groupBy("doc_id", "item_id").agg(
         F.max(F.col("equal") / F.col("w")).alias("similarity"), F.min("first").cast("long").alias("first_word"), F.max(F.col("first") + F.col("w") - 1).cast("long").alias("last_word")
     )
 

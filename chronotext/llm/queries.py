@@ -81,23 +81,19 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kw) AS BIGINT) AS n_re
 """
 
 
-#: Seeds are joined as the token strings themselves; no hash is needed.
+#: No seeds and no masks: equal tokens are joined on their diagonal, and every window of it counts its own.
 OP9_SQL = """
 WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower_az, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS h
   FROM (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
 itok AS (SELECT item_id, list_filter(regexp_split_to_array(lower_az, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS h
   FROM (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM benchmark)),
-dpos AS (SELECT doc_id, h, unnest(generate_series(1, len(h) - 5)) AS p FROM tok WHERE len(h) >= 6),
-ipos AS (SELECT item_id, h, least(15, len(h)) AS w, unnest(generate_series(1, len(h) - 5)) AS p FROM itok WHERE len(h) >= 6),
-dseed AS (SELECT doc_id, p, 'a ' || array_to_string([h[p], h[p+1], h[p+3], h[p+4], h[p+5]], ' ') AS s FROM dpos
-  UNION ALL SELECT doc_id, p, 'b ' || array_to_string([h[p], h[p+2], h[p+3], h[p+5], h[p+6]], ' ') FROM dpos WHERE p + 6 <= len(h)),
-iseed AS (SELECT item_id, w, p, len(h) AS n, 'a ' || array_to_string([h[p], h[p+1], h[p+3], h[p+4], h[p+5]], ' ') AS s FROM ipos
-  UNION ALL SELECT item_id, w, p, len(h), 'b ' || array_to_string([h[p], h[p+2], h[p+3], h[p+5], h[p+6]], ' ') FROM ipos WHERE p + 6 <= len(h)),
-hit AS (SELECT DISTINCT doc_id, item_id, w, dseed.p - iseed.p AS diag, unnest(generate_series(greatest(1, iseed.p + 6 - w), least(iseed.p, n - w + 1))) AS i
-  FROM dseed JOIN iseed USING (s)),
-cmp AS (SELECT hit.doc_id, hit.item_id, w, diag + i - 1 AS f,
-  len(list_filter(generate_series(0, w - 1), lambda j: diag + i + j >= 1 AND diag + i + j <= len(tok.h) AND tok.h[greatest(diag + i + j, 1)] = itok.h[i + j])) AS eq
-  FROM hit JOIN tok USING (doc_id) JOIN itok USING (item_id))
+dpos AS (SELECT doc_id, unnest(h) AS t, unnest(generate_series(1, len(h))) AS p FROM tok WHERE len(h) >= 6),
+ipos AS (SELECT item_id, least(15, len(h)) AS w, len(h) AS n, unnest(h) AS t, unnest(generate_series(1, len(h))) AS q FROM itok WHERE len(h) >= 6),
+same AS (SELECT doc_id, item_id, w, n, p - q AS diag, q FROM dpos JOIN ipos USING (t)),
+-- A window holds 0.8 equal tokens only on diagonals that have so many at all.
+rich AS (SELECT doc_id, item_id, diag FROM same GROUP BY doc_id, item_id, diag, w HAVING count(*) * 5 >= w * 4),
+win AS (SELECT doc_id, item_id, w, diag, unnest(generate_series(greatest(1, q - w + 1), least(q, n - w + 1))) AS i FROM same JOIN rich USING (doc_id, item_id, diag)),
+cmp AS (SELECT doc_id, item_id, w, diag + i - 1 AS f, count(*) AS eq FROM win GROUP BY doc_id, item_id, w, diag, i)
 SELECT doc_id, item_id, max(eq / w) AS similarity, CAST(min(f) AS BIGINT) AS first_word, CAST(max(f + w - 1) AS BIGINT) AS last_word
 FROM cmp WHERE eq * 5 >= w * 4 GROUP BY doc_id, item_id
 """

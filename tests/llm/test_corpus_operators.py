@@ -212,10 +212,10 @@ def test_overlaps_equal_brute_force(spark):
         assert sorted(str(r["text"]) for r in left.collect()) == sorted(str(t) for d, t in docs if d not in leaked)
 
 
-def test_overlaps_in_blocks(spark, monkeypatch, corpus, odd, none):
+def test_overlaps_by_shuffled_joins(spark, monkeypatch, corpus, odd, none):
     items = corpus.where("doc_id % 40 = 7").select(F.col("doc_id").alias("item_id"), "text")
     whole = sorted(map(tuple, decontaminate.overlaps(corpus, items).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 300)
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
     assert sorted(map(tuple, decontaminate.overlaps(corpus, items).collect())) == whole and whole
     assert decontaminate.overlaps(odd, items).count() == 0
     assert decontaminate.overlaps(none, items).count() == 0 and decontaminate.overlaps(corpus, items.limit(0)).count() == 0
@@ -231,7 +231,7 @@ def test_masks_catch_every_placement():
         assert any(not any(s + i in lost for i in on) for m, on in zip(decontaminate.MASKS, masks, strict=True) for s in range(15 - len(m) + 1))
 
 
-def test_short_items_with_every_placement(spark):
+def test_short_items_with_every_placement(spark, monkeypatch):
     from itertools import combinations
 
     items = [(w, " ".join(f"i{w}t{j}" for j in range(w))) for w in range(6, 15)]
@@ -241,8 +241,10 @@ def test_short_items_with_every_placement(spark):
             docs.append((len(docs), " ".join(["a", "b", "c", *("other" if j in lost else x for j, x in enumerate(t.split())), "d"])))
     docs.append((len(docs), "i7t1 i7t2 i7t3 i7t4 i7t5 i7t6"))
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(((r["doc_id"], r["item_id"], r["similarity"], r["first_word"], r["last_word"]) for r in decontaminate.overlaps(a, b).collect()), key=str)
-    assert got == brute_overlaps(docs, items) and {x[0] for x in got} == {d for d, _ in docs}
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+        got = sorted(((r["doc_id"], r["item_id"], r["similarity"], r["first_word"], r["last_word"]) for r in decontaminate.overlaps(a, b).collect()), key=str)
+        assert got == brute_overlaps(docs, items) and {x[0] for x in got} == {d for d, _ in docs}
 
 
 def test_no_python_on_the_decontamination_path(corpus):
