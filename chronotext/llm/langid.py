@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import map_slices
+from chronotext.llm.common import map_slices, table
 
 #: Language codes by genealogical family.
 FAMILIES = {
@@ -28,6 +28,8 @@ FAMILIES = {
 }
 UND = "und"
 HASH_BITS = 12
+#: Up to so many languages the bounds of the sample, a row each, are broadcast; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 WIDTH = 256 + 2 * (1 << HASH_BITS)
 _LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -154,7 +156,9 @@ def bounded_sample(rows: DataFrame, per_language: int) -> DataFrame:
     w = Window.partitionBy("lang").orderBy("_h")
     # The rank is taken over hashes alone; texts are read again only up to the hash of the last one chosen.
     chosen = rows.select("lang", "_h").withColumn("_n", F.dense_rank().over(w)).where(F.col("_n") <= per_language)
-    last = chosen.groupBy(F.col("lang").alias("_lang")).agg(F.max("_h").alias("_last"))
+    last = table(chosen.groupBy(F.col("lang").alias("_lang")).agg(F.max("_h").alias("_last")))
+    if last.count() <= BROADCAST_LANGUAGES:
+        last = F.broadcast(last)
     near = rows.join(last, (F.col("lang") == F.col("_lang")) & (F.col("_h") <= F.col("_last"))).drop("_lang", "_last")
     return near.dropDuplicates(["lang", "_h"]).drop("_h")
 
