@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,15 +113,22 @@ def transition_of(prev: Column, cur: Column, min_growth: float = model.MIN_GROWT
 
 
 def hash_to_long(text: Column) -> Column:
-    """A perceptual hash written as decimal, hexadecimal, 0x or 0b digits, as the 64 bits of a BIGINT."""
+    """A perceptual hash written as decimal, hexadecimal, 0x or 0b digits, as the 64 bits of a BIGINT. Other text, or more than
+    64 bits, is an error; null stays null."""
     t = F.replace(F.lower(strip(text)), F.lit("_"), F.lit(""))
-    signed = lambda x, base: F.conv(x, base, -10).cast("long")
+    wrong = F.raise_error(F.concat(F.lit("not a hash of at most 64 bits: "), F.coalesce(text, F.lit("null")))).cast("long")
+
+    def signed(x: Column, base: int, digits: str, most: int) -> Column:
+        short = F.regexp_replace(x, "^0+(?=.)", "")
+        return F.when(short.rlike(f"^[{digits}]{{1,{most}}}$"), F.conv(short, base, -10).cast("long")).otherwise(wrong)
+
     return (
-        F.when(t == "", F.lit(0).cast("long"))
-        .when(F.startswith(t, F.lit("0x")), signed(F.substr(t, F.lit(3)), 16))
-        .when(F.startswith(t, F.lit("0b")), signed(F.substr(t, F.lit(3)), 2))
-        .when(t.rlike("[a-f]") | (F.length(t) > 10), signed(t, 16))
-        .otherwise(signed(t, 10))
+        F.when(t.isNull(), F.lit(None).cast("long"))
+        .when(t == "", F.lit(0).cast("long"))
+        .when(F.startswith(t, F.lit("0x")), signed(F.substr(t, F.lit(3)), 16, "0-9a-f", 16))
+        .when(F.startswith(t, F.lit("0b")), signed(F.substr(t, F.lit(3)), 2, "01", 64))
+        .when(t.rlike("[a-f]") | (F.length(t) > 10), signed(t, 16, "0-9a-f", 16))
+        .otherwise(signed(t, 10, "0-9", 10))
     )
 
 
@@ -170,15 +180,20 @@ def binarize_luma(value: Column, threshold: Column) -> Column:
     return F.when(value.cast("int") > threshold.cast("int"), 255).otherwise(0)
 
 
+VERSION_PART = "decimal(38,0)"
+
+
 def version_parts(version: Column) -> Column:
-    """Leading digits of the dotted parts, up to the first part (after one with digits) that has none."""
+    """Leading digits of the dotted parts, up to the first part (after one with digits) that has none. Parts are decimals of
+    38 digits; a longer one counts as the largest of these."""
     parts = F.transform(F.split(F.translate(version, "-+", ".."), r"\."), lambda x: F.regexp_extract(x, "^[0-9]*", 0))
+    number = lambda x: F.coalesce(x.try_cast(VERSION_PART), F.lit("9" * 38).cast(VERSION_PART))
     step = lambda acc, x: (
         F.when(acc["done"], acc)
-        .when(x != "", F.struct(F.concat(acc["parts"], F.array(x.cast("long"))).alias("parts"), F.lit(False).alias("done")))
+        .when(x != "", F.struct(F.concat(acc["parts"], F.array(number(x))).alias("parts"), F.lit(False).alias("done")))
         .otherwise(F.struct(acc["parts"].alias("parts"), (F.size(acc["parts"]) > 0).alias("done")))
     )
-    start = F.struct(F.array().cast("array<bigint>").alias("parts"), F.lit(False).alias("done"))
+    start = F.struct(F.array().cast(f"array<{VERSION_PART}>").alias("parts"), F.lit(False).alias("done"))
     return F.aggregate(parts, start, step, lambda acc: acc["parts"])
 
 
@@ -186,19 +201,16 @@ def compare_versions(left: Column, right: Column) -> Column:
     """-1, 0 or 1; the shorter version counts as filled up with zeros."""
     a, b = version_parts(left), version_parts(right)
     width = F.greatest(F.size(a), F.size(b))
-    fill = lambda x: F.concat(x, F.array_repeat(F.lit(0).cast("bigint"), width - F.size(x)))
+    fill = lambda x: F.concat(x, F.array_repeat(F.lit(0).cast(VERSION_PART), width - F.size(x)))
     return F.when(fill(a) > fill(b), 1).when(fill(a) < fill(b), -1).otherwise(0)
 
 
 def satisfies_version(version: Column, specifier: str) -> Column:
     """All comma-separated clauses hold; a clause without a known operator is passed over."""
-    holds = F.lit(True)
-    for clause in filter(None, map(str.strip, specifier.split(","))):
-        op = next((o for o in (">=", "<=", "==", ">", "<") if clause.startswith(o)), None)
-        if op:
-            c = compare_versions(version, F.lit(clause[len(op) :].strip()))
-            holds = holds & {">=": c >= 0, "<=": c <= 0, "==": c == 0, ">": c > 0, "<": c < 0}[op]
-    return holds
+    # Signs of the comparison that a clause admits, by its operator.
+    admits = {"<": [-1], "<=": [-1, 0], "==": [0], ">=": [0, 1], ">": [1]}
+    clauses = re.findall(r"(?:^|,)\s*([<>]=?|==)\s*([^,]*?)\s*(?=,|$)", specifier)
+    return reduce(Column.__and__, (compare_versions(version, F.lit(bound)).isin(*admits[sign]) for sign, bound in clauses), F.lit(True))
 
 
 def same_release(a: Column, b: Column) -> Column:
@@ -209,13 +221,14 @@ def same_release(a: Column, b: Column) -> Column:
 
 
 def ocr_language(lang: Column, aliases: dict[str, str] | None = None) -> Column:
-    """The OCR model's language of an alias; an unknown one is an error."""
+    """The OCR model's language of an alias, written with - or _, in any case; null or empty is Korean, an unknown one an
+    error."""
     #: Language aliases of the OCR models.
     aliases = aliases or {
         "ko": "korean", "kor": "korean", "korean": "korean", "ko_kr": "korean", "kor_eng": "korean", "ko_en": "korean", "ko/en": "korean", "korean_english": "korean",
         "en": "en", "eng": "en", "english": "en",
     }
-    found = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[F.lower(strip(lang))]
+    found = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[F.translate(F.lower(strip(F.coalesce(F.nullif(lang, F.lit("")), F.lit("korean")))), "-", "_")]
     return F.coalesce(found, F.raise_error(F.concat(F.lit("no OCR model for language "), F.coalesce(lang, F.lit("null")))))
 
 
@@ -234,11 +247,17 @@ def overall_status(exit_code: Column) -> Column:
     return F.when(exit_code == 0, "ready").when(exit_code == 2, "user-action").otherwise("internal-unfixable")
 
 
+#: Patterns of ids in video URLs, bare ids, and times in names of frames.
+ID_IN_URL = r"(?:v=|/shorts/|youtu\.be/|/embed/)([0-9A-Za-z_-]{11})"
+BARE_ID = r"^([0-9A-Za-z_-]{11})$"
+FRAME_TIME = r"(?i)(?:^|[_-])([0-9]+(?:\.[0-9]+)?)(sec|s)?$"
+
+
 def video_id_of(url: Column) -> Column:
     """The 11-character id in a video URL, or of a bare id; else null."""
     u = strip(url)
-    inside = F.regexp_extract(u, r"(?:v=|/shorts/|youtu\.be/|/embed/)([0-9A-Za-z_-]{11})", 1)
-    bare = F.regexp_extract(u, r"^([0-9A-Za-z_-]{11})$", 1)
+    inside = F.regexp_extract(u, ID_IN_URL, 1)
+    bare = F.regexp_extract(u, BARE_ID, 1)
     return F.coalesce(F.nullif(inside, F.lit("")), F.nullif(bare, F.lit("")))
 
 
@@ -246,8 +265,7 @@ def frame_time(path: Column, fps: float = model.SAMPLE_FPS) -> Column:
     """(seconds, source) from a frame's file name: a whole number counts samples, one with a point or `s`/`sec` is seconds."""
     name = F.regexp_extract(path, r"([^/\\]*)$", 1)
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
-    pattern = r"(?i)(?:^|[_-])([0-9]+(?:\.[0-9]+)?)(sec|s)?$"
-    token, unit = F.regexp_extract(stem, pattern, 1), F.regexp_extract(stem, pattern, 2)
+    token, unit = F.regexp_extract(stem, FRAME_TIME, 1), F.regexp_extract(stem, FRAME_TIME, 2)
     value = F.nullif(token, F.lit("")).try_cast("double")
     seconds = (unit != "") | F.contains(token, F.lit("."))
     pts = (value / fps, "filename_pts_over_fps") if fps > 0 else (value, "filename_pts_no_fps")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotext import model
 from chronotext.functions import scalars as S
-from chronotext.functions.frames import union_all
-from chronotext.operators.temporal import uncited
 
 #: Patterns of cue anchors, deep links and slide images in notes.
 CUE_ANCHOR = r'<a\s+id="(t\d{6}(?:-\d+)?)"></a>'
@@ -32,20 +30,26 @@ def bullets(block: Column) -> Column:
     return F.filter(S.lines(block), lambda x: F.startswith(x, F.lit("- ")))
 
 
+def _cue_list(transcript: Column) -> Column:
+    """Seconds of all cue anchors of a transcript, in order, each once."""
+    ids = F.regexp_extract_all(F.coalesce(transcript, F.lit("")), F.lit(CUE_ANCHOR), 1)
+    return F.array_distinct(F.transform(ids, S.anchor_seconds))
+
+
 def cue_seconds(transcripts: DataFrame) -> DataFrame:
     """(video_id, sec) of all cue anchors in transcripts (video_id, transcript)."""
-    ids = F.array_distinct(F.regexp_extract_all(F.coalesce("transcript", F.lit("")), F.lit(CUE_ANCHOR), 1))
-    return transcripts.select("video_id", F.explode(ids).alias("anchor")).select("video_id", S.anchor_seconds(F.col("anchor")).alias("sec")).distinct()
+    return transcripts.select("video_id", F.explode(_cue_list(F.col("transcript"))).alias("sec")).distinct()
 
 
-def _problems(rows: DataFrame, found: list[tuple[Column, str, int, Column]]) -> DataFrame:
-    each = [F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(n).alias("ord"), detail.cast("string").alias("detail"))) for cond, rule, n, detail in found]
-    return rows.select("video_id", F.explode(F.array_compact(F.array(*each))).alias("p")).select("video_id", "p.rule", "p.ord", "p.detail")
+def _problem(rule: Column, ord_: Column, detail: Column) -> Column:
+    return F.struct(rule.alias("rule"), ord_.cast("int").alias("ord"), detail.cast("string").alias("detail"))
 
 
-def structure_problems(notes: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
-    """The marker on line 1, and every section anchor, in order."""
-    text = F.coalesce("notes", F.lit(""))
+def _where(found: list[tuple[Column, str, int, Column]]) -> Column:
+    return F.array_compact(F.array(*[F.when(cond, _problem(F.lit(rule), F.lit(n), detail)) for cond, rule, n, detail in found]))
+
+
+def _structure(text: Column, contract: model.Contract) -> Column:
     places = [F.instr(text, a) for a in contract.anchors]
     found = [(F.coalesce(F.try_element_at(S.lines(text), F.lit(1)), F.lit("")) != contract.marker, "marker", 0, F.lit(contract.marker))]
     for n, (anchor, place) in enumerate(zip(contract.anchors, places, strict=True)):
@@ -53,49 +57,86 @@ def structure_problems(notes: DataFrame, contract: model.Contract = model.CONTRA
         if n:
             before = places[0] if n == 1 else F.greatest(*places[:n])
             found.append(((place > 0) & (place < before), "section_order", n + 1, F.lit(anchor)))
-    return _problems(notes, found)
+    return _where(found)
+
+
+def _enrichment(text: Column, takeaway: Column, flow: Column, contract: model.Contract) -> Column:
+    take, steps = F.size(bullets(takeaway)), F.size(bullets(flow))
+    left = F.contains(text, F.lit(contract.open_marker))
+    return _where([(left, "open_marker", 0, F.lit(contract.open_marker)), (take != 3, "takeaways", 1, take), (steps < 2, "flow", 2, steps)])
+
+
+def _detail(block: Column, has_frames: Column, contract: model.Contract) -> Column:
+    # A part begins with what follows `### ` on a heading's line; what is before the first heading isn't one.
+    parts = F.split(F.concat(F.lit("\n"), F.array_join(S.lines(block), "\n")), "\n### ", -1)
+    own = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+    def of_part(part: Column, no: Column) -> Column:
+        lines = F.split(part, "\n", -1)
+        heading, body = F.concat(F.lit("### "), F.get(lines, F.lit(0))), F.slice(lines, F.lit(2), F.size(lines))
+        no_bullet = ~F.exists(body, lambda x: F.startswith(x, F.lit("- ")))
+        no_image = F.coalesce(has_frames, F.lit(False)) & ~F.contains(part, F.lit(contract.intro_marker)) & ~F.exists(body, lambda x: x.rlike(SLIDE_IMAGE))
+        problem = lambda rule: _problem(F.lit(rule), no + 1, heading)
+        return F.array(F.when(no_bullet, problem("slide_bullet")), F.when(no_image, problem("slide_image")))
+
+    return F.array_compact(F.flatten(F.transform(own, of_part)))
+
+
+def _citations(concepts: Column, questions: Column, cues: Column) -> Column:
+    cited = F.filter(S.lines(questions), lambda x: F.contains(x, F.lit("youtu.be/")))
+
+    def of_line(kind: str):
+        def check(line: Column, at: Column) -> Column:
+            digits = F.regexp_extract(line, DEEP_LINK, 1)
+            sec = digits.try_cast("bigint")
+            # A number beyond all seconds is a link that is off, too.
+            near = F.coalesce(F.exists(cues, lambda c: F.abs(c - sec) <= 1), F.lit(False))
+            off = F.when((F.size(cues) > 0) & ~near, _problem(F.lit(f"{kind}_link_off"), at, F.coalesce(sec.cast("string"), digits)))
+            return F.when(digits == "", _problem(F.lit(f"{kind}_link_missing"), at, line)).otherwise(off)
+
+        return check
+
+    each = F.concat(F.transform(bullets(concepts), of_line("concept")), F.transform(cited, of_line("question")))
+    return F.concat(F.array_compact(each), _where([(F.size(cited) < 3, "few_cited_questions", 0, F.size(cited))]))
+
+
+def _text(notes: DataFrame) -> Column:
+    return F.coalesce(notes["notes"], F.lit(""))
+
+
+def _cut(notes: DataFrame, contract: model.Contract, **sections: str) -> DataFrame:
+    """The notes with their text and the blocks of sections, each cut out once."""
+    return notes.withColumns({"_text": _text(notes), **{f"_{k}": section_block(notes["notes"], a, contract) for k, a in sections.items()}})
+
+
+def _exploded(rows: DataFrame, problems: Column) -> DataFrame:
+    return rows.select("video_id", F.explode(problems).alias("p")).select("video_id", "p.rule", "p.ord", "p.detail")
+
+
+def structure_problems(notes: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
+    """The marker on line 1, and every section anchor, in order."""
+    return _exploded(notes, _structure(_text(notes), contract))
 
 
 def enrichment_problems(notes: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
     """No placeholder marker is left; three takeaways; two bullets of flow at least."""
-    take = F.size(bullets(section_block(F.col("notes"), contract.takeaway, contract)))
-    flow = F.size(bullets(section_block(F.col("notes"), contract.flow, contract)))
-    left = F.contains(F.coalesce("notes", F.lit("")), F.lit(contract.open_marker))
-    return _problems(notes, [(left, "open_marker", 0, F.lit(contract.open_marker)), (take != 3, "takeaways", 1, take), (flow < 2, "flow", 2, flow)])
+    rows = _cut(notes, contract, takeaway=contract.takeaway, flow=contract.flow)
+    return _exploded(rows, _enrichment(F.col("_text"), F.col("_takeaway"), F.col("_flow"), contract))
 
 
 def detail_problems(notes: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
     """Every heading of the detail section has a bullet and, where the video has frames, an image of them; the intro needs
     none. Input: (video_id, notes, has_frames)."""
-    lines = notes.select("video_id", "has_frames", F.posexplode(S.lines(section_block(F.col("notes"), contract.detail, contract))).alias("pos", "line"))
-    head = F.startswith(F.col("line"), F.lit("### "))
-    w = Window.partitionBy("video_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("_head", head).withColumn("no", F.sum(F.when(head, 1).otherwise(0)).over(w)).where("no > 0")
-    body = ~F.col("_head")
-    per = numbered.groupBy("video_id", "no").agg(
-        F.bool_or("has_frames").alias("has_frames"),
-        F.max(F.when(F.col("_head"), F.col("line"))).alias("heading"),
-        F.bool_or(body & F.startswith(F.col("line"), F.lit("- "))).alias("bullet"),
-        F.bool_or(body & F.col("line").rlike(SLIDE_IMAGE)).alias("image"),
-        F.bool_or(F.contains(F.col("line"), F.lit(contract.intro_marker))).alias("intro"),
-    )
-    no_bullet = per.where(~F.col("bullet")).select("video_id", F.lit("slide_bullet").alias("rule"), F.col("no").cast("int").alias("ord"), F.col("heading").alias("detail"))
-    no_image = per.where(F.col("has_frames") & ~F.col("intro") & ~F.col("image")).select("video_id", F.lit("slide_image").alias("rule"), F.col("no").cast("int").alias("ord"), F.col("heading").alias("detail"))
-    return union_all(no_bullet, no_image)
+    rows = _cut(notes, contract, detail=contract.detail)
+    return _exploded(rows, _detail(F.col("_detail"), F.col("has_frames"), contract))
 
 
 def citation_problems(notes: DataFrame, transcripts: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
-    """Deep links of concept bullets and answers point at a cue, one second more or less; three answers have one."""
-    concepts = notes.select("video_id", F.lit("concept").alias("kind"), F.posexplode(bullets(section_block(F.col("notes"), contract.concepts, contract))).alias("ord", "line"))
-    block = section_block(F.col("notes"), contract.questions, contract)
-    cited = F.filter(S.lines(block), lambda x: F.contains(x, F.lit("youtu.be/")))
-    answers = notes.select("video_id", F.lit("question").alias("kind"), F.posexplode(cited).alias("ord", "line"))
-    every = union_all(concepts, answers).withColumn("_sec", F.nullif(F.regexp_extract("line", DEEP_LINK, 1), F.lit("")).cast("bigint"))
-    row = lambda df, rule, detail: df.select("video_id", F.concat(F.col("kind"), F.lit(rule)).alias("rule"), "ord", detail.alias("detail"))
-    missing = row(every.where("_sec is null"), "_link_missing", F.col("line"))
-    far = row(uncited(every.where("_sec is not null").withColumn("sec", F.col("_sec")), cue_seconds(transcripts)), "_link_off", F.col("sec").cast("string"))
-    few = _problems(notes, [(F.size(cited) < 3, "few_cited_questions", 0, F.size(cited))])
-    return union_all(missing, far, few)
+    """Deep links of concept bullets and answers point at a cue, one second more or less; three answers have one. A video
+    without cues has no link that is off."""
+    own = transcripts.select("video_id", _cue_list(F.col("transcript")).alias("_c")).groupBy("video_id").agg(F.flatten(F.collect_list("_c")).alias("_cues"))
+    rows = _cut(notes.join(own, "video_id", "left"), contract, concepts=contract.concepts, questions=contract.questions)
+    return _exploded(rows, _citations(F.col("_concepts"), F.col("_questions"), F.coalesce("_cues", F.array().cast("array<int>"))))
 
 
 def coverage_contract(notes: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
@@ -104,5 +145,12 @@ def coverage_contract(notes: DataFrame, contract: model.Contract = model.CONTRAC
 
 
 def gate_contract(notes: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
-    """The second layer, for finished notes (video_id, notes, transcript, has_frames): all rules."""
-    return union_all(structure_problems(notes, contract), citation_problems(notes, notes, contract), detail_problems(notes, contract), enrichment_problems(notes, contract))
+    """The second layer, for finished notes (video_id, notes, transcript, has_frames): all rules, in one pass without a
+    shuffle: a row has all that its rules need."""
+    rows = _cut(notes, contract, takeaway=contract.takeaway, flow=contract.flow, detail=contract.detail, concepts=contract.concepts, questions=contract.questions)
+    rows = rows.withColumn("_cues", _cue_list(F.col("transcript")))
+    found = [
+        _structure(F.col("_text"), contract), _citations(F.col("_concepts"), F.col("_questions"), F.col("_cues")), _detail(F.col("_detail"), F.col("has_frames"), contract),
+        _enrichment(F.col("_text"), F.col("_takeaway"), F.col("_flow"), contract),
+    ]
+    return _exploded(rows, F.concat(*found))

@@ -9,6 +9,9 @@ from chronotext import model
 from chronotext.functions.frames import union_all
 from chronotext.operators.spans import cover_spans, max_gap
 
+#: Reasons of a fallback to speech recognition.
+UNUSABLE, UNUSABLE_END, FORCED = "captions present but unusable (", " cues)", "force_stt requested"
+
 
 def gap_check(speech: DataFrame, cues: DataFrame, videos: DataFrame, threshold: float | int = model.MAX_GAP_SEC, cap: float | int = model.CUE_MAX_COVER_SEC) -> DataFrame:
     """(video_id, gap, threshold, passed) for each video (video_id, dur): the longest speech without a cue."""
@@ -23,14 +26,14 @@ def captions_usable(segments: DataFrame, videos: DataFrame, least: int = model.M
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     out = videos.select("video_id").distinct().join(counts, "video_id", "left").select("video_id", zero("n_cues"), zero("n_chars"))
     usable = (F.col("n_cues") >= least) & (F.col("n_chars") >= chars)
-    reason = F.when(~usable, F.concat(F.lit("captions present but unusable ("), F.col("n_cues").cast("string"), F.lit(" cues)")))
+    reason = F.when(~usable, F.concat(F.lit(UNUSABLE), F.col("n_cues").cast("string"), F.lit(UNUSABLE_END)))
     return out.withColumn("usable", usable).withColumn("reason", reason)
 
 
 def choose_track(captions: DataFrame, stt: DataFrame, videos: DataFrame, force_stt: bool = False) -> DataFrame:
     """Segments of each video from its captions where they are usable, else from speech recognition; `source` and the
     reason of the fallback are added."""
-    verdict = captions_usable(captions, videos).select("video_id", (F.lit(not force_stt) & F.col("usable")).alias("_use"), F.when(F.lit(force_stt), F.lit("force_stt requested")).otherwise(F.col("reason")).alias("fallback_reason"))
+    verdict = captions_usable(captions, videos).select("video_id", (F.lit(not force_stt) & F.col("usable")).alias("_use"), F.when(F.lit(force_stt), F.lit(FORCED)).otherwise(F.col("reason")).alias("fallback_reason"))
     columns = captions.columns
     pick = lambda df, use, source: df.join(verdict.where(F.col("_use") == use), "video_id").select(*columns, F.lit(source).alias("source"), "fallback_reason")
     return union_all(pick(captions, True, "caption"), pick(stt, False, "stt"))

@@ -6,7 +6,8 @@ image library, which is loaded on the executors only when a file is to be decode
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,14 @@ def phash_of_coefficients(coefficients: Column) -> Column:
     """64 low-frequency coefficients to a 64-bit hash: bit set where one exceeds the median of all but the first."""
     c = F.transform(coefficients, lambda x: x.cast("double"))
     middle = F.get(F.array_sort(F.slice(c, 2, 63)), F.lit(31))
-    bits = lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x > middle, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(c, F.lit(0).cast("bigint"), bits)
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    # The median rides along in the state: a lambda that names it would sort the array anew for every bit.
+    def step(acc: Column, x: Column) -> Column:
+        bit = F.when(x > acc["middle"], one).otherwise(zero)
+        return F.struct(F.shiftleft(acc["bits"], 1).bitwiseOR(bit).alias("bits"), acc["middle"].alias("middle"))
+
+    return F.aggregate(c, F.struct(zero.alias("bits"), middle.alias("middle")), step, lambda acc: acc["bits"])
 
 
 def low_frequencies(gray: np.ndarray, keep: int = 8) -> np.ndarray:
@@ -61,8 +68,16 @@ def phash_of_image(gray: np.ndarray) -> int:
 def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
     """Mean structural similarity over windows of `window` pixels, edges repeated; -1 to 1."""
     pad = window // 2
-    view = lambda x: np.lib.stride_tricks.sliding_window_view(np.pad(x, pad, mode="edge"), (window, window))
-    mean = lambda x: view(x).mean(axis=(-1, -2))
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        """Box means from running sums, along one axis and then the other: a few reads a pixel at any window."""
+        x = np.pad(x, pad, mode="edge")
+        for axis in (0, 1):
+            x = np.insert(np.cumsum(x, axis=axis), 0, 0.0, axis=axis)
+            n = x.shape[axis]
+            x = np.take(x, np.arange(window, n), axis) - np.take(x, np.arange(n - window), axis)
+        return x / window**2
+
     a, b = a.astype(np.float64), b.astype(np.float64)
     ma, mb = mean(a), mean(b)
     va, vb, cov = mean(a * a) - ma**2, mean(b * b) - mb**2, mean(a * b) - ma * mb
@@ -93,31 +108,97 @@ def ssim_pixels(a: pd.Series, b: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ssim(np.asarray(x, float).reshape(-1, w), np.asarray(y, float).reshape(-1, w)) for x, y, w in zip(a, b, width, strict=True)], dtype="float64")
 
 
-def decode_gray(content: bytes) -> np.ndarray | None:
-    """Gray pixels of an image file's bytes, with whichever image library the executor has; null where it can't be read."""
+#: Weights of red, green and blue in a gray level.
+LUMA = (0.299, 0.587, 0.114)
+Decoder = Callable[[bytes], "np.ndarray | None"]
+
+
+def gray_of(image: np.ndarray) -> np.ndarray:
+    """Whole gray levels of an image of height x width, or height x width x 3 with red first."""
+    return image if image.ndim == 2 else np.rint(image[..., :3].astype(np.float64) @ np.array(LUMA))
+
+
+def read_pnm(content: bytes) -> np.ndarray | None:
+    """Pixels of a binary PGM or PPM file with levels up to 255; null for other bytes. Needs no image library."""
+    head = re.match(rb"P([56])(?:\s+#[^\n]*)*\s+(\d{1,6})\s+(\d{1,6})\s+(\d{1,3})\s", content or b"")
+    if not head:
+        return None
+    depth, width, height = (3 if head[1] == b"6" else 1), int(head[2]), int(head[3])
+    data = np.frombuffer(content, np.uint8, offset=head.end())
+    if width * height == 0 or len(data) < width * height * depth:
+        return None
+    data = data[: width * height * depth]
+    return data.reshape(height, width, 3) if depth == 3 else data.reshape(height, width)
+
+
+def decode_image(content: bytes) -> np.ndarray | None:
+    """Pixels of an image file's bytes, turned as its metadata say; null where they can't be read. Binary PGM and PPM need
+    nothing else, other formats one of two image libraries on the executors: without either they are an error."""
     if not content:
         return None
+    if content[:2] in (b"P5", b"P6"):
+        return read_pnm(content)
     try:
         import cv2
-
-        return cv2.imdecode(np.frombuffer(content, np.uint8), cv2.IMREAD_GRAYSCALE)
     except ImportError:
         import io
 
-        from PIL import Image
+        from PIL import Image, ImageOps, UnidentifiedImageError
 
-        return np.asarray(Image.open(io.BytesIO(content)).convert("L"))
+        try:
+            return np.asarray(ImageOps.exif_transpose(Image.open(io.BytesIO(content))).convert("RGB"))
+        except (UnidentifiedImageError, OSError):
+            return None
+    image = cv2.imdecode(np.frombuffer(content, np.uint8), cv2.IMREAD_COLOR)
+    return None if image is None else image[..., ::-1]
 
 
-def phash_files(files: DataFrame) -> DataFrame:
-    """(path, phash) of image files (path, content), as `binaryFile` reads them."""
+def phash_files(files: DataFrame, decode: Decoder = decode_image) -> DataFrame:
+    """The columns of image files (..., content), as `binaryFile` reads them, with phash in place of the content; null where
+    a file can't be read."""
+    keep = [c for c in files.columns if c not in ("content", "phash")]
+    schema = files.select(*keep).schema.add("phash", "long")
 
     def run(batches):
-        for pdf in batches:
-            grays = [decode_gray(bytes(c)) if c is not None else None for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "phash": pd.array([None if g is None else phash_of_image(g) for g in grays], dtype="Int64")})
+        import pyarrow as pa
+
+        for batch in batches:
+            images = (decode(c) if c is not None else None for c in batch["content"].to_pylist())
+            found = [None if image is None else phash_of_image(gray_of(image)) for image in images]
+            yield pa.record_batch([*[batch[c] for c in keep], pa.array(found, pa.int64())], [*keep, "phash"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, phash bigint")
+    return files.select(*keep, "content").mapInArrow(run, schema)
+
+
+def pair_metrics_of(a: np.ndarray | None, b: np.ndarray | None) -> tuple[float, float]:
+    """(histogram correlation, SSIM) of two images; the second is brought to the first's size. (0, 0) without either."""
+    if a is None or b is None:
+        return 0.0, 0.0
+    rgb = lambda x: np.repeat(x[..., None], 3, axis=2) if x.ndim == 2 else x[..., :3]
+    a, b = rgb(a), rgb(b)
+    if a.shape != b.shape:
+        b = np.stack([np.rint(linear_resize(b[..., c], *a.shape[:2])) for c in range(3)], axis=2)
+    return histogram_correlation(a, b), ssim(gray_of(a), gray_of(b))
+
+
+def frame_pairs(frames: DataFrame, decode: Decoder = decode_image) -> DataFrame:
+    """(video_id, i, hist, ssim) of each frame (video_id, idx, content) and the next one, i counted from 0 in the order of
+    idx. What `select_by_pair_metrics` takes. A frame that can't be read is like no other: (0, 0)."""
+    w = Window.partitionBy("video_id").orderBy("idx")
+    pairs = frames.select("video_id", (F.row_number().over(w) - 1).alias("i"), F.col("content").alias("a"), F.lead("content").over(w).alias("b"), F.lead("idx").over(w).alias("next"))
+    pairs = pairs.where("next is not null").select("video_id", "i", "a", "b")
+    schema = pairs.select("video_id", "i").schema.add("hist", "double").add("ssim", "double")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            read = lambda c: None if c is None else decode(c)
+            found = [pair_metrics_of(read(a), read(b)) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)]
+            cols = [pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)]
+            yield pa.record_batch([batch["video_id"], batch["i"], *cols], ["video_id", "i", "hist", "ssim"])
+
+    return pairs.mapInArrow(run, schema)
 
 
 def otsu_threshold(histogram: Column) -> Column:
@@ -191,6 +272,22 @@ def linear_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return weights(image.shape[0], height) @ image.astype(np.float64) @ weights(image.shape[1], width).T
 
 
+def cubic_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Cubic convolution (a = -0.5) between pixel centres, for enlarging; levels stay within 0 and 255."""
+
+    def weights(old: int, new: int) -> np.ndarray:
+        at = (np.arange(new) + 0.5) * old / new - 0.5
+        near = np.floor(at).astype(int)[:, None] + np.arange(-1, 3)
+        d = np.abs(at[:, None] - near)
+        w = np.where(d <= 1, (1.5 * d - 2.5) * d * d + 1, np.where(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2, 0.0))
+        w *= (near >= 0) & (near < old)
+        out = np.zeros((new, old))
+        np.add.at(out, (np.arange(new)[:, None], np.clip(near, 0, old - 1)), w)
+        return out / out.sum(1, keepdims=True)
+
+    return np.clip(weights(image.shape[0], height) @ image.astype(np.float64) @ weights(image.shape[1], width).T, 0, 255)
+
+
 def prepare_for_ocr(gray: np.ndarray, margin: float = 0.035, keep: float = 0.80, scale: float = 2.0, most: int = 3200) -> np.ndarray:
     """A frame's inner region, enlarged and made black and white by its own Otsu level."""
     height, width = gray.shape
@@ -201,5 +298,35 @@ def prepare_for_ocr(gray: np.ndarray, margin: float = 0.035, keep: float = 0.80,
     factor = max(scale, 1.0)
     if max(h, w) * factor > most:
         factor = max(most / max(h, w), 1.0)
-    large = np.rint(linear_resize(region, max(1, round(h * factor)), max(1, round(w * factor))))
+    large = np.rint(cubic_resize(region, max(1, round(h * factor)), max(1, round(w * factor))))
     return np.where(large > otsu_of_gray(large), 255, 0).astype(np.uint8)
+
+
+def write_pgm(gray: np.ndarray) -> bytes:
+    return b"P5 %d %d 255\n" % gray.shape[::-1] + gray.astype(np.uint8).tobytes()
+
+
+def prepare_files_for_ocr(files: DataFrame, decode: Decoder = decode_image) -> DataFrame:
+    """The columns of image files (..., content) with `prepared`, the black-and-white image as a PGM file, and `warning`:
+    where a file can't be prepared, `prepared` is its own content and the warning says why."""
+    keep = [c for c in files.columns if c not in ("prepared", "warning")]
+    schema = files.select(*keep).schema.add("prepared", "binary").add("warning", "string")
+
+    def one(content: bytes | None) -> tuple[bytes | None, str | None]:
+        try:
+            image = decode(content) if content else None
+            if image is None:
+                return content, "the image can't be read"
+            return write_pgm(prepare_for_ocr(gray_of(image))), None
+        except Exception as e:  # noqa: BLE001  whatever fails, the engine gets the original and the row says so
+            return content, f"{type(e).__name__}: {e}"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [one(c) for c in batch["content"].to_pylist()]
+            cols = [pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())]
+            yield pa.record_batch([*[batch[c] for c in keep], *cols], [*keep, "prepared", "warning"])
+
+    return files.select(*keep).mapInArrow(run, schema)

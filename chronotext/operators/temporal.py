@@ -6,7 +6,9 @@ forward. This is linear in the rows of a key, where a range join would be quadra
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronotext.functions.frames import union_all
@@ -57,13 +59,21 @@ def uncited(links: DataFrame, cues: DataFrame, within: int = 1) -> DataFrame:
     return links.join(near, ["video_id", "sec"], "left_anti").join(have, "video_id", "left_semi")
 
 
-def upsert_runs(runs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Update by index: status always, other fields where the update has them; unknown indexes are appended."""
-    r, u = runs.alias("r"), updates.alias("u")
-    fields = [c for c in runs.columns if c not in ("index", "status")]
-    take = [(F.coalesce(f"u.{c}", f"r.{c}") if c in updates.columns else F.col(f"r.{c}")).alias(c) for c in fields]
-    return r.join(u, F.col("r.index") == F.col("u.index"), "full").select(
-        F.coalesce("r.index", "u.index").alias("index"), F.when(F.col("u.index").isNotNull(), F.col("u.status")).otherwise(F.col("r.status")).alias("status"), *take
+def upsert_runs(runs: DataFrame, updates: DataFrame, key: tuple[str, ...] = ("index",), order: str | None = None) -> DataFrame:
+    """Update by key: status always, other fields where the update has them; unknown keys are appended.
+
+    Several updates of one key take effect in the order of the column `order`: the last status, and of each other field the
+    last value there is. Without that column they must agree. A session's runs have the key (session_id, index)."""
+    fields = [c for c in runs.columns if c not in (*key, "status")]
+    given = [c for c in fields if c in updates.columns]
+    turn = F.col(order) if order else F.lit(0)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), turn)).alias(c) for c in given]
+    u = updates.groupBy(*key).agg(F.max_by("status", turn).alias("status"), *last, F.lit(True).alias("_found")).alias("u")
+    r = runs.alias("r")
+    same = reduce(Column.__and__, (F.col(f"r.{k}") == F.col(f"u.{k}") for k in key))
+    take = [(F.coalesce(f"u.{c}", f"r.{c}") if c in given else F.col(f"r.{c}")).alias(c) for c in fields]
+    return r.join(u, same, "full").select(
+        *[F.coalesce(f"r.{k}", f"u.{k}").alias(k) for k in key], F.when(F.col("u._found"), F.col("u.status")).otherwise(F.col("r.status")).alias("status"), *take
     )
 
 

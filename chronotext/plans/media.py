@@ -102,6 +102,52 @@ walk AS (SELECT doc_id, k, c AS p, cl AS pl, true AS kept FROM s WHERE k = 1
 SELECT doc_id, CAST(k AS INTEGER) AS k FROM walk WHERE kept"""
 
 
+def slides_from_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each document as the OCR of frames that build up over three lines."""
+    rows = V.read(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.split("text", "\n", -1).alias("lines"))
+    each = rows.select("video_id", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("idx"))
+    begin = F.col("idx") - (F.col("idx") - 1) % 3
+    frames = each.select("video_id", "idx", F.array_join(F.slice("lines", begin, F.col("idx") - begin + 1), "\n").alias("ocr_text"))
+    return Q.slides_from_frames(frames).select(F.col("video_id").alias("doc_id"), F.col("idx").alias("k"), F.md5(F.col("ocr_text").cast("binary")).alias("text_md5"), "is_slide")
+
+
+SQL["slides_from_frames"] = f"""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM l),
+s AS (SELECT doc_id, k, {_norm("array_to_string(ls[k - (k - 1) % 3:k], chr(10))")} AS c FROM e), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM s WHERE length(replace(c, ' ', '')) >= 12),
+walk AS (SELECT doc_id, n, k, c, c AS p, true AS kept FROM f WHERE n = 1
+  UNION ALL SELECT doc_id, n, k, c, CASE WHEN new THEN c ELSE p END, new FROM (
+    SELECT f.doc_id, f.n, f.k, f.c, p, CASE WHEN f.c = p THEN false WHEN starts_with(f.c, p) THEN (length(f.c) - length(p)) / length(f.c) >= CAST(0.15 AS DOUBLE) ELSE true END AS new FROM walk w JOIN f ON f.doc_id = w.doc_id AND f.n = w.n + 1))
+SELECT doc_id, CAST(k AS INTEGER) AS k, md5(c) AS text_md5, true AS is_slide FROM walk WHERE kept"""
+
+
+def image_frames(spark: SparkSession, d: str) -> DataFrame:
+    """(video_id, idx, content): embeddings painted as gray PGM files of 32 x 32, coefficients as squares of 16 pixels; of
+    each fortieth the content is cut off."""
+    level = lambda i: F.rint(F.least(F.greatest(128 + 40 * F.get("embedding", F.floor(i / 128).cast("int") * 8 + F.floor(i % 32 / 4).cast("int")), F.lit(0)), F.lit(255))).cast("bigint")
+    pixels = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.lpad(F.hex(level(i)), 2, "0")), "")
+    head = "".join(f"{b:02X}" for b in b"P5 32 32 255\n")
+    content = F.unhex(F.when(F.col("vec_id") % 40 == 7, F.lit(head)).otherwise(F.concat(F.lit(head), pixels)))
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return V.read(spark, d, "embeddings").select(F.col("label").cast("string").alias("video_id"), (F.row_number().over(w) - 1).alias("idx"), content.alias("content"))
+
+
+def frame_files(spark: SparkSession, d: str) -> DataFrame:
+    """Image files to hashes and keyframes; files that can't be read are left out."""
+    return Q.dedupe_frames(K.phash_files(image_frames(spark, d)).where("phash is not null")).select("video_id", "idx", "phash_hex", "hamming_prev")
+
+
+def frame_pair_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return K.frame_pairs(image_frames(spark, d)).select("video_id", "i", F.round("hist", 6).alias("hist"), F.round("ssim", 6).alias("ssim"))
+
+
+def ocr_inputs(spark: SparkSession, d: str) -> DataFrame:
+    out = K.prepare_files_for_ocr(image_frames(spark, d))
+    return out.select("video_id", "idx", F.length("prepared").alias("size"), F.md5("prepared").alias("prepared_md5"), "warning")
+
+
+#: Queries whose kernels SQL can't express; tests hold them to other implementations.
+NO_SQL = ("frame_files", "frame_pair_metrics", "ocr_inputs")
+
+
 def slide_transitions(spark: SparkSession, d: str) -> DataFrame:
     """Each conversation line against the one before, joined to it in turns, so that all kinds of transition occur."""
     rows = V.conversation_segments(spark, d)
@@ -140,10 +186,11 @@ CASE o_orderkey % 5 WHEN 0 THEN 'filename_pts_over_fps' WHEN 4 THEN 'fallback_un
 def frame_actions(spark: SparkSession, d: str) -> DataFrame:
     frames = V.hashed_frames(spark, d).select("video_id", "idx", F.concat_ws("/", "video_id", F.col("idx").cast("string")).alias("path"))
     final = Q.select_keyframes(V.hashed_frames(spark, d)).select(F.concat_ws("/", "video_id", F.col("idx").cast("string")).alias("path"))
-    return T.frame_actions(frames, final).groupBy("action").agg(F.count("*").alias("n"))
+    return T.frame_actions(frames, final)
 
 
-SQL["frame_actions"] = f"WITH kept AS ({SQL['keyframes']}), total AS (SELECT count(*) AS n FROM embeddings, range(3) AS r(k) WHERE k <= vec_id % 3) SELECT 'keep' AS action, (SELECT count(*) FROM kept) AS n UNION ALL SELECT 'delete', n - (SELECT count(*) FROM kept) FROM total"
+SQL["frame_actions"] = f"""WITH kept AS ({SQL['keyframes']}), shot AS (SELECT label, vec_id, k, row_number() OVER (PARTITION BY label ORDER BY vec_id, k) - 1 AS idx FROM embeddings, range(3) AS r(k) WHERE k <= vec_id % 3)
+SELECT shot.label || '/' || idx AS path, CASE WHEN kept.vec_id IS NULL THEN 'delete' ELSE 'keep' END AS action FROM shot LEFT JOIN kept ON kept.vec_id = shot.vec_id AND kept.dwell = k"""
 
 
 def vtt_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -170,6 +217,20 @@ def json3_parse(spark: SparkSession, d: str) -> DataFrame:
 SQL["json3_parse"] = f"WITH {V.TALKS_SQL}, {_CUES.format(norm=_norm('text'))} SELECT video_id, t, md5(text) AS text_md5 FROM z WHERE p IS NULL OR p <> text"
 
 
+def staged_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Talks in up to three languages, of which the first wanted one counts; texts are blank or repeat at times."""
+    n, seq = F.col("video_id").cast("bigint") % 5, F.col("seq")
+    rows = V.conversation_segments(spark, d).withColumn("text", F.when(seq % 4 == 1, " \n").when(seq % 4 == 2, "same").otherwise(F.col("text")))
+    langs = F.when(n == 0, F.array(F.lit("fr"))).when(n == 1, F.array(F.lit("fr"), F.lit("en"))).when(n == 2, F.array(F.lit("en"), F.lit("ko"))).otherwise(F.array(F.lit("ko")))
+    each = rows.withColumn("language", F.explode(langs)).withColumn("text", F.when(F.col("language") == "en", F.concat("text", F.lit("  en "))).otherwise(F.col("text")))
+    return P.staged_captions(each).select("video_id", "seq", "t", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+SQL["staged_captions"] = f"""WITH {V.TALKS_SQL}, s AS (SELECT video_id, seq, t, CASE seq % 4 WHEN 1 THEN '' WHEN 2 THEN 'same' ELSE text END || CASE WHEN CAST(video_id AS BIGINT) % 5 = 1 THEN '  en ' ELSE '' END AS text FROM line WHERE CAST(video_id AS BIGINT) % 5 > 0),
+x AS (SELECT video_id, seq, t, {_norm("text")} AS text FROM s), y AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seq) - 1 AS n FROM x WHERE text <> ''), z AS (SELECT *, lag(text) OVER (PARTITION BY video_id ORDER BY seq) AS p FROM y)
+SELECT video_id, CAST(n AS INTEGER) AS seq, t, md5(text) AS text_md5 FROM z WHERE p IS NULL OR p <> text"""
+
+
 def silence_parse(spark: SparkSession, d: str) -> DataFrame:
     """Clicks as silence starts, views as ends, in a log of each video; speech is what is left."""
     rows = V.event_segments(spark, d).withColumn("sec", (F.col("t") / 1000).cast("bigint"))
@@ -192,14 +253,15 @@ def metadata_parse(spark: SparkSession, d: str) -> DataFrame:
             F.when(n % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" Order "), n.cast("string"))).alias("title"),
             F.when(n % 3 == 0, F.lit("-1")).when(n % 3 == 1, F.lit("soon")).otherwise(n.cast("string")).alias("duration"),
             F.when(n % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("id"), n.cast("string"))).alias("id"),
-            F.concat(F.lit("show"), n.cast("string")).alias("display_id"),
+            F.when(n % 10 == 0, F.lit(" ")).otherwise(F.concat(F.lit("show"), n.cast("string"))).alias("display_id"),
         )
     )
-    return P.parse_metadata(V.read(spark, d, "orders").select(n.cast("string").alias("video_id"), body.alias("body")))
+    url = F.concat(F.lit("https://youtu.be/"), F.substring(F.md5(n.cast("string").cast("binary")), 1, 11))
+    return P.parse_metadata(V.read(spark, d, "orders").select(n.cast("string").alias("video_id"), url.alias("url"), body.alias("body")))
 
 
 SQL["metadata_parse"] = """SELECT CAST(o_orderkey AS VARCHAR) AS video_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'Order ' || o_orderkey END AS title, CASE WHEN o_orderkey % 3 = 2 THEN CAST(o_orderkey AS DOUBLE) END AS duration,
-CASE WHEN o_orderkey % 5 = 0 THEN 'show' || o_orderkey ELSE 'id' || o_orderkey END AS media_id FROM orders"""
+CASE WHEN o_orderkey % 10 = 0 THEN substring(md5(CAST(o_orderkey AS VARCHAR)), 1, 11) WHEN o_orderkey % 5 = 0 THEN 'show' || o_orderkey ELSE 'id' || o_orderkey END AS media_id FROM orders"""
 
 
 def video_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.functions import scalars as S
@@ -68,12 +68,24 @@ FROM part JOIN talk USING (video_id)"""
 
 def synthesis(spark: SparkSession, d: str) -> DataFrame:
     out = R.synthesis_input(V.conversation_videos(spark, d), V.conversation_segments(spark, d), V.conversation_slides(spark, d))
-    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(f"n_{c}")
-    return out.select("video_id", "schema_version", F.col("video.title").alias("title"), size("transcript_segments"), size("slides"), size("section_hints"), F.col("section_hints")[0]["title"].alias("first_title"))
+    whole = lambda x, f: x[f].cast("bigint").cast("string")
 
+    def listed(name: str, line) -> Column:
+        return F.coalesce(F.array_join(F.transform(name, line), "\n"), F.lit("")).alias(name)
+
+    return out.select(
+        "video_id", "schema_version", F.col("video.title").alias("title"), whole(F.col("video"), "duration_sec").alias("duration"),
+        listed("transcript_segments", lambda x: F.concat(whole(x, "t"), F.lit(" "), x["text"])),
+        listed("slides", lambda x: F.concat_ws(" ", whole(x, "t"), x["frame"], x["ocr_text"])),
+        listed("section_hints", lambda x: F.concat_ws(" ", x["index"].cast("string"), whole(x, "t"), whole(x, "win_start"), whole(x, "t_end"), x["title"], x["frame"])),
+    )
 
-SQL["synthesis"] = f"""WITH {V.TALKS_SQL}, {L._HINTS} SELECT video_id, 1 AS schema_version, title, (SELECT CAST(count(*) AS INTEGER) FROM line l WHERE l.video_id = t.video_id) AS n_transcript_segments,
-(SELECT CAST(count(*) AS INTEGER) FROM slide s WHERE s.video_id = t.video_id) AS n_slides, (SELECT CAST(count(*) AS INTEGER) FROM hints h WHERE h.video_id = t.video_id) AS n_section_hints, (SELECT h.title FROM hints h WHERE h.video_id = t.video_id AND h.index = 0) AS first_title FROM talk t"""
+
+SQL["synthesis"] = f"""WITH {V.TALKS_SQL}, {L._HINTS},
+a AS (SELECT video_id, string_agg(concat_ws(' ', CAST(t AS BIGINT), text), chr(10) ORDER BY seq) AS x FROM line GROUP BY video_id), b AS (SELECT video_id, string_agg(concat_ws(' ', CAST(t AS BIGINT), frame, ocr_text), chr(10) ORDER BY idx) AS x FROM slide GROUP BY video_id),
+c AS (SELECT video_id, string_agg(concat_ws(' ', index, CAST(t AS BIGINT), CAST(win_start AS BIGINT), CAST(t_end AS BIGINT), title, frame), chr(10) ORDER BY index) AS x FROM hints GROUP BY video_id)
+SELECT video_id, 1 AS schema_version, title, CAST(CAST(duration_sec AS BIGINT) AS VARCHAR) AS duration, coalesce(a.x, '') AS transcript_segments, coalesce(b.x, '') AS slides, coalesce(c.x, '') AS section_hints
+FROM talk LEFT JOIN a USING (video_id) LEFT JOIN b USING (video_id) LEFT JOIN c USING (video_id)"""
 
 
 def slide_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -149,10 +161,10 @@ SQL["citation_problems"] = " UNION ALL ".join([
 
 
 def gate_contract(spark: SparkSession, d: str) -> DataFrame:
-    return C.gate_contract(_written(spark, d)).groupBy("rule").agg(F.count("*").alias("n"))
+    return C.gate_contract(_written(spark, d))
 
 
-SQL["gate_contract"] = f"SELECT rule, count(*) AS n FROM ({' UNION ALL '.join(SQL[k] for k in ('structure_problems', 'enrichment_problems', 'detail_problems', 'citation_problems'))}) GROUP BY rule"
+SQL["gate_contract"] = " UNION ALL ".join(SQL[k] for k in ("structure_problems", "enrichment_problems", "detail_problems", "citation_problems"))
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -169,11 +181,14 @@ _RUNS = """run AS (SELECT o_orderkey AS index, 'u' || o_orderkey AS url, CASE o_
 def run_upsert(spark: SparkSession, d: str) -> DataFrame:
     runs = _runs(spark, d)
     n = F.col("index")
-    fresh = runs.where(n % 7 == 0).select((n + F.when(n % 2 == 0, 0).otherwise(100_000_000)).alias("index"), F.lit("complete").alias("status"), F.when(n % 14 == 0, F.lit("/new")).alias("output_dir"))
-    return T.upsert_runs(runs, fresh)
+    at = (n + F.when(n % 2 == 0, 0).otherwise(100_000_000)).alias("index")
+    first = runs.where(n % 7 == 0).select(at, F.lit("complete").alias("status"), F.when(n % 14 == 0, F.lit("/new")).alias("output_dir"), F.lit(1).alias("turn"))
+    second = runs.where(n % 21 == 0).select(at, F.lit("failed").alias("status"), F.when(n % 5 == 0, F.lit("/newer")).alias("output_dir"), F.lit(2).alias("turn"))
+    return T.upsert_runs(runs, first.unionByName(second), order="turn")
 
 
-SQL["run_upsert"] = f"""WITH {_RUNS}, f AS (SELECT index + CASE WHEN index % 2 = 0 THEN 0 ELSE 100000000 END AS index, 'complete' AS status, CASE WHEN index % 14 = 0 THEN '/new' END AS output_dir FROM run WHERE index % 7 = 0)
+SQL["run_upsert"] = f"""WITH {_RUNS}, f AS (SELECT index + CASE WHEN index % 2 = 0 THEN 0 ELSE 100000000 END AS index, CASE WHEN index % 21 = 0 THEN 'failed' ELSE 'complete' END AS status,
+  CASE WHEN index % 105 = 0 THEN '/newer' WHEN index % 14 = 0 THEN '/new' END AS output_dir FROM run WHERE index % 7 = 0)
 SELECT coalesce(r.index, f.index) AS index, coalesce(f.status, r.status) AS status, r.url, coalesce(f.output_dir, r.output_dir) AS output_dir, r.coverage_json, r.notes_md, r.error FROM run r FULL JOIN f ON r.index = f.index"""
 
 
@@ -238,6 +253,15 @@ SQL["version_checks"] = """WITH v AS (SELECT p_partkey, CAST(p_partkey % 3 AS BI
 SELECT p_partkey, CASE WHEN (a1, a2) > (b1, b2) THEN 1 WHEN (a1, a2) < (b1, b2) THEN -1 ELSE 0 END AS cmp, a1 = 1 AND a2 >= 4 AS fits, (a1, a2) = (b1, b2) AS same FROM v"""
 
 
+def ocr_languages(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("o_orderkey")
+    names = F.array(*[F.lit(x) for x in ("ko-KR", " KO_en ", "", "ENG", "english", "korean-english", None)])
+    return V.read(spark, d, "orders").select(n, S.ocr_language(F.get(names, (n % 7).cast("int"))).alias("language"))
+
+
+SQL["ocr_languages"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (3, 4) THEN 'en' ELSE 'korean' END AS language FROM orders"
+
+
 def run_state_files(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("o_orderkey")
     one = F.concat(F.lit('{"session_id":"s","runs":[{"index":'), n.cast("string"), F.lit(',"url":"u","status":"pending"}]}'))

@@ -12,7 +12,7 @@ MODULES = [timeline, media, notes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(m, name) for m in MODULES for name in m.SQL}
+    return {name: getattr(m, name) for m in MODULES for name in (*m.SQL, *getattr(m, "NO_SQL", ()))}
 
 
 def oracle_sql() -> dict[str, str]:

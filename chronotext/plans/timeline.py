@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronotext.functions import scalars as S
 from chronotext.operators import coverage as C
+from chronotext.operators import render as R
 from chronotext.operators import sequences as Q
 from chronotext.operators import spans as I
 from chronotext.operators import temporal as T
@@ -109,6 +110,33 @@ SQL["batch_verdict"] = f"""{_ROLLUP}, n AS (SELECT count(*) AS n, count(*) FILTE
 SELECT n, n_failed, n_failed = 0 AS passed, CASE WHEN n_failed = 0 THEN 0 ELSE 2 END AS exit_code FROM n"""
 
 
+def coverage_detail(spark: SparkSession, d: str) -> DataFrame:
+    """What a video's notes say of its coverage, with slides, engines and problems of its notes."""
+    n = F.col("video_id").cast("bigint")
+    videos = V.event_videos(spark, d).withColumn("duration_sec", F.col("dur") / 1000.0 + n % 5000)
+    frames = V.event_frames(spark, d)
+    slides = frames.withColumn("ocr_text", F.when(F.col("event_id") % 40 == 0, F.lit(" \n")).otherwise("slide"))
+    engines = Q.engine_used(frames.select("video_id", F.col("event_id").alias("idx"), F.element_at(F.array(F.lit("none"), F.lit("first"), F.lit("second")), (F.col("event_id") % 3 + 1).cast("int")).alias("engine")))
+    problems = videos.select("video_id", F.explode(F.when(n % 3 == 0, F.array(F.lit("marker"), F.lit("flow"))).when(n % 3 == 1, F.array(F.lit("takeaways")))).alias("rule"))
+    gaps = C.gap_check(V.event_speech(spark, d), V.event_cues(spark, d), videos, GAP_MS, CAP_MS)
+    scenes = C.scene_coverage(V.event_speech(spark, d), frames, videos, slides, carry=CARRY_MS)
+    docs = videos.select("video_id", F.when(n % 5 == 0, " \n").otherwise("text").alias("transcript"), F.when(n % 7 != 0, "notes").alias("notes"))
+    out = C.build_coverage(videos, gaps, scenes, C.artifact_check(docs), problems, engines)
+    cov = F.struct(*out.columns)
+    return out.select("video_id", F.array_join(R.coverage_footer(cov), "\n").alias("footer"), F.array_join("notes_contract.problems", ",").alias("problems"), F.col("notes_contract.passed").alias("notes_passed"), "overall_pass")
+
+
+_DETAIL = f"""{_UNCOVERED}, {_GAPS}, {_SCENES},
+shots AS (SELECT vid.video_id, count(event_id) AS total, count(event_id) FILTER (WHERE event_id % 40 <> 0) AS full, coalesce(arg_max(CASE event_id % 3 WHEN 1 THEN 'first' ELSE 'second' END, event_id) FILTER (WHERE event_id % 3 > 0), 'none') AS engine FROM vid LEFT JOIN frame USING (video_id) GROUP BY vid.video_id),
+x AS (SELECT video_id, CAST(video_id AS BIGINT) AS n, max_gap_ms, gaps.passed AS gap_ok, scenes.passed AND shots.full >= total AS scene_ok, total, shots.full AS full, engine,
+  CASE WHEN speech_bins = '' THEN 0 ELSE len(string_split(speech_bins, ',')) END AS spoken, CASE WHEN uncovered_bins = '' THEN 0 ELSE len(string_split(uncovered_bins, ',')) END AS bare FROM gaps JOIN scenes USING (video_id) JOIN shots USING (video_id)),
+y AS (SELECT *, n % 5 <> 0 AS said, n % 7 <> 0 AS noted, n % 3 = 2 AS notes_passed FROM x)"""
+SQL["coverage_detail"] = f"""{_DETAIL} SELECT video_id, array_to_string(['- 전체 길이: ' || {V.stamp_sql("CAST(3600 + n % 5000 AS DOUBLE)")}, '- 대사 공백: 최대 ' || max_gap_ms || 's (임계 {GAP_MS}s) → ' || CASE WHEN gap_ok THEN '통과' ELSE '미달' END,
+  '- 장면 커버리지: 발화 구간 ' || spoken || '개 중 미커버 ' || bare || '개 → ' || CASE WHEN scene_ok THEN '통과' ELSE '미달' END, '- 슬라이드: ' || "full" || '/' || total || ' (OCR 텍스트 보유)', '- OCR 엔진: ' || engine,
+  '- 산출물: transcript=' || CASE WHEN said THEN 'O' ELSE 'X' END || ', notes=' || CASE WHEN noted THEN 'O' ELSE 'X' END], chr(10)) AS footer,
+  CASE n % 3 WHEN 0 THEN 'flow,marker' WHEN 1 THEN 'takeaways' ELSE '' END AS problems, notes_passed, gap_ok AND scene_ok AND said AND noted AND notes_passed AS overall_pass FROM y"""
+
+
 def bin_places(spark: SparkSession, d: str) -> DataFrame:
     rows = V.timeline(spark, d)
     t, dur = F.col("t") / 1000.0, F.col("value") * 40.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +70,8 @@ def staged_captions(segments: DataFrame, languages: tuple[str, ...] = ("ko", "en
 
 
 def parse_metadata(files: DataFrame) -> DataFrame:
-    """(video_id, title, duration, media_id) of captured metadata JSON (video_id, body); what is blank or not positive is null.
+    """(video_id, title, duration, media_id) of captured metadata JSON (video_id, body[, url]); what is blank or not positive
+    is null, but for the id, which is then the URL's.
 
     Text that isn't a JSON object is an error."""
     get = lambda k: F.get_json_object("body", f"$.{k}")
@@ -77,8 +80,9 @@ def parse_metadata(files: DataFrame) -> DataFrame:
     text = lambda c: F.nullif(S.strip(c), F.lit(""))
     duration = get("duration").try_cast("double")
     falsy = lambda c: F.when(~c.isin("", "0", "0.0", "false"), c)
+    from_url = S.video_id_of(F.col("url")) if "url" in files.columns else F.lit(None).cast("string")
     rows = files.where(valid)
-    return rows.select("video_id", text(get("title")).alias("title"), F.when(duration > 0, duration).alias("duration"), text(F.coalesce(falsy(get("id")), get("display_id"))).alias("media_id"))
+    return rows.select("video_id", text(get("title")).alias("title"), F.when(duration > 0, duration).alias("duration"), F.coalesce(text(F.coalesce(falsy(get("id")), get("display_id"))), from_url).alias("media_id"))
 
 
 def parse_silence(logs: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -125,24 +129,34 @@ def run_transcriber(audio: DataFrame, make_engine) -> DataFrame:
 
 
 def run_ocr(frames: DataFrame, make_engines) -> DataFrame:
-    """Add ocr_text and engine to frames (..., path): the first engine that reads the image. Engines are (name, function)
-    pairs, made once in each task; a failing one is passed over."""
-    schema = frames.select("*").schema.add("ocr_text", "string").add("engine", "string")
+    """Add ocr_text, engine and warning to frames (..., path): the first engine that reads the image. Engines are (name,
+    function) pairs, made once in each task; a failing one is passed over, and the warning says why."""
+    schema = frames.select("*").schema.add("ocr_text", "string").add("engine", "string").add("warning", "string")
 
     def run(batches):
         engines = make_engines()
         for pdf in batches:
-            texts, names = [], []
+            texts, names, warnings = [], [], []
             for path in pdf["path"]:
-                text, used = "", "none"
+                text, used, failed = "", "none", []
                 for name, read in engines:
                     try:
                         text, used = read(path), name
                         break
-                    except Exception:  # noqa: BLE001  any failure of one engine means the next
-                        continue
+                    except Exception as e:  # noqa: BLE001  any failure of one engine means the next
+                        failed.append(f"{name}: {type(e).__name__}: {e}")
                 texts.append(text)
                 names.append(used)
-            yield pdf.assign(ocr_text=texts, engine=names)
+                warnings.append("; ".join(failed) or None)
+            yield pdf.assign(ocr_text=texts, engine=names, warning=warnings)
 
     return frames.mapInPandas(run, schema)
+
+
+def checked_engine(version: str | None, supported: str = ">=2.7,<3") -> None:
+    """Raise where an OCR engine's version is outside the versions whose calls it is used with; unknown ones pass."""
+    inside = lambda v, sign, bound: {">=": v >= bound, "<": v < bound}[sign]
+    own = [int(x) for x in re.findall(r"\d+", (version or "").split("+")[0])[:3]]
+    for sign, bound in re.findall(r"(>=|<)\s*([0-9.]+)", supported):
+        if own and not inside(own, sign, [int(x) for x in bound.split(".")]):
+            raise RuntimeError(f"OCR engine {version} is outside {supported}")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from chronotext.functions import scalars as S
 from chronotext.operators import kernels, sequences
 
-B17 = (1 << 17) - 1
-
 
 def keep(spark, hashes):
     if not hashes:
@@ -20,12 +18,19 @@ def keep(spark, hashes):
     return out
 
 
-@pytest.mark.parametrize(
-    ("hashes", "want"),
-    [([0, 1023, 1023], [0]), ([0, B17, B17], [0, 1]), ([0, B17, 0], [0]), ([0, B17, B17 << 17, B17 << 17], [0, 2]), ([(1 << 64) - 1], [0]), ([0, (1 << 64) - 1, (1 << 64) - 1], [0, 1])],
-)
-def test_keyframes(spark, hashes, want):
-    assert keep(spark, hashes) == want
+def far(seed, n):
+    """n hashes of which any two are over 12 bits apart."""
+    r = random.Random(seed)
+    out = [r.getrandbits(64) for _ in range(n)]
+    assert all((a ^ b).bit_count() > 12 for i, a in enumerate(out) for b in out[:i])
+    return out
+
+
+@pytest.mark.parametrize("pattern", ["a", "abb", "aba", "abcc", "abbcbb", "abcabc", "aabbaabb", "abbbcccab"])
+def test_keyframes(spark, pattern):
+    hashes = [dict(zip("abc", far(5, 3)))[x] for x in pattern]
+    assert keep(spark, hashes) == brute_keyframes(hashes)
+    assert keep(spark, [(1 << 64) - 1, 0, 0, (1 << 63)]) == [0, 1]
 
 
 def brute_keyframes(hashes, distance=12, persist=2):
@@ -130,6 +135,17 @@ def test_otsu(spark):
 def test_ssim():
     r = np.random.default_rng(0)
     a = r.uniform(0, 255, (40, 40))
+    b = a + r.normal(0, 30, a.shape)
+    for window in (7, 3):
+        pad = window // 2
+        x, y = (np.pad(v, pad, mode="edge") for v in (a, b))
+        local = []
+        for i in range(40):
+            for j in range(40):
+                p, q = (v[i : i + window, j : j + window] for v in (x, y))
+                cov = ((p - p.mean()) * (q - q.mean())).mean()
+                local.append((2 * p.mean() * q.mean() + 6.5025) * (2 * cov + 58.5225) / ((p.mean() ** 2 + q.mean() ** 2 + 6.5025) * (p.var() + q.var() + 58.5225)))
+        assert kernels.ssim(a, b, window) == pytest.approx(np.mean(local))
     assert kernels.ssim(a, a) == pytest.approx(1.0)
     half = np.zeros((40, 40))
     half[:, :20] = 255
@@ -150,6 +166,65 @@ def test_phash(spark):
     assert kernels.area_resize(np.ones((64, 48)), 32, 32) == pytest.approx(np.ones((32, 32)))
 
 
+def pgm(gray):
+    return b"P5\n# a comment\n%d %d\n255\n" % gray.shape[::-1] + gray.astype(np.uint8).tobytes()
+
+
+def test_pnm_files():
+    r = np.random.default_rng(5)
+    gray, colour = r.integers(0, 256, (5, 9)), r.integers(0, 256, (4, 3, 3))
+    assert (kernels.decode_image(pgm(gray)) == gray).all()
+    assert (kernels.read_pnm(b"P6 3 4 255\n" + colour.astype(np.uint8).tobytes()) == colour).all()
+    assert kernels.read_pnm(pgm(gray)[:-1]) is None and kernels.read_pnm(b"P5 0 5 255\n") is None and kernels.read_pnm(b"GIF") is None and kernels.decode_image(b"") is None
+    assert (kernels.read_pnm(kernels.write_pgm(gray)) == gray).all()
+    assert kernels.gray_of(np.full((2, 2, 3), 77)).tolist() == [[77, 77]] * 2
+
+
+def test_frames_from_files_to_keyframes(spark):
+    r = np.random.default_rng(6)
+    scenes = [np.kron(r.integers(0, 256, (8, 8)), np.ones((8, 8), int)) for _ in range(4)]
+    rows = [("v", i, pgm(np.clip(scenes[s] + r.integers(-2, 3, (64, 64)), 0, 255))) for i, s in enumerate([0, 0, 1, 1, 2, 0, 0, 3, 3])] + [("w", 0, pgm(scenes[0])), ("x", 0, b"P5 9 9 255\n"), ("x", 1, None)]
+    files = spark.createDataFrame(rows, "video_id string, idx int, content binary")
+    hashed = kernels.phash_files(files)
+    assert hashed.columns == ["video_id", "idx", "phash"]
+    got = {(x["video_id"], x["idx"]): x["phash"] for x in hashed.collect()}
+    want = {(v, i): kernels.phash_of_image(kernels.read_pnm(c)) if v in "vw" else None for v, i, c in rows}
+    assert got == want
+    unsigned = [want["v", i] & (2**64 - 1) for i in range(9)]
+    kept = sequences.dedupe_frames(hashed.where("phash is not null")).collect()
+    assert sorted(x["idx"] for x in kept if x["video_id"] == "v") == brute_keyframes(unsigned) == [0, 2, 5, 7]
+    assert all(x["phash_hex"] == f"{want[x['video_id'], x['idx']] & (2**64 - 1):016x}" for x in kept)
+    assert {x["idx"]: x["hamming_prev"] for x in kept if x["video_id"] == "v"} == {0: None, 2: (unsigned[1] ^ unsigned[2]).bit_count(), 5: (unsigned[4] ^ unsigned[5]).bit_count(), 7: (unsigned[6] ^ unsigned[7]).bit_count()}
+
+
+def test_frame_pairs(spark):
+    r = np.random.default_rng(7)
+    a = r.integers(0, 256, (20, 30))
+    rows = [("v", 3, pgm(a)), ("v", 1, pgm(a)), ("v", 5, pgm(255 - a)), ("v", 8, b"P5 9 9 255\n"), ("v", 9, pgm(np.kron(a, np.ones((2, 2))))), ("w", 0, pgm(a))]
+    pairs = kernels.frame_pairs(spark.createDataFrame(rows, "video_id string, idx int, content binary"))
+    got = {x["i"]: (x["hist"], x["ssim"]) for x in pairs.collect()}
+    assert set(got) == {0, 1, 2, 3} and got[0] == pytest.approx((1.0, 1.0)) and got[1][1] < 0 and got[2] == got[3] == (0.0, 0.0)
+    assert sorted(x["idx"] for x in sequences.select_by_pair_metrics(pairs).collect()) == [0, 2, 3, 4]
+    hist, like = kernels.pair_metrics_of(a, np.kron(a, np.ones((2, 2), int)))
+    assert hist > 0.5 and like > 0.5 and kernels.pair_metrics_of(None, a) == (0.0, 0.0)
+
+
+def test_files_prepared_for_ocr(spark):
+    page = np.full((100, 200), 240)
+    page[40:60, 60:140] = 10
+    rows = [("a", pgm(page)), ("b", b"P5 text"), ("c", None)]
+    out = {x["path"]: x for x in kernels.prepare_files_for_ocr(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert (kernels.read_pnm(bytes(out["a"]["prepared"])) == kernels.prepare_for_ocr(page)).all() and out["a"]["warning"] is None
+    assert bytes(out["b"]["prepared"]) == b"P5 text" and out["b"]["warning"] and out["c"]["prepared"] is None and out["c"]["warning"]
+
+
+def test_cubic_resize():
+    x = np.arange(12.0)[None, :] * 10 + 50
+    large = kernels.cubic_resize(np.repeat(x, 3, 0), 6, 24)
+    assert large.shape == (6, 24) and np.allclose(large[0, 4:-4], 50 + 10 * ((np.arange(24) + 0.5) / 2 - 0.5)[4:-4])
+    assert kernels.cubic_resize(np.full((3, 4), 9.0), 7, 5) == pytest.approx(np.full((7, 5), 9.0))
+
+
 def test_preparation_for_ocr():
     page = np.full((100, 200), 240.0)
     page[40:60, 60:140] = 10

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,28 +32,53 @@ def test_video_ids(spark, url, want):
     assert one(spark, url, "string", S.video_id_of) == want
 
 
-@pytest.mark.parametrize(
-    ("path", "t", "source"),
-    [("/d/frame_00042.png", 21.0, "filename_pts_over_fps"), ("frame_12.5.png", 12.5, "filename_seconds"), ("a-7s.jpg", 7.0, "filename_seconds"), ("x_8SEC.png", 8.0, "filename_seconds"), ("cover.png", 0.0, "fallback_unparseable"), ("9.png", 4.5, "filename_pts_over_fps")],
-)
-def test_frame_names(spark, path, t, source):
-    got = one(spark, path, "string", S.frame_time)
-    assert (got["t"], got["source"]) == (t, source)
+def test_frame_names(spark):
+    """Names put together from a stem, a number, a unit and an ending, so that the time in them is known."""
+    rows, want = [], {}
+    for stem, number, unit, end in itertools.product(("shot-", "/v/x/frame_", "C:\\clips\\a_b-", ""), ("3", "0017", "4.75", "120"), ("", "s", "Sec"), (".png", ".JPEG", "")):
+        if end == "" and "." in number:
+            continue  # what follows the point is taken for an ending
+        name, seconds = f"{stem}{number}{unit}{end}", bool(unit) or "." in number
+        want[name] = (float(number), "filename_seconds") if seconds else (float(number) / 2, "filename_pts_over_fps")
+        rows.append((name,))
+    for name in ("intro.png", "slide12b.png", "7x.png", "/d/-.png", ""):
+        want[name] = (0.0, "fallback_unparseable")
+        rows.append((name,))
+    got = spark.createDataFrame(rows, "x string").select("x", S.frame_time(F.col("x")).alias("at")).collect()
+    assert {r["x"]: (r["at"]["t"], r["at"]["source"]) for r in got} == want
 
 
 def test_geometry(spark):
-    df = spark.createDataFrame([(1000, 500)], "w int, h int")
-    assert tuple(df.select(S.roi_box(F.col("w"), F.col("h"))).first()[0]) == (35, 18, 965, 482)
-    assert tuple(df.select(S.roi_box(F.col("w"), F.col("h"), 0.20, 0.80)).first()[0]) == (100, 50, 900, 450)
-    size = lambda w, h: tuple(spark.createDataFrame([(w, h)], "w int, h int").select(S.upscaled_size(F.col("w"), F.col("h"))).first()[0])
-    assert size(800, 450) == (1600, 900) and size(2400, 1350) == (3200, 1800)
-    with pytest.raises(Exception, match="positive"):
-        size(0, 5)
+    r = random.Random(4)
+    sizes = [(r.randrange(1, 5000), r.randrange(1, 3000)) for _ in range(200)] + [(1, 1), (3, 700)]
+    df = spark.createDataFrame(sizes, "w int, h int")
+    for margin, kept in ((0.035, 0.80), (0.3, 0.5), (0.01, 1.0)):
+        share = max(0.0, min(margin, (1 - kept) / 2))
+        for row in df.select("w", "h", S.roi_box(F.col("w"), F.col("h"), margin, kept).alias("b")).collect():
+            x, y = round(row["w"] * share), round(row["h"] * share)
+            inner = (x, y, row["w"] - x, row["h"] - y)
+            assert tuple(row["b"]) == (inner if inner[2] > x and inner[3] > y else (0, 0, row["w"], row["h"]))
+    for row in df.select("w", "h", S.upscaled_size(F.col("w"), F.col("h"), 1.5, 2000).alias("s")).collect():
+        large = max(row["w"], row["h"])
+        f = 1.5 if large * 1.5 <= 2000 else max(2000 / large, 1.0)
+        assert tuple(row["s"]) == tuple(max(1, round(v * f)) for v in (row["w"], row["h"]))
+    for wrong in ((0, 7), (7, -1)):
+        with pytest.raises(Exception, match="positive"):
+            spark.createDataFrame([wrong], "w int, h int").select(S.upscaled_size(F.col("w"), F.col("h"))).collect()
 
 
 def test_hashes(spark):
     f = lambda x: one(spark, x, "string", S.hash_to_long)
-    assert (f("0xff"), f("0b11"), f("ff"), f("10"), f("12345678901"), f("f" * 16), f(" "), f("1_0")) == (255, 3, 255, 10, 0x12345678901, -1, 0, 10)
+    r = random.Random(7)
+    for _ in range(12):
+        n = r.getrandbits(r.randrange(1, 65))
+        signed = n - (1 << 64) if n >> 63 else n
+        assert {f(x) for x in (f"0x{n:X}", f"0b{n:b}", f"0b{n:064b}", f" {n:016x} ", f"{n:_x}" if n > 0xFFFFFFFFFF else f"0x{n:x}")} == {signed}
+    assert [f(str(n)) for n in (0, 9, 4_000_000_000)] == [0, 9, 4_000_000_000] and f(" ") == 0 and f("4_2") == 42
+    assert one(spark, None, "string", S.hash_to_long) is None
+    for wrong in ("zz", "0x" + "1" * 17, "0b2", "fg", "1" * 17, "-5"):
+        with pytest.raises(Exception, match="not a hash"):
+            f(wrong)
     assert one(spark, -1, "long", S.hash_hex) == "f" * 16
     assert spark.range(1).select(S.hamming(F.lit(0), F.lit(1023)), S.is_same_phash(F.lit(0), F.lit(8191))).first() == (10, False)
 
@@ -60,6 +88,8 @@ def test_versions(spark):
     assert (c("1.2", "1.2.0"), c("1.10", "1.9"), c("2.0rc1", "2.1"), c("1.0.post1", "1.0")) == (0, 1, -1, 0)
     ok = lambda v, s: spark.range(1).select(S.satisfies_version(F.lit(v), s)).first()[0]
     assert ok("2.7.3", ">=2.7,<3") and not ok("3.0", ">=2.7,<3") and ok("4.6.0.66", ">=4.5,<=4.6.0.66") and ok("1", "!x") and not ok("1", "==2")
+    assert ok("1.5", "<=1.5") and not ok("1.5", "<1.5") and not ok("1.5", ">1.5 , <9") and ok("2", " >= 1.9 ,, < 3") and ok("7", "")
+    assert c("20240101123456789012.1", "20240101123456789012.0") == 1 and c("9" * 50, "1") == 1
     same = lambda a, b: spark.range(1).select(S.same_release(F.lit(a), F.lit(b))).first()[0]
     assert same("4.6.0", "4.6.0.66") and not same("4.6.1", "4.6.0.66") and same("x", "x") and not same("x", "1")
 
@@ -70,7 +100,7 @@ def test_small_scalars(spark):
     assert one(spark, "\n  first [x]|\nsecond", "string", lambda x: S.first_line(x, F.lit("none"))) == "first [x]|"
     assert one(spark, "a [b]\n|c", "string", S.safe_title) == "a (b) /c"
     assert one(spark, "t010203-4", "string", S.anchor_seconds) == 3723
-    assert one(spark, "kor", "string", S.ocr_language) == "korean"
+    assert [one(spark, x, "string", S.ocr_language) for x in ("kor", "KO-kr", None, "", "Eng ")] == ["korean"] * 4 + ["en"]
     assert one(spark, "/out/x/frames/a.png", "string", lambda x: S.frame_link(x, F.lit("/out/x"))) == "frames/a.png"
     assert [one(spark, x, "int", S.overall_status) for x in (0, 2, 1)] == ["ready", "user-action", "internal-unfixable"]
     with pytest.raises(Exception, match="no OCR model"):
@@ -166,6 +196,21 @@ def test_contract_mutations(spark, change, rules):
     assert sorted({r["rule"] for r in contract.gate_contract(df).collect()}) == rules
 
 
+def test_links_beyond_all_seconds(spark):
+    df = spark.createDataFrame([("v", finished(link="9" * 25), '<a id="t000100"></a> x', True), ("w", finished(link="9223372036854775807"), "", True)], "video_id string, notes string, transcript string, has_frames boolean")
+    got = {(r["video_id"], r["rule"], r["detail"]) for r in contract.gate_contract(df).collect()}
+    assert got == {("v", "concept_link_off", "9" * 25), ("v", "question_link_off", "9" * 25)}
+    assert got == {(r["video_id"], r["rule"], r["detail"]) for r in contract.citation_problems(df, df).collect()}
+
+
+def test_contract_in_one_pass_equals_its_parts(spark):
+    changes = [{}, {"link": "62"}, {"take": "- a\n"}, {"answers": 1}, {"detail": "### a\r\ntext\n### b\n- x\n### c"}, {"detail": f"- before\n### i {CONTRACT.intro_marker}\n"}, {"detail": ""}]
+    rows = [(f"v{i}", finished(**c), '<a id="t000100"></a>', bool(i % 2)) for i, c in enumerate(changes * 2)] + [("none", None, None, None)]
+    df = spark.createDataFrame(rows, "video_id string, notes string, transcript string, has_frames boolean")
+    parts = [contract.structure_problems(df), contract.enrichment_problems(df), contract.detail_problems(df), contract.citation_problems(df, df)]
+    assert sorted(map(tuple, contract.gate_contract(df).collect())) == sorted(tuple(r) for p in parts for r in p.collect())
+
+
 def test_structure_of_nothing(spark):
     df = spark.createDataFrame([("v", None), ("w", finished().replace(CONTRACT.flow, "## x"))], "video_id string, notes string")
     got = contract.structure_problems(df).groupBy("video_id").count().collect()
@@ -183,6 +228,11 @@ def test_sessions(spark, tmp_path):
     update = spark.createDataFrame([(1, "complete", "/o"), (5, "failed", None)], "index int, status string, output_dir string")
     out = temporal.upsert_runs(runs, update)
     assert {r["index"]: (r["status"], r["url"], r["output_dir"]) for r in out.collect()} == {0: ("pending", "u0", None), 1: ("complete", "u1", "/o"), 5: ("failed", None, None)}
+    turns = [("a", 0, "complete", None, 2), ("a", 0, "pending", "/p", 1), ("b", 0, "failed", None, 1), ("b", 7, "failed", "/q", 3), ("b", 7, "complete", None, 4)]
+    updates = spark.createDataFrame(turns, "session_id string, index int, status string, output_dir string, turn int")
+    keyed = spark.createDataFrame([("a", 0, "u", "pending", "/o"), ("b", 0, "w", "pending", "/o")], "session_id string, index int, url string, status string, output_dir string")
+    got = temporal.upsert_runs(keyed, updates, ("session_id", "index"), "turn").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", 0, "complete", "u", "/p"), ("b", 0, "failed", "w", "/o"), ("b", 7, "complete", None, "/q")]
     state.save_runs(out, f"{tmp_path}/runs")
     assert state.load_runs(spark, f"{tmp_path}/runs").count() == 3
     assert gate.gate_exit_code(out.where("false").select("index")).first()["exit_code"] == 0
@@ -232,4 +282,10 @@ def test_engines_run_once_a_task(spark):
 
         return [("first", broken), ("second", lambda path: "text")]
 
-    assert captions.run_ocr(audio, engines).first()["engine"] == "second"
+    row = captions.run_ocr(audio, engines).first()
+    assert (row["engine"], row["warning"]) == ("second", "first: OSError: ")
+    captions.checked_engine("2.9.1")
+    captions.checked_engine(None)
+    for wrong in ("3.0", "2.6.9"):
+        with pytest.raises(RuntimeError, match="outside"):
+            captions.checked_engine(wrong)
