@@ -153,6 +153,36 @@ def test_substrings_of_few_words(spark):
     assert got == brute_removed(list(enumerate(texts)), 50)
 
 
+def test_substrings_with_colliding_hashes(spark, corpus):
+    """Words of two-bit hashes collide all over; what they promise is compared at the source and thrown away."""
+    r = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = rows_of(corpus)[:60] + [(1000 + i, " ".join(r.choice(words, 90))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, verified = substrings._attempt(docs, 20, 7, 2)
+    assert not verified
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(docs, 20, bits=(2, 64)).collect()), key=str)
+    assert got == brute_removed(rows, 20)
+
+
+def test_substrings_without_broadcasts(monkeypatch, corpus):
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", -1)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(corpus, 20).collect()), key=str)
+    assert got == brute_removed(rows_of(corpus), 20)
+
+
+def test_chains_are_contracted(spark):
+    """A passage of very many paths in two copies becomes one span with its source's coordinate."""
+    r = np.random.default_rng(4)
+    long_ = " ".join(f"w{i}" for i in r.integers(0, 5000, 3000))
+    docs = spark.createDataFrame([(3, f"a b {long_} c"), (9, f"{long_} x y"), (12, f"p q r {long_}")], "doc_id long, text string")
+    spans = substrings.repeated_spans(substrings._named(docs)).collect()
+    assert sorted((s["doc_id"], s["first"], s["size"], s["s_doc"], s["s_first"]) for s in spans) == [(9, 0, 3000, 3, 2), (12, 3, 3000, 3, 2)]
+    named = [("k" + d, t) for d, t in (("1", long_), ("2", f"z {long_}"), ("0", "short"))]
+    got = substrings.remove_repeats(spark.createDataFrame(named, "doc_id string, text string")).collect()
+    assert {x["doc_id"]: x["n_removed"] for x in got} == {"k0": 0, "k1": 0, "k2": 3000}
+
+
 def test_super_windows_cut_long_documents(monkeypatch, spark):
     from chronotext.llm import superwindows
 
@@ -161,8 +191,9 @@ def test_super_windows_cut_long_documents(monkeypatch, spark):
     words = [f"w{i}".encode() for i in r.integers(0, 50, 3000)]
     p = superwindows.Pieces([words, words[:60], [], words[100:900]], superwindows.WordHashes(), 50, 16)
     assert p.count.sum() == (3000 - 49) + 11 + (800 - 49)
-    row, nth, w = p.windows(np.arange(len(p.start)))
-    at = {(int(d), int(f)): tuple(x) for d, f, x in zip(p.doc[row], p.first[row] + nth, w.tolist(), strict=True)}
+    of = [np.flatnonzero(p.doc == d) for d in range(4)]
+    doc, first, w = superwindows.window_hashes([words, words[:60], [], words[100:900]], superwindows.WordHashes(), 50, [p.first[x] for x in of], [p.count[x] for x in of])
+    at = {(int(d), int(f)): tuple(x) for d, f, x in zip(doc, first, w.tolist(), strict=True)}
     assert all(at[(3, i)] == at[(0, i + 100)] for i in range(751)) and len(set(at.values())) == 2951
 
 
