@@ -127,6 +127,16 @@ def build_coverage(videos: DataFrame, gaps: DataFrame, scenes: DataFrame, artifa
     return out.withColumn("ocr_engine", engine).withColumn("schema_version", F.lit(model.SCHEMA_VERSION)).withColumn("overall_pass", passed[0] & passed[1] & passed[2] & passed[3])
 
 
+def coverage_of_extraction(
+    *, videos: DataFrame, segments: DataFrame, speech: DataFrame, raw_frames: DataFrame, slides: DataFrame, documents: DataFrame, problems: DataFrame | None = None, engines: DataFrame | None = None
+) -> DataFrame:
+    """The coverage of what an extraction made, table by table and by name, so that no two can be taken for each other:
+    `raw_frames` (video_id, t) are all samples, before any de-duplication, `slides` what was kept. Videos have `dur`."""
+    gaps = gap_check(speech, segments, videos)
+    scenes = scene_coverage(speech, raw_frames, videos, slides)
+    return build_coverage(videos, gaps, scenes, artifact_check(documents), problems, engines)
+
+
 def batch_verdict(coverage: DataFrame) -> DataFrame:
     """One row (n, n_failed, passed, exit_code) over all videos; an empty batch passes."""
     ok = F.coalesce("overall_pass", F.lit(False))

@@ -69,19 +69,24 @@ def staged_captions(segments: DataFrame, languages: tuple[str, ...] = ("ko", "en
     return _numbered(rows.where("text <> ''"))
 
 
+def json_object(body: Column) -> Column:
+    """The text of a JSON object; any other text, also of another JSON value, is an error."""
+    opens = F.regexp_extract(body, r"(?s)^\s*(\{)", 1) == "{"
+    good = opens & F.from_json(body, "map<string,string>", {"mode": "FAILFAST"}).isNotNull()
+    return F.when(good, body).otherwise(F.raise_error(F.lit("metadata must be a JSON object")))
+
+
 def parse_metadata(files: DataFrame) -> DataFrame:
     """(video_id, title, duration, media_id) of captured metadata JSON (video_id, body[, url]); what is blank or not positive
     is null, but for the id, which is then the URL's.
 
     Text that isn't a JSON object is an error."""
     get = lambda k: F.get_json_object("body", f"$.{k}")
-    ok = F.regexp_extract("body", r"(?s)^\s*(\{)", 1) == "{"
-    valid = F.when(ok & F.from_json("body", "map<string,string>", {"mode": "FAILFAST"}).isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("metadata must be a JSON object")))
     text = lambda c: F.nullif(S.strip(c), F.lit(""))
     duration = get("duration").try_cast("double")
     falsy = lambda c: F.when(~c.isin("", "0", "0.0", "false"), c)
     from_url = S.video_id_of(F.col("url")) if "url" in files.columns else F.lit(None).cast("string")
-    rows = files.where(valid)
+    rows = files.where(json_object(F.col("body")).isNotNull())
     return rows.select("video_id", text(get("title")).alias("title"), F.when(duration > 0, duration).alias("duration"), F.coalesce(text(F.coalesce(falsy(get("id")), get("display_id"))), from_url).alias("media_id"))
 
 
@@ -101,6 +106,13 @@ def parse_silence(logs: DataFrame, key: list[str] | None = None) -> DataFrame:
     return complement_spans(silent, bounds)
 
 
+def detect_speech(logs: DataFrame) -> DataFrame:
+    """Speech spans of the logs of a silence detector (video_id, body, dur, exit_code). A run that failed is an error: its log would
+    pass for a video that is all speech."""
+    failed = F.raise_error(F.concat(F.lit("the silence detector failed for "), F.col("video_id"), F.lit(" with code "), F.coalesce(F.col("exit_code").cast("string"), F.lit("null"))))
+    return parse_silence(logs.withColumn("body", F.when(F.col("exit_code") == 0, F.col("body")).otherwise(failed.cast("string"))))
+
+
 def read_frames(spark: SparkSession, folder: str, fps: float = model.SAMPLE_FPS) -> DataFrame:
     """(path, t, ts_source, content) of frame_*.png files below a folder, times taken from their names."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "frame_*.png").option("recursiveFileLookup", "true").load(folder)

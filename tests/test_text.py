@@ -143,6 +143,21 @@ def test_silence(spark, log, dur, want):
     assert sorted((r["s"], r["e"]) for r in captions.parse_silence(logs).collect()) == want
 
 
+def test_failed_detector_is_no_speech(spark):
+    logs = spark.createDataFrame([("v", "silence_start: 2", 9.0, 0)], "video_id string, body string, dur double, exit_code int")
+    assert [(r["s"], r["e"]) for r in captions.detect_speech(logs).collect()] == [(0.0, 2.0)]
+    for code in (1, None):
+        with pytest.raises(Exception, match="detector failed for v"):
+            captions.detect_speech(logs.withColumn("exit_code", F.lit(code).cast("int"))).collect()
+
+
+def test_json_objects(spark):
+    assert one(spark, ' {"a": [1]} ', "string", captions.json_object) == ' {"a": [1]} '
+    for wrong in ("[1]", '"x"', "", "{broken", None):
+        with pytest.raises(Exception, match="JSON|json|MALFORMED"):
+            one(spark, wrong, "string", captions.json_object)
+
+
 def test_staged_captions(spark):
     rows = [("v", "en", 0, 1.0, "hello"), ("v", "ko", 0, 1.0, "안녕"), ("v", "ko", 1, 2.0, " "), ("w", "en", 0, 0.0, "x"), ("w", "fr", 0, 0.0, "y"), ("z", "fr", 0, 0.0, "y")]
     got = captions.staged_captions(spark.createDataFrame(rows, "video_id string, language string, seq int, t double, text string")).collect()
@@ -169,6 +184,8 @@ def test_rendering_fulfils_its_contract(spark):
     cov = coverage.build_coverage(v, coverage.gap_check(speech, segments, v), coverage.scene_coverage(speech, slides, v, slides), coverage.artifact_check(transcripts.withColumn("notes", F.lit("x"))))
     notes = render.notes_md(videos, segments, slides, cov.select("video_id", "duration_sec", "ocr_engine", "gap_check", "scene_coverage", "artifacts"))
     assert notes.count() == 2 and contract.coverage_contract(notes).count() == 0
+    again = coverage.coverage_of_extraction(videos=v, segments=segments, speech=speech, raw_frames=slides, slides=slides, documents=transcripts.withColumn("notes", F.lit("x")))
+    assert sorted(map(str, again.collect())) == sorted(map(str, cov.collect()))
     page = notes.where("video_id = 'v'").first()["notes"]
     assert "### 도입\n" + CONTRACT.intro_marker in page and '<img src="frames/a.png" alt="슬라이드 2" width="480">' in page and "- 전체 길이: 00:01:20" in page
     rules = {r["rule"] for r in contract.gate_contract(notes.join(transcripts, "video_id").withColumn("has_frames", F.lit(True)).where("video_id = 'v'")).collect()}
