@@ -5,7 +5,8 @@ A template is wording with two kinds of markup:
 * `[ ... ]` is optional: it is there as written, or not at all; it may contain markup;
 * `{n}` is replaceable: any words, at most n; `{a|b c|}` is replaceable by one of the phrases, here also by none.
 
-All other words are mandatory and must match exactly, in order, without words between. A compiled template is a
+All other words are mandatory and must match exactly, in order, without words between; case and punctuation don't count. A compiled
+template is a
 nondeterministic automaton; a text is accepted where a run from some word reaches the end. An automaton runs on texts only that
 have its rarest mandatory word, so most texts are only counted.
 
@@ -26,20 +27,54 @@ from chronotext.llm.common import map_slices
 
 #: The phrases of the base scan and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Label and template of common license notices and grants.
+#: Label and template of license texts, notices and grants; the wording is that of the published licenses.
 TEMPLATES = [
-    ("mit", "{released|licensed|distributed|available|made available} under the [terms of the] mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [the software] to deal in the software without restriction"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("gpl-3.0", "{licensed|released|distributed|redistribute it and or modify it} under the [terms of the] gnu general public license {version|v|as published by the free software foundation either version} 3"),
-    ("gpl-2.0", "{licensed|released|distributed|redistribute it and or modify it} under the [terms of the] gnu general public license {version|v|as published by the free software foundation either version} 2"),
-    ("lgpl-3.0", "under the [terms of the] gnu lesser general public license {version|v|} 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-4.0", "licensed under {a|the} creative commons attribution 4 0 [international] license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("custom", "all rights reserved {6} this software may not be {copied|reproduced|redistributed} without {prior|written|prior written|the prior written} permission"),
+    ("mit", "{released|licensed|distributed|available|made available} under the [terms of the] MIT License"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files [(the "Software")], to deal in
+        the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice [(including the next paragraph)] shall be
+        included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {12} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files [the Software] to deal in the Software without restriction"),
+    ("isc", """Permission to use, copy, modify, and[/or] distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+        notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND {8} ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {8} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("isc", "Permission to use, copy, modify, and[/or] distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: [1.] Redistributions of source code must
+        retain the above copyright notice, this list of conditions and the following disclaimer. [2.] Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY {12} "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {12} BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES [(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+        INTERRUPTION)] HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY"""),
+    ("bsd-3-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: [1.] Redistributions of source code must
+        retain the above copyright notice, this list of conditions and the following disclaimer. [2.] Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. [3.] Neither the name of {12} nor the names of {its|the|their|}
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY {12} "AS IS" AND ANY EXPRESS OR
+        IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the {author|authors} be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: [1.] The origin of this software must not be misrepresented; you must not claim that you wrote the original software."""),
+    ("bsl-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license [(the "Software")]
+        to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. [Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
+        code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.]"""),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 [(the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        {http|https}://www.apache.org/licenses/LICENSE-2.0 [Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.]]"""),
+    ("gpl-3.0", "{licensed|released|distributed|redistribute it and/or modify it} under the [terms of the] GNU General Public License {version|v|as published by the Free Software Foundation, either version} 3"),
+    ("gpl-2.0", "{licensed|released|distributed|redistribute it and/or modify it} under the [terms of the] GNU General Public License {version|v|as published by the Free Software Foundation; either version} 2"),
+    ("lgpl-3.0", "under the [terms of the] GNU Lesser General Public License {version|v|as published by the Free Software Foundation, either version|} 3"),
+    ("agpl-3.0", "under the [terms of the] GNU Affero General Public License {version|v|as published by the Free Software Foundation, either version|} 3"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("cc-by-4.0", "licensed under {a|the} Creative Commons Attribution 4.0 [International] License"),
+    ("cc-by-sa-4.0", "licensed under {a|the} Creative Commons Attribution-ShareAlike 4.0 [International] License"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("custom", "All rights reserved {6} this software may not be {copied|reproduced|redistributed} without {prior|written|prior written|the prior written} permission"),
 ]
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _IS_WORD = np.array([c != 32 for c in _FOLD], bool)
@@ -98,6 +133,10 @@ class Automaton:
         return [(i, e) for i, e in found if e is not None and e > i]
 
 
+def _fold(text: str) -> list[str]:
+    return text.encode().translate(_FOLD).decode().split()
+
+
 def _tokens(template: str) -> list[str]:
     out, at = [], 0
     while at < len(template):
@@ -109,11 +148,11 @@ def _tokens(template: str) -> list[str]:
             stop = template.index("}", at)
             out.append(template[at : stop + 1])
             at = stop + 1
-        elif c == " ":
+        elif c.isspace():
             at += 1
         else:
-            stop = min([i for i in (template.find(x, at) for x in " []{") if i >= 0], default=len(template))
-            out.append(template[at:stop])
+            stop = min([i for i in (template.find(x, at) for x in "[]{") if i >= 0], default=len(template))
+            out += _fold(template[at:stop])
             at = stop
     return out
 
@@ -140,7 +179,7 @@ def compile_template(label: str, template: str) -> Automaton:
             stop = a.state()
             for phrase in token[1:-1].split("|"):
                 to = at
-                for word in phrase.split():
+                for word in _fold(phrase):
                     to = a.word(to, word)
                 a.free[to].append(stop)
             at = stop
