@@ -156,13 +156,14 @@ def codec(path: str) -> Codec:
 
 
 def _row_key():
-    """Rows with one doc_id are told apart by their text; equal rows share leaves and count."""
-    return F.col("doc_id").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("own")
+    """Rows with one doc_id are told apart by their text. Equal rows of one input partition share leaves and count; those of
+    other partitions are groups of their own, so that a text with very many copies makes no group beyond a partition's size."""
+    return F.col("doc_id").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("own"), F.spark_partition_id().alias("part")
 
 
 def _leaves(long: DataFrame, path: str, leaf: int) -> DataFrame:
-    """One row a leaf: (doc_id, own, place, total, special, piece)."""
-    schema = long.select("doc_id").schema.add("own", "string").add("place", "long").add("total", "long").add("special", "boolean").add("piece", "string")
+    """One row a leaf: (doc_id, own, part, place, total, special, piece)."""
+    schema = long.select("doc_id").schema.add("own", "string").add("part", "integer").add("place", "long").add("total", "long").add("special", "boolean").add("piece", "string")
 
     def make():
         c = codec(path)
@@ -174,7 +175,7 @@ def _leaves(long: DataFrame, path: str, leaf: int) -> DataFrame:
                 rows += [(i, n, len(mine), sp, s) for n, (sp, s) in enumerate(mine)]
             of = pa.array([r[0] for r in rows], pa.int64())
             cols = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.bool_()), (4, pa.string()))]
-            return pa.record_batch([batch["doc_id"].take(of), batch["own"].take(of), *cols], ["doc_id", "own", "place", "total", "special", "piece"])
+            return pa.record_batch([*[batch[k].take(of) for k in ("doc_id", "own", "part")], *cols], ["doc_id", "own", "part", "place", "total", "special", "piece"])
 
         return work
 
@@ -218,7 +219,7 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     short = map_slices(rows.where(F.coalesce(F.length("text"), F.lit(0)) <= leaf), "text", make, schema)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     leaves = _leaves(rows.where(F.length("text") > leaf).select(*_row_key(), "text"), path, leaf)
-    encoded = _encode_leaves(leaves.repartition(n, "doc_id", "own", "place"), path)
+    encoded = _encode_leaves(leaves.repartition(n, "doc_id", "own", "part", "place"), path)
 
     def merge(table: pa.Table) -> pa.Table:
         c, t = codec(path), table.sort_by("place")
@@ -244,4 +245,4 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
         first = t["doc_id"].slice(0, 1).combine_chunks()
         return pa.table([pa.concat_arrays([first] * copies), pa.array([whole.tobytes()] * copies, pa.binary()), pa.array([c.decode(whole.tolist())] * copies, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return union_all(short, encoded.groupBy("doc_id", "own").applyInArrow(merge, schema))
+    return union_all(short, encoded.groupBy("doc_id", "own", "part").applyInArrow(merge, schema))
