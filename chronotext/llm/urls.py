@@ -1,9 +1,10 @@
 """URL filters: host and path rules first, then logistic regression on hashed character n-grams.
 
-The model learns from a small labelled table of URLs; host and path n-grams are features of their own.
+The model learns from a small labelled table of URLs (`labelled_urls`, or one that is given); host and path n-grams are features
+of their own.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path; no rule fits it, and the model, which then has no
-features but its bias, decides. Repeated rows are judged one by one.
+features but its bias, decides. Repeated rows are judged one by one. A labelled table without rows is an error.
 """
 
 from __future__ import annotations
@@ -19,36 +20,44 @@ from chronotext.llm.common import lower_ascii, map_slices
 
 #: Rules as (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Invented URLs to learn from, those to block first. Their hosts are made up of common words of such sites.
-BLOCKED_URLS = [
-    "http://www.casino-royal.test/play/slots", "https://online-casino.test/winner", "http://best-casino-bonus.test/jackpot", "https://mega-slots-win.test/spin",
-    "http://sports-bets.test/odds", "https://betting-tips.test/bets/today", "http://m.bet-now.test/free-spins", "https://poker-stars.test/bonus",
-    "http://pills-discount.test/order", "https://www.pills-online.test/viagra", "http://cheap-pharmacy.test/cheap-meds", "https://weight-loss-pills.test/buy",
-    "http://adult-videos.test/xxx", "https://www.adultcams.test/tube", "http://xxx-tube.test/porn", "https://hot-porn.test/adult/cams", "http://adult-dating.test/chat",
-    "http://adserver.test/click", "https://ads-tracking.test/pixel.gif", "http://track-pixel.test/ads/banner", "https://adclick-tracker.test/track",
-    "http://spam-links.test/seo", "https://linkfarm.test/spam/links", "http://seo-spam.test/backlinks", "https://www.spammail.test/offer",
-    "http://free-money.test/prize", "https://lottery-winner.test/claim", "http://get-rich-quick.test/free/offer", "https://crypto-doubler.test/win-prize",
-    "http://warez-crack.test/keygen", "https://torrent-crack.test/serial", "http://malware-download.test/setup.exe", "https://phish-login.test/verify-account",
-]
-ALLOWED_URLS = [
-    "https://www.town-library.test/catalogue/books", "http://news.daily-post.test/world/2020/story", "https://blog.gardening.test/roses", "https://docs.project.test/guide/install",
-    "http://www.university.test/physics/lecture-3", "https://museum.test/exhibitions/history", "https://recipes.kitchen.test/bread/rye", "http://weather.test/forecast/north",
-    "https://wiki.open-maps.test/rivers", "http://www.city-council.test/meetings/minutes", "https://forum.cycling.test/thread/77", "https://school.test/en/homework",
-    "http://health-service.test/advice/flu", "https://train-times.test/fr/timetable", "http://www.parliament.test/de/debates", "https://journal.biology.test/volume/12",
-    "https://m.theatre.test/tickets", "http://painting.test/en/48", "https://blog.sailing.test/fr/174", "http://www.weaving.test/de/930.html",
-    "https://orchard.test/en/231?page=2", "http://beekeeping.test/es/12", "https://m.lighthouse.test/en/667", "http://www.furniture.test/fr/5.html",
-    "https://astronomy.test/planets/mars", "http://hiking-trails.test/alps", "https://choir.test/concerts", "http://language-course.test/es/lesson-4",
-    "https://bakery.test/opening-hours", "http://www.tennis-club.test/members", "https://poetry.test/anthology", "http://local-history.test/archive/1900",
-    "https://m.chemistry.test/elements", "http://blog.teacher.test/de/12", "https://www.hospital.test/departments", "http://harbour.test/tides", "https://botany.test/en/ferns",
-    "http://www.fire-brigade.test/contact", "https://m.novels.test/fr/authors", "http://radio.test/programme", "https://blog.carpenter.test/joints", "http://www.zoo.test/animals",
-    "https://geology.test/rocks", "http://orchestra.test/season", "https://www.courthouse.test/rulings", "http://m.farming.test/harvest", "https://archive.test/letters/1850",
-    "http://chess.test/openings", "https://www.embassy.test/visa", "http://statistics.test/tables", "https://blog.mountains.test/en/9", "http://philosophy.test/essays",
-]
+#: Words of hosts to block, of harmless ones, words that either kind has, and syllables of made-up names.
+BLOCKED_WORDS = (
+    "casino poker slots jackpot roulette bets betting gambling lottery sweepstakes pills pharmacy viagra steroids dietpills porn xxx adult webcams escorts hookup "
+    "adserver adclick tracker trackpixel popunder banners spam backlinks linkfarm phishing malware warez keygen cracked torrents clickbait freemoney doubler payday"
+).split()
+HARMLESS_WORDS = (
+    "library museum garden school university hospital weather recipes bakery orchestra theatre cinema painting poetry novels history geology botany physics chemistry biology astronomy "
+    "mathematics medicine council parliament court embassy harbour railway airport timetable bridge castle village mountain river forest beach island farming fishing sailing cycling "
+    "hiking football tennis chess choir violin piano carpenter weaving pottery furniture kitchen coffee bread cheese wine letters archive newspaper magazine radio teacher student "
+    "lecture guide manual software compiler database maps travel hotel camping insurance statistics language dictionary grammar philosophy zoo"
+).split()
+COMMON_WORDS = "best online new my the top city world home club daily great".split()
+SYLLABLES = "ba dor el fin gra hol ith jun kel lo mar nev ol pri qua ren sto thu ul ver wen xan yor zim ble tion th ng qu".split()
+HOST_SHAPES = ("{a}.test", "www.{a}{b}.test", "{c}-{a}.test", "m.{a}-{c}.test", "blog.{b}{a}.test", "{c}{a}.test")
+PATH_SHAPES = ("/", "/en/{n}", "/fr/{n}.html", "/{a}/{n}", "/de/{n}?page=2", "/es/{b}", "")
+MADE_UP_HOSTS = 240
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The small labelled table (url, 1 is block): each word in hosts and paths of every shape, in turn, both kinds alike, and
+    hosts of made-up names, which are harmless."""
+    out = []
+    for words, label in ((BLOCKED_WORDS, 1), (HARMLESS_WORDS, 0)):
+        for i, word in enumerate(words):
+            for j, host in enumerate(HOST_SHAPES):
+                other, common = words[(i * 7 + j * 3 + 1) % len(words)], COMMON_WORDS[(i + 5 * j) % len(COMMON_WORDS)]
+                shape = host + PATH_SHAPES[(i + j) % len(PATH_SHAPES)]
+                out.append((f"http{'s' * (i % 2)}://" + shape.format(a=word, b=other, c=common, n=(i * 37 + j * 11) % 1000), label))
+    for i in range(MADE_UP_HOSTS):
+        name = "".join(SYLLABLES[(i * k + i // k) % len(SYLLABLES)] for k in (1, 5, 11, 17)[: 2 + i % 3])
+        host = ("{}.test", "www.{}.test", "m.{}.test", "blog.{}.test")[i % 4].format(name)
+        out.append((f"http://{host}" + PATH_SHAPES[i % len(PATH_SHAPES)].format(a="page", b="item", n=i * 7 % 1000), 0))
+    return out
+
+
 HASH_BITS = 15
 SIZES = (3, 4, 5)
 PATH_VALUE = 0.3
-#: An allowed URL of the table weighs so much more than a blocked one: most URLs are fine.
-ALLOW_COST = 2.0
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -88,30 +97,25 @@ def split_url(url: str) -> tuple[str, str]:
     return fold, path[: min([i for i in map(path.find, "?#") if i >= 0], default=len(path))]
 
 
-def fit(labelled: list[tuple[str, int]], steps: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-regularised logistic regression; label 1 is block."""
+def fit(labelled: list[tuple[str, int]], steps: int = 1500, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2-regularised logistic regression by gradient descent; label 1 is block."""
+    if not labelled:
+        raise ValueError("a labelled table needs rows")
     rows = [features(*split_url(url)) for url, _ in labelled]
-    seen = np.unique(np.concatenate([f for f, _ in rows]))
-    x = np.zeros((len(labelled), len(seen)))
-    for i, (f, v) in enumerate(rows):
-        np.add.at(x[i], np.searchsorted(seen, f), v)
+    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
+    feature, value = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
     y = np.array([label for _, label in labelled], float)
-    w, b = np.zeros(x.shape[1]), 0.0
-    cost = np.where(y == 1, 1.0, ALLOW_COST)
-    cost /= cost.sum()
+    w, b, size = np.zeros(1 << HASH_BITS), 0.0, len(rows)
     for _ in range(steps):
-        g = cost * (1 / (1 + np.exp(-(x @ w + b))) - y)
-        w -= 0.2 * (x.T @ g + l2 * w)
+        g = (1 / (1 + np.exp(-(np.bincount(row, value * w[feature], size) + b))) - y) / size
+        w -= 0.2 * (np.bincount(feature, value * g[row], len(w)) + l2 * w)
         b -= 0.2 * float(g.sum())
-    every = np.zeros(1 << HASH_BITS)
-    every[seen] = w
-    return every, b
+    return w, b
 
 
 def judge(pages: DataFrame, labelled: list[tuple[str, int]] | None = None, rules=None) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every url; score is the model's chance of block."""
-    labelled = labelled or [*((u, 1) for u in BLOCKED_URLS), *((u, 0) for u in ALLOWED_URLS)]
-    shared = pages.sparkSession.sparkContext.broadcast(fit(labelled))
+    shared = pages.sparkSession.sparkContext.broadcast(fit(labelled_urls() if labelled is None else labelled))
     rows = pages.select("page_id", F.col("url").alias("_url"))
     host, path = parts(F.col("_url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))

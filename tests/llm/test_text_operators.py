@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -120,15 +121,43 @@ def test_url_rules_and_parts(spark):
     assert all(urls.split_url(u) == (h, p) for u, (h, p, *_) in cases.items() if u and "://" in u)
 
 
-def test_url_model_generalises():
-    w, b = urls.fit([*((u, 1) for u in urls.BLOCKED_URLS), *((u, 0) for u in urls.ALLOWED_URLS)])
+def url_chances(model, rows):
+    w, b = model
+    parts = [urls.features(*urls.split_url(u)) for u in rows]
+    return np.array([1 / (1 + np.exp(-(w[f] @ v + b))) for f, v in parts])
 
-    def chance(url):
-        f, v = urls.features(*urls.split_url(url))
-        return 1 / (1 + np.exp(-(w[f] @ v + b)))
 
-    assert min(chance(u) for u in ("http://supercasino.test/a", "http://pillshop.test/", "http://spamlinks.test/x", "http://xxx-porn.test/")) > 0.5
-    assert max(chance(u) for u in ("http://library.test/books", "http://qwrtz.test/en/3", "http://gardens.test/roses")) < 0.5
+def test_url_model_generalises():
+    """A quarter of the labelled table, by hash, is held out."""
+    table = urls.labelled_urls()
+    assert len({u for u, _ in table}) > 900 and sum(y for _, y in table) > 200
+    out = [zlib.crc32(u.encode()) % 4 == 0 for u, _ in table]
+    model = urls.fit([t for t, o in zip(table, out, strict=True) if not o])
+    held = [t for t, o in zip(table, out, strict=True) if o]
+    blocked, y = url_chances(model, [u for u, _ in held]) >= 0.5, np.array([y for _, y in held]) == 1
+    assert blocked[y].mean() > 0.9 and blocked[~y].mean() < 0.02
+    model = urls.fit(table)
+    assert url_chances(model, ["http://supercasino.test/a", "http://spamlinks.test/x", "http://xxx-porn.test/", "https://m.pokerbets.test/en/3"]).min() > 0.5
+    assert url_chances(model, ["http://library.test/books", "http://qwrtz.test/en/3", "http://gardens.test/roses"]).max() < 0.5
+    with pytest.raises(ValueError, match="rows"):
+        urls.fit([])
+
+
+def test_url_verdicts_equal_a_second_implementation(spark):
+    """Weights are applied n-gram by n-gram; long, repeated and empty URLs count."""
+    r = random.Random(3)
+    table = urls.labelled_urls()[::5]
+    rows = [(i, r.choice(table)[0].replace("test", r.choice(["test", "example.com", "org"]))) for i in range(150)]
+    rows += [(900, None), (901, ""), (902, "http://" + "casino" * 20_000 + "/x"), (903, "http://a.test/" + "y" * 100_000), *rows[:5]]
+    w, b = urls.fit(table)
+    got = {x["page_id"]: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), table).collect()}
+    for i, url in rows:
+        host, path = urls.split_url(url) if url and "://" in url else ("", "")
+        z = b
+        for kind, text, value in (("h", f"^{host}$", 1.0), ("p", f"^{path}$", urls.PATH_VALUE)):
+            slots = {zlib.crc32((kind + text[k : k + n]).encode()) % 2**urls.HASH_BITS for n in urls.SIZES for k in range(len(text) - n + 1)} if len(text) > 2 else ()
+            z += sum(w[s] * value for s in slots)
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-z))) and (got[i]["rule"] is not None or got[i]["verdict"] == ("block" if got[i]["score"] >= 0.5 else "allow"))
 
 
 # Quality
@@ -147,6 +176,52 @@ def test_suffix_array_equals_brute_force():
         assert got.tolist() == want
 
 
+def brute_repeats(words, least):
+    """(first place, length, places) of all maximal repeats, from all substrings."""
+    places = {}
+    for i in range(len(words)):
+        for j in range(i + least, len(words) + 1):
+            places.setdefault(tuple(words[i:j]), []).append(i)
+    out = []
+    for sub, at in places.items():
+        before = {words[i - 1] if i else None for i in at}
+        after = {words[i + len(sub)] if i + len(sub) < len(words) else None for i in at}
+        alone = len(at) > 1
+        if alone and (len(before) > 1 or None in before) and (len(after) > 1 or None in after):
+            out.append((at[0], len(sub), len(at)))
+    return sorted(out)
+
+
+def test_maximal_repeats_equal_brute_force(spark, odd, none):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("ab" if i % 2 else "abcdefgh") for _ in range(r.randrange(60))) for i in range(60)] + ["a " * 50, "a b " * 30, "x " + "p q r s t " * 9 + "y", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (1, 3, 10):
+        got = sorted((x["doc_id"], x["first"], x["words"], x["times"]) for x in quality.repeats(docs, least).collect())
+        assert got == sorted((i, *x) for i, t in enumerate(texts) for x in brute_repeats((t or "").split(), least))
+    judged = {x["doc_id"]: x for x in quality.judge(docs).collect()}
+    for i, t in enumerate(texts):
+        words, found = (t or "").split(), brute_repeats((t or "").split(), quality.MIN_REPEAT)
+        covered = {k + j for f, n, _ in found for k in range(len(words)) if words[k : k + n] == words[f : f + n] for j in range(n)}
+        longest = max((n for _, n, _ in found), default=0)
+        row = judged[i]
+        assert (row["covered_words"], row["n_repeats"], row["longest_repeat"]) == (len(covered), len(found), longest)
+        assert row["kept"] == (not row["base_failed"] and len(covered) <= 0.2 * len(words) and longest <= 50)
+    assert quality.repeats(none).count() == 0 and quality.repeats(odd, 5).where("times < 2 or words < 5").count() == 0
+
+
+def test_suffix_array_of_a_periodic_text():
+    """A long text of few words: sorted order and common prefixes by plain comparison of neighbours."""
+    words = np.array([0, 1, 2] * 3000 + [1, 2] * 500, np.int64)
+    stop = np.full(len(words), len(words))
+    array = quality.suffix_array(words, stop)
+    common = quality.common_prefixes(words, stop, array)
+    for i in range(1, len(words), 37):
+        a, b = words[array[i - 1] :], words[array[i] :]
+        n = int(common[i])
+        assert (a[:n] == b[:n]).all() and n <= min(len(a), len(b)) and (n == len(a) or (n < len(b) and a[n] < b[n]))
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -195,6 +270,74 @@ def test_license_templates():
         licenses.compile_template("t", "a [b")
 
 
+MIT_TEXT = """The MIT License (MIT)
+
+Copyright (c) 2021 A. N. Other
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def test_whole_license_texts():
+    templates = dict.fromkeys(label for label, _ in licenses.TEMPLATES)
+    full = next(t for label, t in licenses.TEMPLATES if label == "mit" and "NONINFRINGEMENT" in t)
+    fold = lambda t: t.encode().translate(licenses._FOLD).split()
+    find = lambda t: licenses.compile_template("mit", full).find(fold(t))
+    words = fold(MIT_TEXT)
+    (start, end), = find(MIT_TEXT)
+    assert words[start] == b"permission" and end == len(words)
+    assert find(MIT_TEXT.replace("permission notice shall", "permission notice (including the next paragraph) shall"))
+    assert find(MIT_TEXT.replace("THE AUTHORS OR\nCOPYRIGHT HOLDERS", "SOME COMPANY, ITS OWNERS, OR ANYBODY ELSE"))
+    for old, new in (("sublicense, ", ""), ("free of charge", "free of any charge"), ("AS IS", "as it is"), ("OTHERWISE,\n", "OTHERWISE,\nOR ")):
+        assert old in MIT_TEXT and not find(MIT_TEXT.replace(old, new))
+    assert not find(MIT_TEXT.replace("THE AUTHORS OR\nCOPYRIGHT HOLDERS", "one two three four five six seven eight nine ten eleven twelve thirteen"))
+    # Every template accepts itself: with all its options, with none, and with the first of its alternatives.
+    for label, template in licenses.TEMPLATES:
+        a = licenses.compile_template(label, template)
+        filled = re.sub(r"\{(\d+)\}", "any one", template)
+        filled = re.sub(r"\{([^|{}]*)\|[^{}]*\}", r"\1", filled)
+        least = filled
+        while "[" in least:
+            least = re.sub(r"\[[^\[\]]*\]", " ", least)
+        for text in (filled.replace("[", " ").replace("]", " "), least):
+            words = fold("before it " + text + " after")
+            assert (2, len(words) - 1) in a.find(words), (label, text)
+    assert len(templates) > 15
+
+
+def brute_scan(text):
+    """Words, base places and labels of a text by a search at every word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    places = [(i, label) for i in range(len(words)) for phrase, label in licenses.BASE.items() if words[i : i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in places]
+    return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_base_scan_equals_brute_force(spark, odd):
+    r = random.Random(12)
+    parts = ["mit", "license", "Apache", "LICENSE", "general", "public", "General Public License", "mit license", "x", "licenses", "é", "-", "\n", "3", "İ"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", "  ", "-", ", ", "_"]) for _ in range(r.randrange(40))) for _ in range(150)] + [MIT_TEXT, MIT_TEXT * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(licenses.scan(docs), "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert got == sorted(((i, *brute_scan(t)) for i, t in enumerate(texts)), key=str) and len({x[-1] for x in got}) > 5
+    assert by_id(licenses.scan(odd), "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(((x["doc_id"], *brute_scan(x["text"])) for x in odd.collect()), key=str)
+    labels = {x["doc_id"]: set(x["labels"].split(",")) for x in licenses.scan(docs).collect()}
+    assert all(set(b.split(",")) <= labels[i] for i, *_, b in got if b)
+    # A whole text names its license without any phrase of the base.
+    bare = licenses.scan(spark.createDataFrame([(1, MIT_TEXT.split("Other")[1])], "doc_id long, text string")).first()
+    assert (bare["base_labels"], bare["labels"], bare["score"]) == ("", "mit", 1.0)
+
+
 def test_license_scan(spark, odd, none):
     docs = spark.createDataFrame(
         [
@@ -240,6 +383,34 @@ def test_block_max_index_is_exact():
         assert set(want[sure]) <= set(near) and 7 not in near
 
 
+def test_blocks_are_ruled_out_and_nothing_is_lost():
+    """Examples of ten vocabularies: most blocks can't hold a near one; the nearest are those of all cosines."""
+    r = np.random.default_rng(11)
+    size, examples = 3000, []
+    for i in range(700):
+        own = r.choice(300, r.integers(5, 40), replace=False) + 300 * (i % 10)
+        examples.append((1000 - i, i % 2, {int(t): int(r.integers(1, 4)) for t in own}))
+    examples += [(5000, 0, {}), (5001, 1, {7: 1}), (5002, 1, {7: 1})]
+    idf = np.log(1 + r.random(size) * 9)
+    index = toxicity.build_index({}, idf, examples, {0: 1.0, 1: 1.0})
+    assert sorted(index.example_at) == list(range(703)) and (index.example_at[index.place_of] == np.arange(703)).all()
+    vectors = np.zeros((703, size))
+    for i, (_, _, counts) in enumerate(sorted(examples, key=lambda x: (x[1], x[0]))):
+        t, w = toxicity.weigh(counts, idf)
+        vectors[i, t] = w
+    texts = [toxicity.weigh({int(t): 1 for t in r.choice(300, 25, replace=False) + 300 * (j % 10)}, idf) for j in range(60)]
+    texts += [toxicity.weigh({}, idf), toxicity.weigh({7: 5}, idf), toxicity.weigh({int(t): 1 for t in r.choice(size, 500, replace=False)}, idf)]
+    score, _ = index._scores(texts, [-1] * len(texts), toxicity.K)
+    assert 0.02 < (score[:60] >= 0).mean() < 0.5
+    for (t, w), (near, cosine) in zip(texts, index.nearest_of(texts), strict=True):
+        every = vectors[:, t] @ w
+        want = np.lexsort((np.arange(703), -np.round(every, 12)))[: toxicity.K]
+        want = want[every[want] > 0]
+        assert len(near) == len(want) and np.allclose(cosine, every[want]) and np.allclose(every[near], cosine)
+    few = toxicity.build_index({}, idf, examples[:3], {0: 1.0, 1: 1.0})
+    assert len(few.nearest(*texts[0])[0]) <= 3 and len(toxicity.build_index({}, idf, [], {}).nearest(*texts[0])[0]) == 0
+
+
 def test_toxicity_held_out(spark, odd, none):
     r = random.Random(8)
     words, bad = [f"w{i}" for i in range(300)], ["nasty", "vile", "rotten"]
