@@ -278,8 +278,8 @@ SQL["video_ids"] = "SELECT page_id, CASE WHEN page_id % 6 < 4 THEN substring(md5
 def otsu(spark: SparkSession, d: str) -> DataFrame:
     level = (F.col("l_extendedprice") % 256).cast("int")
     pixels = V.read(spark, d, "lineitem").select("l_suppkey", F.when(F.col("l_quantity") > 25, F.floor(level / 4).cast("int")).otherwise(level).alias("level"))
-    h = K.gray_histogram(pixels, ["l_suppkey"])
-    return h.select("l_suppkey", K.otsu_threshold(F.col("histogram")).alias("threshold"), S.binarize_luma(F.lit(100), K.otsu_threshold(F.col("histogram"))).alias("luma100"))
+    h = K.gray_histogram(pixels, ["l_suppkey"]).select("l_suppkey", K.otsu_threshold(F.col("histogram")).alias("threshold"))
+    return h.select("l_suppkey", "threshold", S.binarize_luma(F.lit(100), F.col("threshold")).alias("luma100"))
 
 
 _OTSU = """px AS (SELECT l_suppkey, CASE WHEN l_quantity > 25 THEN CAST(trunc(l_extendedprice % 256) AS INTEGER) // 4 ELSE CAST(trunc(l_extendedprice % 256) AS INTEGER) END AS level FROM lineitem),

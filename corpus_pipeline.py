@@ -6,11 +6,13 @@ but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.llm import bpe, decontaminate, langid, simhash, substrings
-from chronotext.llm.common import read, table, unpacked
+from chronotext.llm.common import free, read, settled, unpacked
 from chronotext.llm.queries import tokenizer_file
 
 #: The tokens' identity can't be had in SQL; tests/llm compares the stages with brute force.
@@ -58,10 +60,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again; what a stage leaves behind goes."""
     docs = read(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs = table(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        was, docs = docs, settled(partial(stage, spark, docs, sf_dir))
+        free(was)
+    return STAGES[-1][1](spark, docs, sf_dir)
