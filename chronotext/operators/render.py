@@ -10,6 +10,13 @@ from chronotext.functions import scalars as S
 from chronotext.operators.sequences import anchor_ids, renderable_sections, section_hints
 from chronotext.operators.temporal import assign_to_sections
 
+#: Words of transcripts and of the notes' titles and placeholders.
+TRANSCRIPT_TITLE, TRANSCRIPT_SOURCE, NOTES_TITLE = " — 전체 전사본 (raw)\n\n- 소스: ", "unknown", " — 학습 정리"
+TODO, PICTURE_WIDTH = "- 미보강: ", 480
+TODO_KEY, TODO_SLIDE = f"{TODO}핵심 메시지 한 줄.", f"{TODO}이 슬라이드 핵심을 요약 글머리표로 정리하세요."
+TODO_FLOW = (f"{TODO}도입→전개→마무리 흐름을 짧게 정리하세요.", f"{TODO}핵심 전개를 한 줄씩 정리하세요.")
+TODO_CONCEPTS, TODO_QUESTIONS = f"{TODO}핵심 용어 → 정의를 영상 딥링크와 함께 정리하세요.", "- 미보강 질문: 핵심 확인 질문과 답을 작성하세요."
+
 
 def _joined(lines: str | Column) -> Column:
     """Lines (order, line) of a group, in order, as one text."""
@@ -25,8 +32,7 @@ def transcript_md(videos: DataFrame, segments: DataFrame) -> DataFrame:
     named = anchor_ids(segments)
     line = F.concat(F.lit('<a id="'), "anchor", F.lit('"></a> ['), S.format_timestamp(F.col("t")), F.lit("] "), S.strip(F.coalesce("text", F.lit(""))))
     body = named.select("video_id", F.col("seq").cast("long").alias("ord"), line.alias("line")).groupBy("video_id").agg(_joined("line").alias("_body"))
-    #: Words of the transcript's head.
-    head = F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled")), F.lit(" — 전체 전사본 (raw)\n\n- 소스: "), F.coalesce("source", F.lit("unknown")), F.lit("\n\n"))
+    head = F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled")), F.lit(TRANSCRIPT_TITLE), F.coalesce("source", F.lit(TRANSCRIPT_SOURCE)), F.lit("\n\n"))
     return videos.join(body, "video_id", "left").select("video_id", _finished(F.concat(head, F.coalesce("_body", F.lit("")))).alias("transcript"))
 
 
@@ -64,26 +70,23 @@ def notes_md(videos: DataFrame, segments: DataFrame, slides: DataFrame, coverage
     hints = section_hints(slides, videos, contract)
     shown = renderable_sections(hints, assign_to_sections(segments, hints))
     title, no = S.safe_title(F.col("title")), F.col("section_no").cast("string")
-    #: Words of the placeholders.
-    todo, width = "- 미보강: ", 480
-    picture = F.array(F.lit(""), F.concat(F.lit('<img src="'), "frame", F.lit('" alt="'), F.lit(contract.slide_title), F.lit(" "), no, F.lit(f'" width="{width}">')), F.lit(""))
+    picture = F.array(F.lit(""), F.concat(F.lit('<img src="'), "frame", F.lit('" alt="'), F.lit(contract.slide_title), F.lit(" "), no, F.lit(f'" width="{PICTURE_WIDTH}">')), F.lit(""))
     intro = F.array(F.lit(contract.intro_marker))
     middle = F.when(F.coalesce("frame", F.lit("")) != "", picture).when(F.col("title") == contract.intro_title, intro).otherwise(F.array().cast("array<string>"))
     block = F.concat(
-        F.array(F.concat(F.lit('<a id="sec-'), no, F.lit('"></a>')), F.concat(F.lit("### "), title)), middle, F.array(F.lit(f"{todo}이 슬라이드 핵심을 요약 글머리표로 정리하세요."), F.lit(""))
+        F.array(F.concat(F.lit('<a id="sec-'), no, F.lit('"></a>')), F.concat(F.lit("### "), title)), middle, F.array(F.lit(TODO_SLIDE), F.lit(""))
     )
     rows = shown.select("video_id", "section_no", F.concat(F.lit("- ["), title, F.lit("](#sec-"), no, F.lit(")")).alias("toc"), F.array_join(block, "\n").alias("block"))
     lists = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "toc", "block"))).alias("_s"))
     footer = coverage.select("video_id", F.struct(*[c for c in coverage.columns if c != "video_id"]).alias("_c"))
     lit = lambda *lines: F.array(*[F.lit(x) for x in lines])
-    key = f"{todo}핵심 메시지 한 줄."
     text = F.concat(
-        lit(contract.marker), F.array(F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled")), F.lit(" — 학습 정리"))), lit("", contract.takeaway, contract.open_marker, key, key, key, "", contract.toc),
+        lit(contract.marker), F.array(F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled")), F.lit(NOTES_TITLE))), lit("", contract.takeaway, contract.open_marker, TODO_KEY, TODO_KEY, TODO_KEY, "", contract.toc),
         F.transform("_s", lambda x: x["toc"]),
-        lit("", contract.flow, contract.open_marker, f"{todo}도입→전개→마무리 흐름을 짧게 정리하세요.", f"{todo}핵심 전개를 한 줄씩 정리하세요.", "", contract.concepts, contract.open_marker),
-        lit(f"{todo}핵심 용어 → 정의를 영상 딥링크와 함께 정리하세요.", "", contract.detail, contract.open_marker),
+        lit("", contract.flow, contract.open_marker, *TODO_FLOW, "", contract.concepts, contract.open_marker),
+        lit(TODO_CONCEPTS, "", contract.detail, contract.open_marker),
         F.transform("_s", lambda x: x["block"]),
-        lit(contract.questions, contract.open_marker, "- 미보강 질문: 핵심 확인 질문과 답을 작성하세요.", "", contract.coverage),
+        lit(contract.questions, contract.open_marker, TODO_QUESTIONS, "", contract.coverage),
         coverage_footer(F.col("_c")),
     )
     out = videos.join(lists, "video_id").join(footer, "video_id", "left")
