@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,10 @@ def _remove_all() -> None:
         _remove(spark, path)
 
 
+#: Paths of the tables made inside the `settled` under way, if any.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def table(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet in the shared checkpoint folder and read them back: the lineage is cut, columns are
     compressed and pruned. The files go with `free`, or when the session's process ends."""
@@ -63,12 +68,28 @@ def table(df: DataFrame) -> DataFrame:
     checkpoint_ready(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     _left[path] = spark
+    if _made.get() is not None:
+        _made.get().append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _folder_of[out] = path
     return out
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns, as a table; all tables that were made on the way to it are deleted."""
+    paths: list[str] = []
+    token = _made.set(paths)
+    try:
+        out = table(make())
+    finally:
+        _made.reset(token)
+    for path in paths:
+        if path != _folder_of[out] and path in _left:
+            _remove(_left.pop(path), path)
+    return out
+
+
 def free(*tables: DataFrame) -> None:
     """Delete tables of `table` whose consumers are all written."""
     for df in tables:

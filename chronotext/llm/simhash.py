@@ -68,7 +68,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     """Pairs (u, v) of different fingerprints at most BUDGET bits apart, u < v. Input: distinct fp values.
 
     Emits 4 index rows and 4 x 17 probe rows a fingerprint; each pair meets in as many buckets as it has valid
-    chains, never more than four.
+    chains, never more than four. However many copies a text has, a fingerprint has at most 43,744 others within three bits.
     """
     fp = F.col("fp")
 

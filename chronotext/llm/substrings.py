@@ -17,7 +17,7 @@ needn't be:
    cut out of the source document, once for all copies, sent to the copies and compared word by word before anything is
    removed. If any differ, which needs a collision of hashes, the whole attempt is made again with other hashes.
 
-Only documents with a span, or with the source of one, are shuffled, as long as their number allows their digests to be broadcast
+Only documents with a span, or with the source of one, are shuffled, as long as their number allows their ids to be broadcast
 (BROADCAST_ROWS); beyond that all documents are.
 
 Hot passages: aggregates combine on the map side first, and joins have a one-row-a-key side, so that Spark's skew handling
@@ -41,22 +41,24 @@ from chronotext.llm.common import free, map_slices, packed, table
 from chronotext.llm.superwindows import Pieces, WordHashes, window_hashes
 
 WINDOW, MINIMIZER = 50, 16
-#: So many digests of documents, a long each, are broadcast at most.
+#: So many doc_ids are broadcast at most.
 BROADCAST_ROWS = 500_000
 _COUNT_BITS = 8
 
 
-def _tag(text: Column) -> Column:
-    """A hash of the text, to tell apart rows with one doc_id."""
-    return F.coalesce(F.xxhash64(text), F.lit(0).cast("long"))
-
-
 def _words(texts: list[str | None]) -> list[list[bytes]]:
     return [t.encode("utf-8", "replace").split() if t else [] for t in texts]
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null and text is not null").select("doc_id", _tag(F.col("text")).alias("tag"), "text")
+def tag_of(docs: DataFrame) -> Column:
+    """What tells apart rows with one doc_id: a hash of the text; nothing, where every doc_id is there once."""
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return F.lit(0).cast("long")
+    return F.coalesce(F.xxhash64("text"), F.lit(0).cast("long"))
+
+
+def named(docs: DataFrame, tag: Column) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select("doc_id", tag.alias("tag"), "text")
 
 
 def _first_of(at: Column) -> Column:
@@ -87,8 +89,7 @@ def paths(rows: DataFrame, window: int = WINDOW, seed: int = 7, bits: int = 64)
 
 def _with_text(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The named rows that `wanted` (doc_id, tag, ..., a row each) has, with its columns."""
-    tags = wanted.select("tag").distinct()
-    near = rows.join(F.broadcast(tags), "tag", "left_semi") if wanted.count() <= BROADCAST_ROWS else rows
+    near = rows.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi") if wanted.count() <= BROADCAST_ROWS else rows
     return near.join(wanted, ["doc_id", "tag"])
 
 
@@ -129,11 +130,14 @@ def _repeats(rows: DataFrame, window: int, seed: int, bits: int) -> DataFrame:
     open_ = classes.join(branches, "minimizer").groupBy(F.col("source.doc_id").alias("doc_id"), F.col("source.tag").alias("tag"))
     places = table(open_.agg(F.collect_set("source.at").alias("places")))
     edges = table(_edges(_with_text(rows, places), window, seed, bits))
-    first = table(edges.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "tag", "first")).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").drop("last"))
-    single = edges.join(first, ["w1", "w2"]).where("doc_id > source.doc_id")
+    # Most edges have no equal; half the hash and the range of documents, which is all that is shuffled of them, rule them out.
+    twice = edges.groupBy("w1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1")
+    again = table(edges.join(twice, "w1"))
+    first = again.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "tag", "first")).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").drop("last")
+    single = again.join(first, ["w1", "w2"]).where("doc_id > source.doc_id")
     singles = _runs(single.select("doc_id", "tag", "first", F.lit(1).cast("long").alias("count"), *_source("source", F.col("source.first"))))
     out = table(union_all(wholes, singles))
-    free(kept, classes, places, edges, first)
+    free(kept, classes, places, edges, again)
     return out
 
 
@@ -218,9 +222,9 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, seed: int = 7, bits: i
     """(doc_id, tag, first, size, s_doc, s_tag, s_first) of spans that windows of earlier documents cover, with the
     coordinate where the source has them; not verified yet."""
     repeats = _repeats(rows, window, seed, bits)
-    named = repeats.withColumn("node", F.xxhash64("s_doc", "s_tag", "s_first", "count"))
-    heads = _chains(named)
-    chained = named.join(heads, "node", "left").withColumn("chain", F.coalesce("head", "node"))
+    nodes = repeats.withColumn("node", F.xxhash64("s_doc", "s_tag", "s_first", "count"))
+    heads = _chains(nodes)
+    chained = nodes.join(heads, "node", "left").withColumn("chain", F.coalesce("head", "node"))
     out = table(_cover(_runs(chained, "chain"), window))
     free(repeats)
     return out
@@ -277,18 +281,19 @@ def _cut_out(rows: DataFrame) -> DataFrame:
 
 def _attempt(docs: DataFrame, window: int, seed: int, bits: int) -> tuple[DataFrame, bool]:
     """The rows cut, and whether every removed span was verified."""
-    rows = _named(docs)
+    tag = tag_of(docs)
+    rows = named(docs, tag)
     spans = repeated_spans(rows, window, seed, bits)
     met = spans.join(_passages(rows, spans), ["s_doc", "s_tag", "s_first", "size"])
     own = table(met.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "size", "words")).alias("spans")))
-    marked = packed(docs, docs["doc_id"].alias("own"), _tag(docs["text"]).alias("own_tag"))
+    marked = packed(docs, docs["doc_id"].alias("own"), tag.alias("own_tag"))
     none = F.lit(None).cast(own.schema["spans"].dataType).alias("spans")
     whole = lambda df, spans: df.select("row", F.col("row").getField("text").alias("text"), spans)
     same = (F.col("own") == F.col("doc_id")) & (F.col("own_tag") == F.col("tag"))
     if own.count() <= BROADCAST_ROWS:
-        tags = F.broadcast(own.select(F.col("tag").alias("own_tag")).distinct())
-        cut = table(_cut_out(whole(marked.join(tags, "own_tag", "left_semi").join(own, same, "left"), F.col("spans"))))
-        out = union_all(_cut_out(whole(marked.join(tags, "own_tag", "left_anti"), none)), cut)
+        ids = F.broadcast(own.select(F.col("doc_id").alias("own")).distinct())
+        cut = table(_cut_out(whole(marked.join(ids, "own", "left_semi").join(own, same, "left"), F.col("spans"))))
+        out = union_all(_cut_out(whole(marked.join(ids, "own", "left_anti"), none)), cut)
     else:
         out = cut = table(_cut_out(whole(marked.join(own, same, "left"), F.col("spans"))))
     free(spans)

@@ -171,12 +171,52 @@ def test_substrings_without_broadcasts(monkeypatch, corpus):
     assert got == brute_removed(rows_of(corpus), 20)
 
 
+def test_tables_go_when_their_consumer_is_written(spark):
+    from chronotext.llm import common
+
+    before = set(common._left)
+    made = []
+
+    def make():
+        made.append(common.table(spark.range(3)))
+        made.append(common.table(made[0].withColumn("x", F.lit(1))))
+        return made[1].where("id > 0")
+
+    out = common.settled(make)
+    assert out.count() == 2 and len(set(common._left) - before) == 1
+    common.free(out, out, spark.range(1))
+    assert set(common._left) == before
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from chronotext.llm import common
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        sc.master = master
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            common.checkpoint_ready(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def test_substrings_under_shared_ids(spark):
+    """Many texts under one id, next to smaller and larger ids: each row is judged on its own."""
+    r = np.random.default_rng(8)
+    part = [" ".join(f"w{i}" for i in r.integers(0, 900, 70)) for _ in range(6)]
+    rows = [(5, f"{part[i % 6]} x{i} {part[(i + 1) % 6]}") for i in range(30)] + [(2, part[0]), (9, part[1]), (9, part[1]), (None, part[2]), (9, f"{part[0]} y {part[5]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x["doc_id"], x["n_words"], x["n_removed"], x["kept_text"]) for x in substrings.remove_repeats(docs).collect()), key=str)
+    assert got == brute_removed(rows, 50)
+
+
 def test_chains_are_contracted(spark):
     """A passage of very many paths in two copies becomes one span with its source's coordinate."""
     r = np.random.default_rng(4)
     long_ = " ".join(f"w{i}" for i in r.integers(0, 5000, 3000))
     docs = spark.createDataFrame([(3, f"a b {long_} c"), (9, f"{long_} x y"), (12, f"p q r {long_}")], "doc_id long, text string")
-    spans = substrings.repeated_spans(substrings._named(docs)).collect()
+    spans = substrings.repeated_spans(substrings.named(docs, substrings.tag_of(docs))).collect()
     assert sorted((s["doc_id"], s["first"], s["size"], s["s_doc"], s["s_first"]) for s in spans) == [(9, 0, 3000, 3, 2), (12, 3, 3000, 3, 2)]
     named = [("k" + d, t) for d, t in (("1", long_), ("2", f"z {long_}"), ("0", "short"))]
     got = substrings.remove_repeats(spark.createDataFrame(named, "doc_id string, text string")).collect()
