@@ -30,10 +30,10 @@ def captions_usable(segments: DataFrame, videos: DataFrame, least: int = model.M
     return out.withColumn("usable", usable).withColumn("reason", reason)
 
 
-def choose_track(captions: DataFrame, stt: DataFrame, videos: DataFrame, force_stt: bool = False) -> DataFrame:
+def choose_track(captions: DataFrame, stt: DataFrame, videos: DataFrame, force_stt: bool = False, least: int = model.MIN_CAPTIONS, chars: int = model.MIN_CAPTION_CHARS) -> DataFrame:
     """Segments of each video from its captions where they are usable, else from speech recognition; `source` and the
     reason of the fallback are added."""
-    verdict = captions_usable(captions, videos).select("video_id", (F.lit(not force_stt) & F.col("usable")).alias("_use"), F.when(F.lit(force_stt), F.lit(FORCED)).otherwise(F.col("reason")).alias("fallback_reason"))
+    verdict = captions_usable(captions, videos, least, chars).select("video_id", (F.lit(not force_stt) & F.col("usable")).alias("_use"), F.when(F.lit(force_stt), F.lit(FORCED)).otherwise(F.col("reason")).alias("fallback_reason"))
     columns = captions.columns
     pick = lambda df, use, source: df.join(verdict.where(F.col("_use") == use), "video_id").select(*columns, F.lit(source).alias("source"), "fallback_reason")
     return union_all(pick(captions, True, "caption"), pick(stt, False, "stt"))

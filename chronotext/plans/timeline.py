@@ -197,23 +197,25 @@ SQL["anchor_ids"] = f"""WITH {V.EVENTS_SQL}, a AS (SELECT video_id, seq, 't' ||
 n AS (SELECT *, row_number() OVER (PARTITION BY video_id, base ORDER BY seq) AS n FROM a) SELECT video_id, seq, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS anchor, sec FROM n"""
 
 
+#: Limits under which short talks count as unusable.
+CUES, CHARS = 4, 2000
+
+
 def captions_usable(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.conversation_segments(spark, d).where("seq % 3 < 2 or length(text) > 60")
-    return C.captions_usable(rows, V.conversation_videos(spark, d))
+    return C.captions_usable(V.conversation_segments(spark, d), V.conversation_videos(spark, d), CUES, CHARS)
 
 
-_USABLE = f"""WITH {V.TALKS_SQL}, cap AS (SELECT * FROM line WHERE seq % 3 < 2 OR length(text) > 60),
-u AS (SELECT talk.video_id, count(cap.seq) AS n_cues, CAST(coalesce(sum(length(cap.text)), 0) AS BIGINT) AS n_chars FROM talk LEFT JOIN cap USING (video_id) GROUP BY talk.video_id),
-ok AS (SELECT *, n_cues >= 3 AND n_chars >= 20 AS usable FROM u)"""
+_USABLE = f"""WITH {V.TALKS_SQL}, u AS (SELECT talk.video_id, count(line.seq) AS n_cues, CAST(coalesce(sum(length(line.text)), 0) AS BIGINT) AS n_chars FROM talk LEFT JOIN line USING (video_id) GROUP BY talk.video_id),
+ok AS (SELECT *, n_cues >= {CUES} AND n_chars >= {CHARS} AS usable FROM u)"""
 SQL["captions_usable"] = f"{_USABLE} SELECT *, CASE WHEN NOT usable THEN 'captions present but unusable (' || n_cues || ' cues)' END AS reason FROM ok"
 
 
 def choose_track(spark: SparkSession, d: str) -> DataFrame:
     every = V.conversation_segments(spark, d)
-    return C.choose_track(every.where("seq % 3 < 2 or length(text) > 60"), every, V.conversation_videos(spark, d)).select("video_id", "seq", "source", "fallback_reason")
+    return C.choose_track(every, every, V.conversation_videos(spark, d), least=CUES, chars=CHARS).select("video_id", "seq", "source", "fallback_reason")
 
 
-SQL["choose_track"] = f"""{_USABLE} SELECT video_id, seq, 'caption' AS source, CAST(NULL AS VARCHAR) AS fallback_reason FROM cap JOIN ok USING (video_id) WHERE usable
+SQL["choose_track"] = f"""{_USABLE} SELECT video_id, seq, 'caption' AS source, CAST(NULL AS VARCHAR) AS fallback_reason FROM line JOIN ok USING (video_id) WHERE usable
 UNION ALL SELECT video_id, seq, 'stt', 'captions present but unusable (' || n_cues || ' cues)' FROM line JOIN ok USING (video_id) WHERE NOT usable"""
 
 
