@@ -125,6 +125,33 @@ def read_texts(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
+def run_fetcher(videos: DataFrame, make_fetch, strict: bool = True) -> DataFrame:
+    """(video_id, path, warning) of the media of videos (video_id, url) by a download engine, made once in each task: url -> path
+    in storage that all executors share. Without a path a video is an error, or, if not strict, a row with the reason."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        fetch = make_fetch()
+        for batch in batches:
+            paths, warnings = [], []
+            for video, url in zip(batch["video_id"].to_pylist(), batch["url"].to_pylist(), strict=True):
+                try:
+                    path, warning = fetch(url), None
+                    if not path:
+                        raise FileNotFoundError(f"nothing was fetched from {url}")
+                except Exception as e:
+                    if strict:
+                        raise RuntimeError(f"video {video}: {e}") from e
+                    path, warning = None, f"{type(e).__name__}: {e}"
+                paths.append(path)
+                warnings.append(warning)
+            yield pa.record_batch([batch["video_id"], pa.array(paths, pa.string()), pa.array(warnings, pa.string())], ["video_id", "path", "warning"])
+
+    rows = videos.select("video_id", "url")
+    return rows.mapInArrow(run, rows.select("video_id").schema.add("path", "string").add("warning", "string"))
+
+
 def run_transcriber(audio: DataFrame, make_engine) -> DataFrame:
     """Segments of audio files (video_id, path) by a speech engine, made once in each task: path -> [(t, text)]."""
 

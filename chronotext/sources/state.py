@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronotext import model
 from chronotext.functions import scalars as S
+from chronotext.operators.gate import stage_summary
 
 _STATE = "session_id string, started_at double, tool string, runs array<struct<index: int, url: string, status: string, output_dir: string, coverage_json: string, notes_md: string, error: string, updated_at: double>>"
 
@@ -56,6 +57,11 @@ def write_text(df: DataFrame, column: str, path: str, by: list[str] | None = Non
     (w.partitionBy(*by) if by else w).text(path)
 
 
+def write_metrics(samples: DataFrame, path: str) -> None:
+    """The summary of stage samples (stage, cpu, rss) as JSON, a stage a row."""
+    write_json(stage_summary(samples), path)
+
+
 def save_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("overwrite").parquet(path)
 

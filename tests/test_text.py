@@ -288,6 +288,20 @@ def test_sinks_and_frame_files(spark, tmp_path):
     assert sorted((r["t"], r["ts_source"]) for r in captions.read_frames(spark, f"{tmp_path}/f").collect()) == [(2.0, "filename_pts_over_fps"), (7.0, "filename_seconds")]
 
 
+def test_fetchers(spark):
+    videos = spark.createDataFrame([("a", "u1"), ("b", "u2"), ("c", None)], "video_id string, url string")
+    make = lambda: lambda url: {"u1": "/m/a.wav", "u2": ""}[url]
+    got = {r["video_id"]: (r["path"], r["warning"]) for r in captions.run_fetcher(videos, make, strict=False).collect()}
+    assert got["a"] == ("/m/a.wav", None) and got["b"] == (None, "FileNotFoundError: nothing was fetched from u2") and got["c"][0] is None and "KeyError" in got["c"][1]
+    with pytest.raises(Exception, match="video b"):
+        captions.run_fetcher(videos.where("video_id = 'b'"), make).collect()
+
+
+def test_metrics_are_written(spark, tmp_path):
+    state.write_metrics(spark.createDataFrame([("ocr", 100.0, 500e6), ("ocr", 300.0, 900e6)], "stage string, cpu double, rss double"), f"{tmp_path}/m")
+    assert spark.read.json(f"{tmp_path}/m").first()["cpu_peak"] == 300.0
+
+
 def test_engines_run_once_a_task(spark):
     audio = spark.createDataFrame([("v", "p")], "video_id string, path string")
     out = captions.run_transcriber(audio, lambda: lambda path: [(0.0, " a  b "), (1.0, " ")]).collect()
