@@ -2,11 +2,13 @@
 
 1. Labelled rows are sampled up to EXAMPLES a class. All their words make the vector space; the inverse document frequency
    of each is counted over all documents.
-2. The index holds the DENSE most frequent words of the examples as rows of a matrix, and the others as postings. One
-   product of a block of texts with the matrix and the postings gives every example's cosine in single precision; those
-   that reach the K-th best within the rounding error are scored again in double precision. What is found is exact; a tie
-   goes to the smaller example number. (Block maxima don't help here: with all words, 98 % of blocks of 64 can hold one of
-   the K nearest.)
+2. The index is inverted and has block maxima. Examples are put in an order in which like ones are neighbours, by halving
+   along the direction of most spread, and cut into blocks of BLOCK. The DENSE most frequent words have their postings as
+   columns of a matrix, and the greatest weight of each block in a second one; the others have lists. For a text the
+   lists and the block maxima bound each block's cosines from above. The FIRST_BLOCKS of the highest bounds are scored; the
+   K-th best cosine so far then rules out all blocks whose bound is below it, and only the others are scored, too.
+   All this is in single precision; examples that reach the K-th best within the rounding error are scored again in double
+   precision, so that what is found is exact. A tie goes to the smaller example number.
 3. Of the words, those whose use differs between the classes (likelihood ratio over LEAST_RATIO) make a second, smaller
    space, searched in the same way for a second vote. No word is dropped from the first for it.
 4. The K nearest of each space vote with their squared cosine. A logistic scale, fitted on the examples' own votes without
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
@@ -30,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronotext.llm.common import map_slices, slices
 
 EXAMPLES, LEAST_RATIO = 2000, 18.0
-#: Texts in one product, and words as rows of the matrix; neither changes what is found.
-K, BLOCK, DENSE = 15, 128, 1024
+K = 15
+#: Examples in a block, words as rows of the matrices, blocks scored at first, texts in one product; none changes what is found.
+BLOCK, DENSE, FIRST_BLOCKS, TEXTS = 16, 1024, 4, 256
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 Vector = tuple[np.ndarray, np.ndarray]
@@ -50,14 +54,40 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """An order of the rows of `x` in which like rows are neighbours: halves along the direction of most spread, halved again
+    until they fit a block."""
+    done, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= BLOCK:
+            done.append(rows)
+            continue
+        own = x[rows] - x[rows].mean(axis=0)
+        # A fixed start, and a few steps of the power method: a rough direction will do.
+        v = np.cos(np.arange(own.shape[1]) + 1.0).astype(own.dtype)
+        for _ in range(6):
+            v = own.T @ (own @ v)
+            v /= max(float(np.sqrt(v @ v)), 1e-30)
+        rows = rows[np.argsort(own @ v, kind="stable")]
+        # Whole blocks on either side, so that no block is left half empty.
+        half = -(-len(rows) // (2 * BLOCK)) * BLOCK
+        todo += [rows[half:], rows[:half]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
 @dataclass
 class Index:
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    #: Row of a term in `dense`, or -1; the postings of the others start at `post_at`.
+    #: Example at each place of the blocks' order, and the reverse.
+    example_at: np.ndarray
+    place_of: np.ndarray
+    #: Column of a term in `dense` and `most`, or -1; the lists of the others start at `post_at`. Rows are places and blocks.
     row_of: np.ndarray
     dense: np.ndarray
+    most: np.ndarray
     post_at: np.ndarray
     post_n: np.ndarray
     post_w: np.ndarray
@@ -75,35 +105,65 @@ class Index:
         return self.nearest_of([(terms, weights)], [skip], k)[0]
 
     def nearest_of(self, vectors: list[Vector], skip: list[int] | None = None, k: int = K) -> list[Vector]:
-        out, full = [], np.zeros(len(self.idf))
-        for i in range(0, len(vectors), BLOCK):
-            block = vectors[i : i + BLOCK]
-            q = np.zeros((len(block), len(self.dense)), np.float32)
-            for row, (t, w) in zip(q, block, strict=True):
-                at = self.row_of[t]
-                row[at[at >= 0]] = w[at >= 0]
-            for j, (score, v) in enumerate(zip(q @ self.dense, block, strict=True)):
-                out.append(self._best(score, *v, skip[i + j] if skip else -1, k, full))
+        out, full = [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors), np.zeros(len(self.idf))
+        some = [j for j, (t, _) in enumerate(vectors) if len(t)] if len(self.ids) else []
+        for i in range(0, len(some), TEXTS):
+            own = some[i : i + TEXTS]
+            part = [vectors[j] for j in own]
+            score, error = self._scores(part, [skip[j] for j in own] if skip else [-1] * len(own), k)
+            least = np.maximum(self._kth(score, k) * (1 - error), 2.0**-126)
+            text, place = np.nonzero(score >= least[:, None])
+            cuts = np.searchsorted(text, np.arange(1, len(part)))
+            for j, n, v in zip(own, np.split(self.example_at[place], cuts), part, strict=True):
+                out[j] = self._best(n, *v, k, full)
         return out
 
-    def _best(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, skip: int, k: int, full: np.ndarray) -> Vector:
-        """`full` is all zeros, with a place for each term, before and after."""
+    def _kth(self, score: np.ndarray, k: int) -> np.ndarray:
+        """Each text's k-th best cosine so far; 0 where there are fewer."""
+        n = score.shape[1]
+        return np.maximum(np.partition(score, n - k, axis=1)[:, n - k], 0).astype(float) if n > k else np.zeros(len(score))
+
+    def _lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the words outside the matrix add to the cosine at each place."""
         rare = self.row_of[terms] < 0
         starts, sizes = self.post_at[terms[rare]], self.post_at[terms[rare] + 1] - self.post_at[terms[rare]]
-        if sizes.sum():
-            at = _spread(starts, sizes)
-            score = score + np.bincount(self.post_n[at], self.post_w[at] * np.repeat(weights[rare], sizes), len(score))
-        if skip >= 0:
-            score[skip] = 0
-        least = 0.0
-        if len(score) > k:
-            # Every summand is 0 or more, so that the error of a sum is a share of it that grows with their number.
-            least = np.partition(score, len(score) - k)[len(score) - k] * (1 - (len(terms) + 8) * 2.0**-22)
-        n = np.flatnonzero((score > 0) & (score >= least))
-        sizes = self.own_at[n + 1] - self.own_at[n]
-        at = _spread(self.own_at[n], sizes)
+        at = _spread(starts, sizes)
+        return np.bincount(self.post_n[at], self.post_w[at] * np.repeat(weights[rare], sizes), len(self.ids)).astype(np.float32)
+
+    def _scores(self, vectors: list[Vector], skip: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Single-precision cosines (text, place), -1 in blocks that were ruled out, and each text's share of rounding."""
+        n, begins = len(self.ids), np.arange(0, len(self.ids), BLOCK)
+        q = np.zeros((len(vectors), self.dense.shape[1]), np.float32)
+        for row, (t, w) in zip(q, vectors, strict=True):
+            at = self.row_of[t]
+            row[at[at >= 0]] = w[at >= 0]
+        # Every summand is 0 or more, so that the error of a sum is a share of it that grows with their number.
+        error = np.array([(len(t) + 8) * 2.0**-22 for t, _ in vectors])
+        lists = np.stack([self._lists(*v) for v in vectors])
+        bound = (q @ self.most.T + np.maximum.reduceat(lists, begins, axis=1)) * (1 + error[:, None])
+        score = np.full((len(vectors), n), -1.0, np.float32)
+        excluded = [(j, self.place_of[s]) for j, s in enumerate(skip) if s >= 0]
+
+        def visit(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows, at = np.flatnonzero(wanted[:, b]), slice(begins[b], begins[b] + BLOCK)
+                score[rows, at] = q[rows] @ self.dense[at].T + lists[rows, at]
+            for j, place in excluded:
+                score[j, place] = -1.0
+
+        few = max(FIRST_BLOCKS, -(-(k + 1) // BLOCK) + 1)
+        first = bound > 0
+        if len(begins) > few:
+            first &= bound >= np.partition(bound, len(begins) - few, axis=1)[:, [-few]]
+        visit(first)
+        visit((bound > 0) & (bound >= (self._kth(score, k) * (1 - error))[:, None]) & ~first)
+        return score, error
+
+    def _best(self, n: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, full: np.ndarray) -> Vector:
+        """The k nearest of the examples `n`. `full` is all zeros, with a place for each term, before and after."""
         full[terms] = weights
-        exact = np.bincount(np.repeat(np.arange(len(n)), sizes), full[self.own_terms[at]] * self.own_w[at], len(n))
+        spans = zip(self.own_at[n].tolist(), self.own_at[n + 1].tolist(), strict=True)
+        exact = np.array([full[self.own_terms[a:b]] @ self.own_w[a:b] for a, b in spans])
         full[terms] = 0
         top = np.lexsort((n, -exact))[:k]
         return n[top], exact[top]
@@ -121,6 +181,7 @@ class Model:
     marks: Index
     scale: np.ndarray
     nothing: float = 0.0
+    id_type: T.DataType = field(default_factory=T.LongType)
 
     def counts(self, text: str | None) -> np.ndarray:
         """(term, times) of a text's words, by term."""
@@ -168,14 +229,19 @@ def build_index(terms: dict[bytes, int], idf: np.ndarray, examples: list[tuple[i
     row_of = np.full(len(idf), -1)
     often = np.argsort(-seen, kind="stable")[:DENSE]
     row_of[often] = np.arange(len(often))
-    dense = np.zeros((len(often), len(vectors)), np.float32)
-    row = row_of[own_terms]
-    dense[row[row >= 0], number[row >= 0]] = own_w[row >= 0]
-    rare = np.flatnonzero(row < 0)
+    row, rare = row_of[own_terms], np.flatnonzero(row_of[own_terms] < 0)
+    dense = np.zeros((len(vectors), len(often)), np.float32)
+    dense[number[row >= 0], row[row >= 0]] = own_w[row >= 0]
+    example_at = _order(dense)
+    place_of = np.argsort(example_at)
+    dense = dense[example_at]
+    most = np.maximum.reduceat(dense, np.arange(0, len(vectors), BLOCK), axis=0) if vectors else dense
     rare = rare[np.argsort(own_terms[rare], kind="stable")]
     post_at = np.searchsorted(own_terms[rare], np.arange(len(idf) + 1))
     labels = np.array([e[1] for e in examples], float)
-    return Index(idf, np.array([e[0] for e in examples], np.int64), labels, row_of, dense, post_at, number[rare], own_w[rare], own_at, own_terms, own_w)
+    ids = np.empty(len(examples), object)
+    ids[:] = [e[0] for e in examples]
+    return Index(idf, ids, labels, example_at, place_of, row_of, dense, most, post_at, place_of[number[rare]], own_w[rare], own_at, own_terms, own_w)
 
 
 def build_model(terms: dict[bytes, int], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray]], shares: dict[int, float]) -> Model:
@@ -258,12 +324,15 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model
         def work(piece: pa.RecordBatch) -> pa.RecordBatch:
             own = [Counter(_words(t)) for t in piece["text"].to_pylist()]
             cols = [pa.array([b" ".join(c) for c in own], pa.binary()), pa.array([np.array(list(c.values()), "<i4").tobytes() for c in own], pa.binary())]
-            return pa.record_batch([pa.array(piece["doc_id"]).cast(pa.int64()), pa.array(piece["toxic"]).cast(pa.int64()), *cols], ["doc_id", "toxic", "words", "counts"])
+            return pa.record_batch([piece["doc_id"], pa.array(piece["toxic"]).cast(pa.int64()), *cols], ["doc_id", "toxic", "words", "counts"])
 
         return work
 
-    got = map_slices(texts, "text", make, "doc_id long, toxic long, words binary, counts binary").collect()
-    terms = {w: i for i, w in enumerate(sorted({w for r in got for w in bytes(r["words"]).split()}))}
+    schema = texts.select("doc_id").schema.add("toxic", "long").add("words", "binary").add("counts", "binary")
+    got = map_slices(texts, "text", make, schema).collect()
+    # Common words get the small numbers, so that most look-ups stay in a small part of the arrays.
+    often = Counter(w for r in got for w in bytes(r["words"]).split())
+    terms = {w: i for i, w in enumerate(sorted(often, key=lambda w: (-often[w], w)))}
     rows = [(r["doc_id"], r["toxic"], count_terms(dict(zip(bytes(r["words"]).split(), np.frombuffer(bytes(r["counts"]), "<i4").tolist(), strict=True)), terms)) for r in got]
     seen = np.zeros(len(terms), np.int64)
     total = 0
@@ -271,14 +340,17 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model
         total = docs.count()
         found = _count_terms(docs, terms).toArrow()
         seen[found["term"].to_numpy()] = found["n"].to_numpy()
-    return build_model(terms, np.log((1 + total) / (1 + seen)), rows, shares)
+    model = build_model(terms, np.log((1 + total) / (1 + seen)), rows, shares)
+    model.id_type = docs.schema["doc_id"].dataType
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default doc_id) with score, predicted and evidence (doc_ids of the nearest examples)."""
     keep = [k for k in keep or ["doc_id"] if k not in ("score", "predicted", "evidence")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer").add("evidence", T.ArrayType(T.LongType()))
+    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer").add("evidence", T.ArrayType(model.id_type))
+    id_type = to_arrow_type(model.id_type)
 
     def make():
         model = shared.value
@@ -294,7 +366,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             for k, n, m in zip(new, near, marks, strict=True):
                 known[k] = model.chance(model.words.vote(*n), model.marks.vote(*m)), model.words.ids[n[0][:5]].tolist()
             scores, evidence = [known[k][0] for k in keys], [known[k][1] for k in keys]
-            cols = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
+            cols = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(id_type))]
             return pa.record_batch([*[piece[k] for k in keep], *cols], [*keep, "score", "predicted", "evidence"])
 
         return work

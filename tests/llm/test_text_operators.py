@@ -46,6 +46,54 @@ def test_language_defined_cases(odd, none):
     assert {r["doc_id"] for r in langid.keep_identified(odd, model).collect()} == {5, 6, 7, 8, 9, None}
 
 
+def brute_language(model, text):
+    """Family, then votes of pairs, from n-grams taken one by one."""
+    if not text or not any(c.isalpha() for c in text) or not model.languages:
+        return "und", 0.0
+    folded = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in text.encode())
+    folded = b" " + b" ".join(folded.split()) + b" "
+    slots = [b for b in folded]
+    for n, factor, start in ((2, 2654435761, 256), (3, 2246822519, 256 + (1 << langid.HASH_BITS))):
+        slots += [start + ((int.from_bytes(folded[i : i + n], "big") * factor % 2**32) >> (32 - langid.HASH_BITS)) for i in range(len(folded) - n + 1)]
+    z = [math.fsum(float(model.weights[s, k]) for s in slots) / len(slots) + model.bias[k] for k in range(len(model.bias))]
+    n = len(model.families)
+    e = [math.exp(v - max(z[:n])) for v in z[:n]]
+    best = e.index(max(e))
+    mine = [x for x in model.languages if model.family_of[x] == model.families[best]]
+    if len(mine) == 1:
+        return mine[0], e[best] / sum(e)
+    votes, sure = Counter(), Counter()
+    for (a, b), m in zip(model.pairs, z[n:], strict=True):
+        if model.family_of[a] == model.families[best]:
+            p = 1 / (1 + math.exp(-2 * m))
+            votes[a if p > 0.5 else b] += 1
+            sure[a] += p
+            sure[b] += 1 - p
+    won = max(mine, key=lambda x: (votes[x], sure[x], x))
+    return won, e[best] / sum(e) * sure[won] / (len(mine) - 1)
+
+
+def test_language_equals_a_second_implementation(spark, odd):
+    r = random.Random(13)
+    sound = {"en": "the ing wh ough", "de": "sch ein ung ß", "nl": "ij een het oe", "fr": "eau les ai é", "es": "ción que ñ los", "xx": "qq zz kx"}
+    make = lambda lang: " ".join("".join(r.choice(sound[lang].split()) for _ in range(r.randrange(1, 4))) for _ in range(30))
+    model = langid.fit([(lang, langid.frequencies(make(lang)).tobytes()) for lang in sound for _ in range(25)])
+    assert len(model.pairs) == 4 and len(model.families) == 3
+    texts = [make(lang)[: r.randrange(3, 120)] for lang in sound for _ in range(8)] + ["½", "A", "Ünïcode 漢字 ñ", "  THE\n\tthe  ", "1 2 3", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in langid.identify(docs, model).collect():
+        lang, score = brute_language(model, texts[x["doc_id"]])
+        assert x["lang_pred"] == lang and x["score"] == pytest.approx(score, abs=1e-6)
+    right = [x["lang_pred"] == lang for lang in sound for x in langid.identify(spark.createDataFrame([(i, make(lang)) for i in range(10)], "doc_id long, text string"), model).collect()]
+    assert np.mean(right) > 0.9
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = langid.language_of_documents(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert len(out) > 20 and np.mean([x["lang"] == x["lang_pred"] for x in out]) > 0.95
+
+
 def test_language_sample_is_bounded(spark):
     rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"))
     counts = {r["lang"]: r["count"] for r in langid.bounded_sample(rows.unionAll(rows), 100).groupBy("lang").count().collect()}
@@ -452,6 +500,23 @@ def test_toxicity_searches_all_words(spark):
         assert np.allclose(own[near], np.sort(own)[::-1][:5])
 
 
+def test_ids_may_be_texts(spark, odd):
+    """All operators over documents, with ids that aren't numbers."""
+    from chronotext.llm import decontaminate, sharding, simhash, substrings
+
+    docs = odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    marks = spark.createDataFrame([("d5", 1, 1), ("d8", 1, 0), ("d7", 1, 0), (None, 1, 1)], "doc_id string, quality int, toxic int")
+    model = langid.learn(docs)
+    out = [
+        langid.language_of_documents(docs), langid.keep_identified(docs, model), bpe.encode_decode(docs, queries.tokenizer_file()), quality.judge(docs), simhash.near_duplicates(docs), licenses.scan(docs),
+        substrings.remove_repeats(docs), toxicity.toxicity_of_documents(docs, marks), sharding.assign_shards(docs, limit=1000), decontaminate.clean(docs, docs.select(F.col("doc_id").alias("item_id"), "text").limit(0)),
+    ]
+    counts = [x.count() for x in out]
+    assert counts == [12, 8, *[12] * 8] and all(x.schema["doc_id"].dataType.simpleString() == "string" for x in out)
+    evidence = toxicity.score(docs, toxicity.learn(docs, marks)).where("doc_id = 'd5'").first()["evidence"]
+    assert evidence and set(evidence) <= {"d5", "d8", "d7"}
+
+
 def test_digest_columns(spark, tmp_path, odd):
     odd.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     out = queries.op2_bpe(spark, str(tmp_path))
