@@ -126,18 +126,19 @@ def _repeats(rows: DataFrame, window: int, seed: int, bits: int) -> DataFrame:
     whole = kept.join(classes.where("source.doc_id < last").select("minimizer", "d", "source"), ["minimizer", "d"]).where("doc_id > source.doc_id")
     wholes = whole.select("doc_id", "tag", _first_of(F.col("at")).alias("first"), _count_of(F.col("at")).alias("count"), *_source("source", _first_of(F.col("source.at"))))
 
-    branches = classes.groupBy("minimizer").count().where("count > 1").select("minimizer")
+    # What a join takes one row a key from is written first: both sides then have an exchange, and a hot key can be split.
+    branches = table(classes.groupBy("minimizer").count().where("count > 1").select("minimizer"))
     open_ = classes.join(branches, "minimizer").groupBy(F.col("source.doc_id").alias("doc_id"), F.col("source.tag").alias("tag"))
     places = table(open_.agg(F.collect_set("source.at").alias("places")))
     edges = table(_edges(_with_text(rows, places), window, seed, bits))
     # Most edges have no equal; half the hash and the range of documents, which is all that is shuffled of them, rule them out.
-    twice = edges.groupBy("w1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1")
+    twice = table(edges.groupBy("w1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1"))
     again = table(edges.join(twice, "w1"))
-    first = again.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "tag", "first")).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").drop("last")
+    first = table(again.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "tag", "first")).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").drop("last"))
     single = again.join(first, ["w1", "w2"]).where("doc_id > source.doc_id")
     singles = _runs(single.select("doc_id", "tag", "first", F.lit(1).cast("long").alias("count"), *_source("source", F.col("source.first"))))
     out = table(union_all(wholes, singles))
-    free(kept, classes, places, edges, again)
+    free(kept, classes, branches, places, edges, twice, again, first)
     return out
 
 
