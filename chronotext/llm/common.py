@@ -87,6 +87,8 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     for path in paths:
         if path != _folder_of[out] and path in _left:
             _remove(_left.pop(path), path)
+    if _made.get() is not None:
+        _made.get().append(_folder_of[out])
     return out
 
 

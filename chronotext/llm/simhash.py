@@ -98,9 +98,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: component_id is the smallest doc_id reachable over links."""
     fps = table(fingerprints(docs))
     named = _rooted(fps, F.min("doc_id"))
-    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    # Written, so that the last join has an exchange on either side and Spark can split a fingerprint with very many rows.
+    # Written, so that a join has an exchange on either side and Spark can split a component or fingerprint with very many rows.
+    roots = table(named.groupBy("root").agg(F.min("first").alias("component_id")))
     linked = table(named.join(roots, "root").select("fp", "component_id"))
+    free(roots)
     return fps.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

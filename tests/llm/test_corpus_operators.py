@@ -82,7 +82,9 @@ def test_simhash_links_at_all_distances(spark):
     assert got == want and len(want) > 100
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("many", [0, 500_000])
+def test_components_of_a_long_chain(spark, monkeypatch, many):
+    monkeypatch.setattr("chronotext.llm.components.MANY_LINKS", many)
     links = spark.range(1, 400).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v")).unionByName(spark.createDataFrame([(1000, 1001), (1001, 1000), (7, 7)], "u long, v long"))
     got = {r["u"]: r["v"] for r in components(links).collect()}
     assert got == {i: 0 for i in range(1, 400)} | {1001: 1000}
@@ -182,7 +184,7 @@ def test_tables_go_when_their_consumer_is_written(spark):
         made.append(common.table(made[0].withColumn("x", F.lit(1))))
         return made[1].where("id > 0")
 
-    out = common.settled(make)
+    out = common.settled(lambda: common.settled(make).where("x = 1"))
     assert out.count() == 2 and len(set(common._left) - before) == 1
     common.free(out, out, spark.range(1))
     assert set(common._left) == before
