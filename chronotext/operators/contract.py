@@ -14,20 +14,9 @@ DEEP_LINK = r"https://youtu\.be/[^\s)]+\?t=(\d+)"
 SLIDE_IMAGE = r"(?i)(?:!\[[^\]]*\]\([^)]*frames/[^)]*\))|(?:<img[^>]*frames/[^>]*>)"
 
 
-def section_block(notes: Column, anchor: str, contract: model.Contract = model.CONTRACT) -> Column:
-    """Text from an anchor's first place to the first later anchor, in contract order, that follows it; else to the end."""
-    later = contract.anchors[contract.anchors.index(anchor) + 1 :]
-    text = F.coalesce(notes, F.lit(""))
-    start = F.instr(text, anchor)
-    rest = F.substr(text, start + len(anchor))
-    stops = [F.when(F.instr(rest, a) > 0, F.instr(rest, a)) for a in later]
-    end = F.coalesce(*stops) if stops else F.lit(None).cast("int")
-    body = F.when(end.isNotNull(), F.substr(rest, F.lit(1), end - 1)).otherwise(rest)
-    return F.when(start > 0, F.concat(F.lit(anchor), body)).otherwise(F.lit(""))
-
-
 def bullets(block: Column) -> Column:
-    return F.filter(S.lines(block), lambda x: F.startswith(x, F.lit("- ")))
+    """The lines of a block, whose line breaks are `\\n`, that begin a bullet."""
+    return F.filter(F.split(block, "\n", -1), lambda x: F.startswith(x, F.lit("- ")))
 
 
 def _cue_list(transcript: Column) -> Column:
@@ -49,9 +38,9 @@ def _where(found: list[tuple[Column, str, int, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, _problem(F.lit(rule), F.lit(n), detail)) for cond, rule, n, detail in found]))
 
 
-def _structure(text: Column, contract: model.Contract) -> Column:
-    places = [F.instr(text, a) for a in contract.anchors]
-    found = [(F.coalesce(F.try_element_at(S.lines(text), F.lit(1)), F.lit("")) != contract.marker, "marker", 0, F.lit(contract.marker))]
+def _structure(contract: model.Contract) -> Column:
+    places = [F.col(f"_at{n}") for n in range(len(contract.anchors))]
+    found = [(F.substring_index("_text", "\n", 1) != contract.marker, "marker", 0, F.lit(contract.marker))]
     for n, (anchor, place) in enumerate(zip(contract.anchors, places, strict=True)):
         found.append((place == 0, "missing_section", n + 1, F.lit(anchor)))
         if n:
@@ -68,7 +57,7 @@ def _enrichment(text: Column, takeaway: Column, flow: Column, contract: model.Co
 
 def _detail(block: Column, has_frames: Column, contract: model.Contract) -> Column:
     # A part begins with what follows `### ` on a heading's line; what is before the first heading isn't one.
-    parts = F.split(F.concat(F.lit("\n"), F.array_join(S.lines(block), "\n")), "\n### ", -1)
+    parts = F.split(F.concat(F.lit("\n"), block), "\n### ", -1)
     own = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
     def of_part(part: Column, no: Column) -> Column:
@@ -83,7 +72,7 @@ def _detail(block: Column, has_frames: Column, contract: model.Contract) -> Colu
 
 
 def _citations(concepts: Column, questions: Column, cues: Column) -> Column:
-    cited = F.filter(S.lines(questions), lambda x: F.contains(x, F.lit("youtu.be/")))
+    cited = F.filter(F.split(questions, "\n", -1), lambda x: F.contains(x, F.lit("youtu.be/")))
 
     def of_line(kind: str):
         def check(line: Column, at: Column) -> Column:
@@ -100,13 +89,23 @@ def _citations(concepts: Column, questions: Column, cues: Column) -> Column:
     return F.concat(F.array_compact(each), _where([(F.size(cited) < 3, "few_cited_questions", 0, F.size(cited))]))
 
 
-def _text(notes: DataFrame) -> Column:
-    return F.coalesce(notes["notes"], F.lit(""))
+def _cut(notes: DataFrame, contract: model.Contract, **sections: str) -> DataFrame:
+    """The notes with their text (`_text`, line breaks as `\\n`), the first place of each anchor (`_at0` ...) and the blocks of
+    sections: from an anchor's first place to the first later anchor, in contract order, that follows it; else to the end.
 
+    What several expressions need is a column before them, so that it is taken once a row."""
+    names = list(contract.anchors)
+    rows = notes.withColumn("_text", F.regexp_replace(F.coalesce("notes", F.lit("")), r"\R", "\n"))
+    rows = rows.withColumns({f"_at{n}": F.instr("_text", a) for n, a in enumerate(names)})
+    at = {k: F.col(f"_at{names.index(a)}") for k, a in sections.items()}
+    rows = rows.withColumns({f"_{k}_rest": F.when(at[k] > 0, F.substr("_text", at[k] + len(a))) for k, a in sections.items()})
 
-def _cut(notes: DataFrame, contract: model.Contract, **sections: str) -> DataFrame:
-    """The notes with their text and the blocks of sections, each cut out once."""
-    return notes.withColumns({"_text": _text(notes), **{f"_{k}": section_block(notes["notes"], a, contract) for k, a in sections.items()}})
+    def stop(k: str, anchor: str) -> Column:
+        return F.coalesce(*[F.nullif(F.instr(f"_{k}_rest", a), F.lit(0)) for a in names[names.index(anchor) + 1 :]], F.length(f"_{k}_rest") + 1)
+
+    rows = rows.withColumns({f"_{k}_stop": stop(k, a) for k, a in sections.items()})
+    blocks = {f"_{k}": F.coalesce(F.concat(F.lit(a), F.substr(f"_{k}_rest", F.lit(1), F.col(f"_{k}_stop") - 1)), F.lit("")) for k, a in sections.items()}
+    return rows.withColumns(blocks)
 
 
 def _exploded(rows: DataFrame, problems: Column) -> DataFrame:
@@ -115,7 +114,7 @@ def _exploded(rows: DataFrame, problems: Column) -> DataFrame:
 
 def structure_problems(notes: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
     """The marker on line 1, and every section anchor, in order."""
-    return _exploded(notes, _structure(_text(notes), contract))
+    return _exploded(_cut(notes, contract), _structure(contract))
 
 
 def enrichment_problems(notes: DataFrame, contract: model.Contract = model.CONTRACT) -> DataFrame:
@@ -150,7 +149,7 @@ def gate_contract(notes: DataFrame, contract: model.Contract = model.CONTRACT) -
     rows = _cut(notes, contract, takeaway=contract.takeaway, flow=contract.flow, detail=contract.detail, concepts=contract.concepts, questions=contract.questions)
     rows = rows.withColumn("_cues", _cue_list(F.col("transcript")))
     found = [
-        _structure(F.col("_text"), contract), _citations(F.col("_concepts"), F.col("_questions"), F.col("_cues")), _detail(F.col("_detail"), F.col("has_frames"), contract),
+        _structure(contract), _citations(F.col("_concepts"), F.col("_questions"), F.col("_cues")), _detail(F.col("_detail"), F.col("has_frames"), contract),
         _enrichment(F.col("_text"), F.col("_takeaway"), F.col("_flow"), contract),
     ]
     return _exploded(rows, F.concat(*found))
