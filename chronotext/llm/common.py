@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python workers hold one slice of a batch as objects at a time, so that memory follows this and not Arrow's batch size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 

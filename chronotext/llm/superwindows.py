@@ -23,7 +23,7 @@ class WordHashes(dict):
         self.seed, self.mask = seed, (1 << bits) - 1
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxh3_64_intdigest(word, self.seed) & self.mask
         return h
