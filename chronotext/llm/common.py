@@ -100,6 +100,12 @@ def free(*tables: DataFrame) -> None:
             _remove(_left.pop(path), path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is never broadcast. Spark takes a side's size from the compressed files
+    below it, which says nothing of the rows that `explode` makes, so a side far beyond the driver can pass for a small one."""
+    return df.hint("merge")
+
+
 def packed(docs: DataFrame, *columns: Column) -> DataFrame:
     """All columns of a row as the struct `row`, beside the given columns: no name of the input can clash with an operator's."""
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *columns)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.functions.frames import union_all
-from chronotext.llm.common import free, settled, table
+from chronotext.llm.common import free, settled, shuffled, table
 
 
 #: From so many links on, a round's least neighbours are written before they are joined: then Spark can split a hot node's links.
@@ -22,7 +22,7 @@ def _star(edges: DataFrame, small: bool, many: bool) -> DataFrame:
     both = edges if small else union_all(edges, edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     least = table(least) if many else least
-    near = both.join(least, "u")
+    near = both.join(shuffled(least), "u")
     if small:
         out = union_all(near.select(F.col("v").alias("u"), F.col("m").alias("v")), least.select("u", F.col("m").alias("v")))
     else:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import free, map_slices, packed, table, unpacked
+from chronotext.llm.common import free, map_slices, packed, shuffled, table, unpacked
 from chronotext.llm.components import components
 
 SEED = 42
@@ -84,14 +84,14 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     # Bits of the first three segments of the chain; the fourth is the one before its start.
     last = F.expr("shiftrightunsigned(u ^ v, 16 * (3 - cast((shiftrightunsigned(key, 32) + 3) % 4 as int))) & 65535")
     three = F.bit_count(d) - F.bit_count(last)
-    return index.join(probe, "key").where((F.col("u") < F.col("v")) & (three <= 2) & (F.bit_count(d) <= BUDGET)).select("u", "v").distinct()
+    return index.join(shuffled(probe), "key").where((F.col("u") < F.col("v")) & (three <= 2) & (F.bit_count(d) <= BUDGET)).select("u", "v").distinct()
 
 
 def _rooted(fps: DataFrame, first: Column) -> DataFrame:
     """(fp, root, first) of each fingerprint: `root` names its component, `first` is an aggregate over its rows."""
     each = table(fps.groupBy("fp").agg(first.alias("first")))
     stars = components(links(each.select("fp")))
-    return each.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return each.join(shuffled(stars.select(F.col("u").alias("fp"), F.col("v").alias("root"))), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -118,4 +118,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     plain = [docs[f.name] for f in docs.schema if "map" not in f.dataType.simpleString()]
     w = Window.partitionBy("own").orderBy("fold")
     rows = packed(docs, own.alias("own"), F.xxhash64(*plain).alias("fold")).withColumn("nth", F.row_number().over(w)).where("nth = 1")
-    return unpacked(rows.join(first, rows["own"] == first["_first"], "left_semi"))
+    return unpacked(rows.join(shuffled(first), rows["own"] == first["_first"], "left_semi"))

@@ -9,7 +9,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronotext.llm import bpe, decontaminate, sharding, simhash, substrings
+from chronotext.llm import bpe, common, decontaminate, sharding, simhash, substrings
+from chronotext.llm import components as components_module
 from chronotext.llm.components import components
 from chronotext.llm.queries import tokenizer_file
 
@@ -120,6 +121,31 @@ def test_keep_first_of_shared_and_missing_ids(spark):
     assert sorted(rows_of(simhash.keep_first(docs)), key=str) == sorted([(5, "alpha"), (5, "beta"), (None, "gamma"), (3, ""), (9, "delta")], key=str)
 
 
+@pytest.fixture
+def joined(monkeypatch):
+    """Plans with a join of what SimHash and components write, before adaptive execution."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    written = common.table
+    for module in (common, components_module, simhash):
+        monkeypatch.setattr(module, "table", noted)
+
+    def all_with(df):
+        noted(df)
+        return [p for p in plans if "Join" in p]
+
+    return all_with
+
+
+def test_keep_first_broadcasts_nothing_that_grows(corpus, joined):
+    plans = joined(simhash.keep_first(corpus))
+    assert len(plans) >= 4 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def brute_removed(rows, window):
     """Spans by rows; rows without an id take no part."""
     split = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
