@@ -100,9 +100,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = _rooted(fps, F.min("doc_id"))
     # Written, so that a join has an exchange on either side and Spark can split a component or fingerprint with very many rows.
     roots = table(named.groupBy("root").agg(F.min("first").alias("component_id")))
-    linked = table(named.join(roots, "root").select("fp", "component_id"))
+    linked = table(named.join(shuffled(roots), "root").select("fp", "component_id"))
     free(roots)
-    return fps.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(shuffled(linked), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -146,6 +146,11 @@ def test_keep_first_broadcasts_nothing_that_grows(corpus, joined):
     assert len(plans) >= 4 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
 
 
+def test_near_duplicates_broadcasts_nothing_that_grows(corpus, joined):
+    plans = joined(simhash.near_duplicates(corpus))
+    assert len(plans) >= 5 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def brute_removed(rows, window):
     """Spans by rows; rows without an id take no part."""
     split = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
