@@ -171,7 +171,7 @@ SQL["slide_filter"] = f"SELECT doc_id, length(replace({_norm('text')}, ' ', ''))
 
 def frame_times(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("o_orderkey")
-    name = F.when(n % 5 == 0, F.concat(F.lit("/v/frame_"), F.lpad(n.cast("string"), 5, "0"), F.lit(".png"))).when(n % 5 == 1, F.concat(F.lit("a/shot-"), (n / 4).cast("string"), F.lit(".png"))).when(
+    name = F.when(n % 5 == 0, F.format_string("/v/frame_%05d.png", n)).when(n % 5 == 1, F.format_string("a/shot-%d.%02d.png", F.expr("o_orderkey div 4"), n % 4 * 25)).when(
         n % 5 == 2, F.concat(F.lit("f_"), (n % 1000).cast("string"), F.lit("s.jpg"))
     )
     path = name.when(n % 5 == 3, F.concat(F.lit("f_"), (n % 900).cast("string"), F.lit("SEC.png"))).otherwise(F.lit("cover.png"))

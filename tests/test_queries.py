@@ -42,3 +42,11 @@ def test_query_equals_its_sql(spark, duck, name):
     other = duck.execute(registry.oracle_sql()[name]).df()
     assert sorted(mine.columns) == sorted(other.columns)
     assert rows(mine) == rows(other)
+
+
+def test_frame_times_of_large_keys(spark, tmp_path):
+    keys = [0, 1, 5, 99_995, 99_996, 100_000, 100_005, 123_455, 1_000_001, 39_999_996, 40_000_001, 40_000_006, 40_000_002, 40_000_003, 40_000_004, 3_600_000_000, 3_600_000_011]
+    pd.DataFrame({"o_orderkey": keys}).to_parquet(tmp_path / "orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet')")
+    assert rows(registry.queries()["frame_times"](spark, str(tmp_path)).toPandas()) == rows(con.execute(registry.oracle_sql()["frame_times"]).df())
